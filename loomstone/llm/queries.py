@@ -6,16 +6,29 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import ann, bpe, chat, mixing, sharding
+from loomstone.llm import ann, bpe, chat, langid, mixing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def crc_of_id(mod: int) -> Column:
+    """crc32 of doc_id as text, modulo ``mod``."""
+    return F.crc32(F.col("doc_id").cast("string")) % mod
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text; learned from two thirds of the labelled documents."""
+    docs = table(spark, sf_dir, "documents")
+    samples = langid.fit(docs, crc_of_id(3) != 1)
+    found = langid.identify(docs.select("doc_id", "text"), samples)
+    return found.select("doc_id", (crc_of_id(3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 #: The conversation that the contract adds: control strings inside its texts.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -70,6 +83,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_langid": op3_langid,
     "op4_chat": op4_chat,
     "op6_bpe": op6_bpe,
     "op7_mixing": op7_mixing,
