@@ -151,9 +151,7 @@ class Parser:
 
     def _rest(self, buffer, at, going, t, state, done, phrases, order) -> None:
         """The few longest texts one by one: less work than steps of a few elements."""
-        if self._plain is None:
-            self._plain = self.table.tolist()
-        table = self._plain
+        table = memoryview(self.table)
         for i in range(len(at)):
             symbols = buffer[at[i] + t : at[i] + going[i]].tolist()
             for lang in range(len(self.langs)):
@@ -164,8 +162,6 @@ class Parser:
                     s = v >> 1
                 phrases[lang, order[i]] = n
 
-    _plain: list | None = None
-
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text.
 
