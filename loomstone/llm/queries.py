@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import ann, bpe, chat, langid, mixing, sharding
+from loomstone.llm import ann, bpe, chat, editprint, langid, mixing, setjoin, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +21,17 @@ def crc_of_id(mod: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % mod
 
 
+def op2_editprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text, of its edited text, and likenesses."""
+    return editprint.with_next(table(spark, sf_dir, "documents"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text; learned from two thirds of the labelled documents."""
     docs = table(spark, sf_dir, "documents")
     samples = langid.fit(docs, crc_of_id(3) != 1)
     found = langid.identify(docs.select("doc_id", "text"), samples)
-    return found.select("doc_id", (crc_of_id(3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return found.select("doc_id", F.coalesce(crc_of_id(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
 #: The conversation that the contract adds: control strings inside its texts.
@@ -56,6 +61,11 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def op5_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose shingle sets link."""
+    return setjoin.join(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded again; digests of both."""
     out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
@@ -83,8 +93,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_editprint": op2_editprint,
     "op3_langid": op3_langid,
     "op4_chat": op4_chat,
+    "op5_setjoin": op5_setjoin,
     "op6_bpe": op6_bpe,
     "op7_mixing": op7_mixing,
     "op9_ann": op9_ann,
