@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import ann, bpe, chat, editprint, langid, mixing, setjoin, sharding
+from loomstone.llm import ann, bpe, chat, editprint, langid, linededup, mixing, setjoin, sharding
+from loomstone.llm.scratch import bounded
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def crc_of_id(mod: int) -> Column:
@@ -21,6 +22,11 @@ def crc_of_id(mod: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % mod
 
 
+def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of all documents with the class it belongs to and whether it stays."""
+    return linededup.classes(table(spark, sf_dir, "documents")).select("doc_id", "line_no", "class_doc_id", "class_line_no", "kept")
+
+
 def op2_editprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole text, of its edited text, and likenesses."""
     return editprint.with_next(table(spark, sf_dir, "documents"))
@@ -93,6 +99,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_linededup": op1_linededup,
     "op2_editprint": op2_editprint,
     "op3_langid": op3_langid,
     "op4_chat": op4_chat,

@@ -29,3 +29,10 @@ def cut(df: DataFrame) -> DataFrame:
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded(spark: SparkSession, rows: int = 2000) -> SparkSession:
+    """Arrow batches of at most ``rows`` rows: long texts must fit a Python worker several times over."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return spark
