@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import ann, bpe, chat, editprint, langid, linededup, mixing, setjoin, sharding
+from loomstone.llm import ann, bpe, chat, editprint, langid, linededup, mixing, quality, setjoin, sharding
 from loomstone.llm.scratch import bounded
 
 
@@ -81,6 +81,17 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every whole text; learned from four fifths of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = quality.fit(docs, table(spark, sf_dir, "labels"), crc_of_id(5) != 0)
+    scored = quality.score(docs, machine).drop("text")
+    return scored.select(
+        "doc_id", F.coalesce(crc_of_id(5) == 0, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"),
+        F.when(F.col("quality_score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest of every 50th vector among all others."""
     indexed = ann.index(table(spark, sf_dir, "embeddings"))
@@ -106,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_setjoin": op5_setjoin,
     "op6_bpe": op6_bpe,
     "op7_mixing": op7_mixing,
+    "op8_quality": op8_quality,
     "op9_ann": op9_ann,
     "op10_sharding": op10_sharding,
 }
