@@ -22,7 +22,7 @@ from loomstone.llm import kernels
 #: Hashed words, bins of a statistic, factors of a feature.
 WORDS, BINS, FACTORS = 1 << 15, 16, 8
 #: Labelled rows that are fitted: the bound of the sample.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 #: From this score on a document is predicted good.
 THRESHOLD = 0.3
 #: Weight of all words together, against one per statistic.
@@ -166,7 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = TRAIN_ROW
     pairs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").select("text", "quality").toArrow()
     seen = sorted(set(zip(pairs.column("text").to_pylist(), pairs.column("quality").to_pylist(), strict=True)))
     data, offsets = kernels.utf8(pa.array([t for t, _ in seen], pa.string()))
-    return train(features(data, offsets), np.array([q for _, q in seen], np.float32))
+    parts = [features(data, offsets[i : j + 1]) for i, j in kernels.slices(offsets)] or [features(data, offsets)]
+    sizes = np.concatenate([np.diff(p.at) for p in parts])
+    x = Sparse(np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([p.index for p in parts]), np.concatenate([p.value for p in parts]))
+    return train(x, np.array([q for _, q in seen], np.float32))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
