@@ -8,8 +8,12 @@ fractional repetition. All sizes are integers, so reruns agree exactly.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +71,7 @@ def cycled_weights(sources: DataFrame, cycle: Sequence[int] = (1, 2, 3)) -> Data
 
 
 def mix(docs: DataFrame, cycle: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` for every row of ``docs``.
+    """``doc_id, row, source, size, source_size, target, taken`` for every row of ``docs``; ``row`` is a hash of doc_id, source and text.
 
     ``size`` counts words; ``taken`` the words that the mix takes of the
     document. A source's words sum to its target rounded to whole words: each
@@ -81,7 +85,7 @@ def mix(docs: DataFrame, cycle: Sequence[int] = (1, 2, 3), max_epochs: int = 3,
     hot source is spread over as many tasks.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")))
+    rows = cut(docs.select("doc_id", F.xxhash64("doc_id", "source", "text").alias("row"), "source", word_count(F.col("text")).alias("size"), key.alias("key")))
     rows = rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     buckets = cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")))
     plan = targets(cycled_weights(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), cycle), max_epochs)
@@ -101,11 +105,51 @@ def mix(docs: DataFrame, cycle: Sequence[int] = (1, 2, 3), max_epochs: int = 3,
     rest = F.col("goal") - whole * size
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
     return joined.select(
-        F.col("r.doc_id").alias("doc_id"), F.col("r.source").alias("source"), "size", "source_size", "target",
+        F.col("r.doc_id").alias("doc_id"), "row", F.col("r.source").alias("source"), "size", "source_size", "target",
         (whole * F.col("size") + part).cast("long").alias("taken"),
     )
 
 
+def apply(docs: DataFrame, cycle: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+    """``docs`` as the mix takes them: a row for each whole repetition, and one with the first words of a part.
+
+    All columns stay; ``n_chars``, if there, follows the text. Documents of which
+    nothing is taken, those without words among them, have no rows. Rows that
+    repeat doc_id, source and text are taken as often as together.
+    """
+    taken = mix(docs, cycle, max_epochs, seed).where("taken > 0")
+    whole = F.floor(F.col("taken") / F.col("size")).cast("long")
+    per_row = taken.groupBy("row").agg(F.sum(whole).alias("whole"), F.max(F.col("taken") % F.col("size")).alias("part"))
+    keyed = docs.withColumn("row", F.xxhash64("doc_id", "source", "text"))
+    once = F.row_number().over(Window.partitionBy("row").orderBy("row"))
+    joined = keyed.join(per_row, "row").withColumn("once", once).where("once = 1")
+    names, schema = docs.columns, docs.schema
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            whole, part = batch.column(len(names)).to_numpy(), batch.column(len(names) + 1).to_numpy()
+            own = pa.RecordBatch.from_arrays(batch.columns[: len(names)], names)
+            yield own.take(pa.array(np.repeat(np.arange(batch.num_rows), whole)))
+            some = np.flatnonzero(part)
+            if len(some):
+                rows = own.take(pa.array(some)).to_pylist()
+                for row, words in zip(rows, part[some].tolist(), strict=True):
+                    row["text"] = first_words(row["text"], words)
+                    if "n_chars" in row:
+                        row["n_chars"] = len(row["text"])
+                yield pa.RecordBatch.from_pylist(rows, own.schema)
+
+    return joined.select(*names, "whole", F.col("part").alias("part_words")).mapInArrow(batches, schema)
+
+
+def first_words(text: str, words: int) -> str:
+    """The text up to the end of that many words."""
+    at = 0
+    for m in itertools.islice(re.finditer(r"[^\x20\x09-\x0D]+", text), words):
+        at = m.end()
+    return text[:at]
+
+
 #: Water-filling round by round needs no fixed number of rounds here: the level is found by its closed form.
 MIX_SQL = r"""
 WITH d AS (
