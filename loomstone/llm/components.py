@@ -22,10 +22,22 @@ class Links:
     """``members``: ``id long, key long`` and, if only some pairs of a key count, ``wide``: one side must be wide.
 
     ``verify`` takes distinct pairs ``a < b`` and returns those that link.
+    ``cheap`` is a condition on the columns of two members, prefixed ``x_`` and
+    ``y_``, without which a pair is not verified. ``sketches`` takes ids and
+    returns ``id`` with further columns; ``possible`` is a condition on two
+    members and their sketches that holds for every pair which may still have to
+    be found under a key.
     """
 
     members: DataFrame
     verify: Callable[[DataFrame], DataFrame]
+    cheap: str = "true"
+    sketches: Callable[[DataFrame], DataFrame] | None = None
+    possible: str = "true"
+
+
+#: Members of a key with which all others are compared in the second round.
+LEADERS = 4
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -51,29 +63,63 @@ def connected(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
+def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def _prefixed(rows: DataFrame, prefix: str, columns: list[str], more: list) -> DataFrame:
+    return rows.select(*more, *[F.col(c).alias(f"{prefix}_{c}") for c in columns])
+
+
 def components(links: Links) -> DataFrame:
-    """``id, label`` of every id that links to another one."""
+    """``id, label`` of every id that links to another one.
+
+    First round: each key's smallest member with the others. Second round: in
+    keys that still hold several components, a few more members with all those
+    of other components. Last: in keys that are still divided, the pairs of
+    different components that the sketches leave possible.
+    """
     members = links.members if "wide" in links.members.columns else links.members.withColumn("wide", F.lit(True))
+    own = [c for c in members.columns if c not in ("id", "key")]
     of_key = Window.partitionBy("key")
     lists = cut(
-        members.select("key", "id", "wide")
+        members
         .withColumn("n", F.count("*").over(of_key))
-        .withColumn("leader", F.min(F.when(F.col("wide"), F.col("id"))).over(of_key))
-        .where("n > 1 and leader is not null")
-        .select("key", "id", "wide", "leader")
+        .withColumn("lead", F.min(F.when(F.col("wide"), F.struct("id", *own))).over(of_key))
+        .where("n > 1 and lead is not null")
+        .drop("n")
     )
-    stars = lists.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    first = cut(links.verify(stars))
-    labels = connected(first)
-    labelled = lists.join(labels, "id", "left").select("key", "id", "wide", "leader", F.coalesce("label", "id").alias("label"))
-    labelled = cut(labelled)
-    heads = labelled.where("id = leader").select("key", F.col("label").alias("head")).distinct()
-    split = labelled.join(heads, "key").where("label <> head")
-    x = split.select("key", F.col("id").alias("x"), F.col("wide").alias("x_wide"), F.col("label").alias("x_label"))
-    y = labelled.where("id <> leader").join(heads, "key").select("key", F.col("id").alias("y"), F.col("wide").alias("y_wide"), F.col("label").alias("y_label"), (F.col("label") == F.col("head")).alias("y_head"))
-    crossed = x.join(y, "key").where("x_label <> y_label and (y_head or x < y) and (x_wide or y_wide)")
-    more = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    second = cut(links.verify(more))
-    if second.isEmpty():
-        return labels
-    return connected(first.unionByName(second))
+    first = _prefixed(lists, "x", ["id", *own], [F.col("lead.id").alias("y_id"), *[F.col(f"lead.{c}").alias(f"y_{c}") for c in own]])
+    seen = cut(_pairs(first.where("x_id <> y_id").where(links.cheap), "x_id", "y_id"))
+    lists = lists.withColumn("leader", F.col("lead.id")).drop("lead")
+    found = cut(links.verify(seen))
+    labels = connected(found)
+
+    def divided(labels: DataFrame) -> DataFrame:
+        rows = lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        split = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        return cut(rows.join(split, "key"))
+
+    open_keys = divided(labels)
+    order = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(1)), "id")
+    few = open_keys.withColumn("n", F.row_number().over(order)).where(F.col("n") <= LEADERS)
+    columns = ["id", "label", *own]
+    tried = _prefixed(open_keys, "x", columns, ["key"]).join(_prefixed(few, "y", columns, ["key"]), "key")
+    tried = tried.where("x_label <> y_label and (x_wide or y_wide)").where(links.cheap)
+    again = cut(_pairs(tried, "x_id", "y_id").join(seen, ["a", "b"], "left_anti"))
+    more = cut(links.verify(again))
+    seen = seen.unionByName(again)
+    if not more.isEmpty():
+        found = found.unionByName(more)
+        labels = connected(found)
+        open_keys = divided(labels)
+    head = open_keys.where("id = leader").select("key", F.col("label").alias("head")).distinct()
+    rows = open_keys.join(head, "key")
+    if links.sketches is not None:
+        rows = rows.join(links.sketches(open_keys.select("id").distinct()), "id")
+    rows = cut(rows)
+    columns = [c for c in rows.columns if c != "key"]
+    x, y = _prefixed(rows.where("label <> head"), "x", columns, ["key"]), _prefixed(rows.where("id <> leader"), "y", columns, ["key"])
+    crossed = x.join(y, "key").where(f"x_label <> y_label and (y_label = y_head or x_id < y_id) and (x_wide or y_wide) and ({links.cheap}) and ({links.possible})")
+    last = cut(links.verify(_pairs(crossed, "x_id", "y_id").join(seen, ["a", "b"], "left_anti")))
+    return labels if last.isEmpty() else connected(found.unionByName(last))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: UTF-8 bytes that a kernel takes at once, unless one text alone has more.
-SLICE = 2_000_000
+SLICE = 500_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -58,15 +58,25 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def span_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of a sequence of 64-bit values: equal spans, equal hashes."""
+def prefix_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the values times powers of the base before each place, and powers of the base's inverse."""
     size = 1 << max(10, int(len(values)).bit_length())
     up, down = _powers(size) if size <= 1 << 22 else _powers.__wrapped__(size)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=total[1:])
+    return total, down
+
+
+def hashes_of(total: np.ndarray, down: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans from ``prefix_sums``."""
     return mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * _M2)
 
 
+def span_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of a sequence of 64-bit values: equal spans, equal hashes."""
+    return hashes_of(*prefix_sums(values), begin, end)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each value, A-Z in lower case, and where each value's words begin."""
     values, space = _tables()

@@ -14,7 +14,6 @@ without being written anywhere: most sets are done by then.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -35,7 +34,11 @@ SHARED_BITS, ID_BITS = 1 << 27, 1 << 24
 #: Most frequent shingles whose exact order is broadcast: a bound, not a switch; others are ordered by hash.
 FREQUENT = 1 << 18
 #: Counting buckets: each holds a share of all shingles, so their number follows the input.
-BUCKET_SHINGLES = 4_000_000
+BUCKET_SHINGLES = 1_000_000
+#: Shingles that a task holds before it passes on their counts.
+FLUSH = 1_000_000
+#: Words of 64 bits of a set's parity sketch.
+SKETCH = 32
 #: Largest boundary between small and large sets.
 MOST_SMALL = 400
 
@@ -77,18 +80,23 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def filtered(docs: DataFrame, bitmap) -> DataFrame:
-    """Rows whose doc_id the broadcast bitmap may hold; ``h`` is their xxhash64."""
-    keyed = docs.select("doc_id", "text").where("doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
+def held(it: Iterator[pa.RecordBatch], bitmap) -> Iterator[pa.RecordBatch]:
+    """``doc_id, text`` of the rows of ``keyed`` whose doc_id the broadcast bitmap may hold."""
+    bits = bitmap.value
+    for batch in it:
+        place = batch.column(2).to_numpy().view(np.uint64) >> np.uint64(40)
+        keep = (bits[(place >> np.uint64(6)).astype(np.intp)] >> (place & np.uint64(63)).astype(np.int64)) & 1
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], ["doc_id", "text"]).filter(pa.array(keep.astype(bool)))
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
-        for batch in it:
-            place = batch.column(2).to_numpy().view(np.uint64) >> np.uint64(40)
-            held = (bits[(place >> np.uint64(6)).astype(np.intp)] >> (place & np.uint64(63)).astype(np.int64)) & 1
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["doc_id", "text"]).filter(pa.array(held.astype(bool)))
 
-    return keyed.mapInArrow(batches, "doc_id long, text string")
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and the hash of doc_id by which ``held`` filters."""
+    return docs.select("doc_id", "text").where("doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
+
+
+def filtered(docs: DataFrame, bitmap) -> DataFrame:
+    """Rows whose doc_id the bitmap may hold."""
+    return keyed(docs).mapInArrow(lambda it: held(it, bitmap), "doc_id long, text string")
 
 
 def _counted(it: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -111,7 +119,7 @@ def _counted(it: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBa
             if len(s):
                 held.append(s)
                 size += len(s)
-            if size >= 3_000_000:
+            if size >= FLUSH:
                 yield packed()
                 held, size = [], 0
     if held:
@@ -119,30 +127,33 @@ def _counted(it: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBa
 
 
 def _merged(bucket_bits: int, frequent: int):
-    """Counts of one bucket: its part of the bitmap of shared shingles, its most frequent ones, and sums for the cost."""
+    """Counts of one bucket: its part of the bitmap of shared shingles, its most frequent ones, and sums for the cost.
+
+    The cost is that of lists which prefixes reach: the most frequent shingles
+    stand at the end of the order.
+    """
 
     def bucket(parts: pa.Table) -> pa.Table:
-        lows, counts = [], []
+        entries = []
         for low, at, n in zip(*(parts.column(c).to_pylist() for c in ("low", "at", "n")), strict=True):
-            values = np.frombuffer(low, np.uint32)
-            c = np.ones(len(values), np.int64)
-            c[np.frombuffer(at, np.uint32)] = np.frombuffer(n, np.uint32)
-            lows.append(values)
-            counts.append(c)
-        low, count = np.concatenate(lows), np.concatenate(counts)
-        order = np.argsort(low, kind="stable")
-        low, count = low[order], count[order]
+            both = (np.frombuffer(low, np.uint32).astype(np.uint64) << np.uint64(32)) + np.uint64(1)
+            both[np.frombuffer(at, np.uint32)] += np.frombuffer(n, np.uint32) - np.uint32(1)
+            entries.append(both)
+        both = np.concatenate(entries)
+        both.sort()
+        low, count = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         starts = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-        low, count = low[starts], np.add.reduceat(count, starts)
+        low, count = low[starts], np.add.reduceat(count, starts, dtype=np.int64)
         shared = count > 1
         low, count = low[shared], count[shared]
         bits = np.zeros(bucket_bits, bool)
         bits[low.astype(np.uint64) * np.uint64(bucket_bits) >> np.uint64(32)] = True
-        top = np.argsort(-count, kind="stable")[:frequent]
+        ranked = np.argsort(-count, kind="stable")
+        top, rest = ranked[:frequent], count[ranked[frequent:]]
         return pa.table({
             "bucket": pa.array([parts.column("bucket")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()),
             "top": pa.array([low[top].tobytes()], pa.binary()), "n": pa.array([count[top].astype(np.uint32).tobytes()], pa.binary()),
-            "lists": pa.array([int(count.sum())], pa.int64()), "reads": pa.array([float((count.astype(float) ** 2).sum())], pa.float64()),
+            "lists": pa.array([int(rest.sum())], pa.int64()), "reads": pa.array([float((rest.astype(float) ** 2).sum())], pa.float64()),
         })
 
     return bucket
@@ -186,11 +197,11 @@ class Order:
         return best
 
 
-def order_of(docs: DataFrame, shingles: int) -> Order:
+def order_of(docs: DataFrame, bitmap, shingles: int) -> Order:
     """Counts every set's shingles and returns the order; what reaches the driver is bounded by the constants above."""
     buckets = 1 << max(4, math.ceil(math.log2(max(1, shingles / BUCKET_SHINGLES))))
     bucket_bits = max(8, SHARED_BITS // buckets)
-    parts = docs.mapInArrow(lambda it: _counted(it, buckets), "bucket int, low binary, at binary, n binary")
+    parts = keyed(docs).mapInArrow(lambda it: _counted(held(it, bitmap), buckets), "bucket int, low binary, at binary, n binary")
     merged = parts.groupBy("bucket").applyInArrow(_merged(bucket_bits, max(1, FREQUENT // buckets)), "bucket int, bits binary, top binary, n binary, lists long, reads double")
     bits = np.zeros(buckets * bucket_bits // 8, np.uint8)
     top, count, lists, reads = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, 0.0
@@ -201,7 +212,7 @@ def order_of(docs: DataFrame, shingles: int) -> Order:
         top.append((np.uint64(row.bucket) << np.uint64(32)) + low)
         count.append(np.frombuffer(row.n, np.uint32).astype(np.int64))
         lists, reads = lists + row.lists, reads + row.reads
-    return Order(buckets, bits, np.concatenate(top), np.concatenate(count), reads / lists if lists else 1.0)
+    return Order(buckets, bits, np.concatenate(top), np.concatenate(count), reads / lists if lists else 2.0)
 
 
 def _keys(order: Order, boundary: int):
@@ -210,7 +221,7 @@ def _keys(order: Order, boundary: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = order.value
         for batch in it:
-            ids, keys, wide = [], [], []
+            ids, keys, wide, room = [], [], [], []
             for doc, s in zip(batch.column(0).to_numpy(), kernels.each_set(batch.column(1), WORDS), strict=True):
                 n = len(s)
                 if n < 2:
@@ -225,6 +236,7 @@ def _keys(order: Order, boundary: int):
                 ids.append(np.full(len(one), doc))
                 keys.append(kernels.mixed(one))
                 wide.append(np.full(len(one), large))
+                room.append(len(shared) - np.arange(len(one)))
                 if not large:
                     two = shared[: max(0, prefix(n, 2) - alone)]
                     i, j = np.triu_indices(len(two), 1)
@@ -232,14 +244,41 @@ def _keys(order: Order, boundary: int):
                     ids.append(np.full(len(pairs), doc))
                     keys.append(pairs)
                     wide.append(np.full(len(pairs), True))
+                    room.append(len(shared) - i)
             if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(wide))], ["id", "key", "wide"]
-                )
+                columns = [pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(wide)), pa.array(np.concatenate(room), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "key", "wide", "room"])
 
     return batches
 
 
+def sketches(docs: DataFrame, bitmap) -> DataFrame:
+    """``id, n`` and a parity bitmap of each set, in columns ``p0`` to ``p31``.
+
+    Two bitmaps differ in no more bits than the sets differ in elements.
+    """
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in held(it, bitmap):
+            sizes, words = [], np.zeros((batch.num_rows, SKETCH), np.int64)
+            for i, s in enumerate(kernels.each_set(batch.column(1), WORDS)):
+                sizes.append(len(s))
+                odd = np.bincount((s >> np.uint64(64 - 11)).astype(np.int64), minlength=SKETCH * 64) & 1
+                words[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *[pa.array(words[:, k]) for k in range(SKETCH)]], ["id", "n", *[f"p{k}" for k in range(SKETCH)]])
+
+    return keyed(docs).mapInArrow(batches, "id long, n long, " + ", ".join(f"p{k} long" for k in range(SKETCH)))
+
+
+#: What a pair that links satisfies under the first key that its sets share: sizes, the shared shingles that are
+#: left from there on (an intersection has 3/7 of both sizes at least), and the sketches (1/7 may differ at most).
+POSSIBLE = (
+    f"100 * least(x_n, y_n) >= {PERCENT} * greatest(x_n, y_n) and 7 * least(x_room, y_room) >= 3 * (x_n + y_n) and 7 * ("
+    + " + ".join(f"bit_count(x_p{k} ^ y_p{k})" for k in range(SKETCH))
+    + ") <= x_n + y_n"
+)
+
+
 def _linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that link, by their whole texts."""
     for batch in it:
@@ -272,10 +311,10 @@ def join(docs: DataFrame) -> DataFrame:
     reps = cut(reps)
     total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bitmap = spark.sparkContext.broadcast(id_filter(reps.select("id")))
-    unique = functools.partial(filtered, docs, bitmap)
-    order = order_of(unique(), total)
+    order = order_of(docs, bitmap, total)
     shipped = spark.sparkContext.broadcast(order)
-    members = unique().mapInArrow(_keys(shipped, order.boundary()), "id long, key long, wide boolean")
+    keys = _keys(shipped, order.boundary())
+    members = keyed(docs).mapInArrow(lambda it: keys(held(it, bitmap)), "id long, key long, wide boolean, room int")
     sizes = reps.select("id", "n")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -288,7 +327,10 @@ def join(docs: DataFrame) -> DataFrame:
         xa, xb = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
         return near.join(xa, "a").join(xb, "b").select("a", "b", "ta", "tb").mapInArrow(_linked, "a long, b long").distinct()
 
-    labels = components(Links(members, verify))
+    def sketched(ids: DataFrame) -> DataFrame:
+        return sketches(docs, spark.sparkContext.broadcast(id_filter(ids))).distinct()
+
+    labels = components(Links(members, verify, sketches=sketched, possible=POSSIBLE))
     by_key = reps.join(labels, "id", "left").select("key", F.coalesce("label", "id").alias("component"))
     joined = sets.join(by_key, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
