@@ -22,16 +22,13 @@ class Links:
     """``members``: ``id long, key long`` and, if only some pairs of a key count, ``wide``: one side must be wide.
 
     ``verify`` takes distinct pairs ``a < b`` and returns those that link.
-    ``cheap`` is a condition on the columns of two members, prefixed ``x_`` and
-    ``y_``, without which a pair is not verified. ``sketches`` takes ids and
-    returns ``id`` with further columns; ``possible`` is a condition on two
-    members and their sketches that holds for every pair which may still have to
-    be found under a key.
+    ``sketches`` takes ids and returns ``id`` with further columns; ``possible``
+    is a condition on two members and their sketches, prefixed ``x_`` and ``y_``,
+    that holds for every pair which may still have to be found under a key.
     """
 
     members: DataFrame
     verify: Callable[[DataFrame], DataFrame]
-    cheap: str = "true"
     sketches: Callable[[DataFrame], DataFrame] | None = None
     possible: str = "true"
 
@@ -85,13 +82,11 @@ def components(links: Links) -> DataFrame:
     lists = cut(
         members
         .withColumn("n", F.count("*").over(of_key))
-        .withColumn("lead", F.min(F.when(F.col("wide"), F.struct("id", *own))).over(of_key))
-        .where("n > 1 and lead is not null")
-        .drop("n")
+        .withColumn("leader", F.min(F.when(F.col("wide"), F.col("id"))).over(of_key))
+        .where("n > 1 and leader is not null")
     )
-    first = _prefixed(lists, "x", ["id", *own], [F.col("lead.id").alias("y_id"), *[F.col(f"lead.{c}").alias(f"y_{c}") for c in own]])
-    seen = cut(_pairs(first.where("x_id <> y_id").where(links.cheap), "x_id", "y_id"))
-    lists = lists.withColumn("leader", F.col("lead.id")).drop("lead")
+    seen = cut(_pairs(lists.where("id <> leader"), "id", "leader"))
+    lists = lists.where("n > 2").drop("n")  # two members are done
     found = cut(links.verify(seen))
     labels = connected(found)
 
@@ -105,7 +100,7 @@ def components(links: Links) -> DataFrame:
     few = open_keys.withColumn("n", F.row_number().over(order)).where(F.col("n") <= LEADERS)
     columns = ["id", "label", *own]
     tried = _prefixed(open_keys, "x", columns, ["key"]).join(_prefixed(few, "y", columns, ["key"]), "key")
-    tried = tried.where("x_label <> y_label and (x_wide or y_wide)").where(links.cheap)
+    tried = tried.where("x_label <> y_label and (x_wide or y_wide)")
     again = cut(_pairs(tried, "x_id", "y_id").join(seen, ["a", "b"], "left_anti"))
     more = cut(links.verify(again))
     seen = seen.unionByName(again)
@@ -120,6 +115,6 @@ def components(links: Links) -> DataFrame:
     rows = cut(rows)
     columns = [c for c in rows.columns if c != "key"]
     x, y = _prefixed(rows.where("label <> head"), "x", columns, ["key"]), _prefixed(rows.where("id <> leader"), "y", columns, ["key"])
-    crossed = x.join(y, "key").where(f"x_label <> y_label and (y_label = y_head or x_id < y_id) and (x_wide or y_wide) and ({links.cheap}) and ({links.possible})")
+    crossed = x.join(y, "key").where(f"x_label <> y_label and (y_label = y_head or x_id < y_id) and (x_wide or y_wide) and ({links.possible})")
     last = cut(links.verify(_pairs(crossed, "x_id", "y_id").join(seen, ["a", "b"], "left_anti")))
     return labels if last.isEmpty() else connected(found.unionByName(last))

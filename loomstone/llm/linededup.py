@@ -8,6 +8,7 @@ line of each component stays: the first by doc_id and line number.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -19,20 +20,44 @@ from pyspark.sql import functions as F
 from loomstone.llm import kernels
 from loomstone.llm.components import Links, components
 from loomstone.llm.scratch import cut
-from loomstone.llm.setjoin import ID_BITS, id_filter
 
 #: Characters of a shingle; lines link at a Jaccard similarity of PERCENT in a hundred.
 CHARS, PERCENT = 5, 75
-#: A pair at the threshold meets in some band with probability 0.995, one at 0.85 with 0.99998.
-BANDS, ROWS = 20, 5
-#: Bits of the broadcast map of band keys that several lines share.
+#: A pair at the threshold meets in some band with probability 0.998, one at 0.8 with 0.9999; a pair of unrelated
+#: lines (a similarity of 0.05) with 5e-7. A corpus with very many more lines wants more rows and bands.
+BANDS, ROWS = 32, 6
+#: Bins of which two bits are kept with a line, and differing bins from which a pair is not verified: an estimated
+#: similarity below 0.4, over three standard deviations under the threshold even for lines of 40 characters.
+BITS, DIFFERENT = 96, 43
+#: Words of 64 bits of a line's parity sketch.
+SKETCH = 16
+#: Bits of the broadcast Bloom filter of band keys that several lines share, and its hashes.
 SHARED_BITS = 1 << 27
-#: Band keys that a counting bucket takes.
-BUCKET_KEYS = 4_000_000
+_HASHES = np.array([1, 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1], np.uint64)
+#: Band keys that a counting bucket takes, and that a task holds before it passes them on.
+BUCKET_KEYS, FLUSH = 1_000_000, 1_000_000
 
 _EMPTY = np.uint32(0xFFFFFFFF)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+
+
+@functools.lru_cache(maxsize=2)
+def _values(which: int) -> np.ndarray:
+    """A random 64-bit value for each code point; two sets of them."""
+    v = kernels.mixed(np.arange(0x110000, dtype=np.uint64) + np.uint64(1))
+    return v if which == 0 else kernels.mixed(v)
+
+
+def _space(points: np.ndarray) -> np.ndarray:
+    return (points == 32) | (points - np.uint32(9) <= 4)
+
+
+def _ordered(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values.sort()
+    keep = np.empty(len(values), bool)
+    keep[:1] = True
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
 
 
 class Lines:
@@ -48,36 +73,42 @@ class Lines:
         begin = np.concatenate([offsets[:-1], new + 1])
         order = np.lexsort((begin, docs))
         self.doc, begin = docs[order], begin[order]
-        end = np.append(begin[1:] - 1, len(self.points))
-        last = np.append(self.doc[1:] != self.doc[:-1], True)
+        end = np.append(begin[1:] - 1, len(self.points))[: len(begin)]
+        last = np.append(self.doc[1:] != self.doc[:-1], True)[: len(begin)]
         end[last] = offsets[self.doc[last] + 1]
         self.number = np.arange(len(begin)) - np.searchsorted(self.doc, self.doc)
-        solid = np.flatnonzero(~(_SPACE[np.minimum(self.points, 255)] & (self.points < 128)))
-        i, j = np.searchsorted(solid, begin), np.searchsorted(solid, end) - 1
-        full = np.flatnonzero(j >= i)
-        self.doc, self.number = self.doc[full], self.number[full]
-        self.begin, self.end = solid[i[full]], solid[j[full]] + 1
-        values = kernels.mixed(self.points.astype(np.uint64) + np.uint64(1))
-        self.key = kernels.span_hashes(values, self.begin, self.end)
-        self.check = kernels.span_hashes(kernels.mixed(values), self.begin, self.end)
+        points = self.points
+        while len(left := np.flatnonzero(begin < end)) and len(left := left[_space(points[begin[left]])]):
+            begin[left] += 1
+        while len(left := np.flatnonzero(begin < end)) and len(left := left[_space(points[end[left] - 1])]):
+            end[left] -= 1
+        full = np.flatnonzero(begin < end)
+        self.doc, self.number, self.begin, self.end = self.doc[full], self.number[full], begin[full], end[full]
+        self._sums, self._down = kernels.prefix_sums(_values(0).take(points))
+        self.key = kernels.hashes_of(self._sums, self._down, self.begin, self.end)
+
+    @property
+    def check(self) -> np.ndarray:
+        """Another 64 bits of each line."""
+        return kernels.span_hashes(_values(1).take(self.points), self.begin, self.end)
 
     def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all shingles of the chosen lines, and the place in ``which`` of each one's line."""
-        p = self.points.astype(np.uint64)
-        n = max(0, len(p) - CHARS + 1)
-        rolled = np.zeros(n, np.uint64)
-        for k in range(CHARS):
-            rolled += p[k : k + n] * kernels._PLACES[k]
+        n = max(0, len(self.points) - CHARS + 1)
+        rolled = (self._sums[CHARS:] - self._sums[:-CHARS])[:n] * self._down[:n] if n else np.zeros(0, np.uint64)
         begin, count = self.begin[which], self.end[which] - self.begin[which] - CHARS + 1
         long = count > 0
         size = np.where(long, count, 0)
         line = np.repeat(np.arange(len(which)), size)
         place = np.arange(len(line)) + np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64), size)
         short = np.flatnonzero(~long)
-        return np.concatenate([kernels.mixed(rolled[place]), self.key[which[short]]]), np.concatenate([line, short])
+        h = rolled[place] * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return (np.concatenate([h, self.key[which[short]]]), np.concatenate([line, short])) if len(short) else (h, line)
 
-    def bands(self, which: np.ndarray) -> np.ndarray:
-        """Band keys of the chosen lines, one row a line.
+    def bins(self, which: np.ndarray) -> np.ndarray:
+        """The signature of each chosen line.
 
         A bin keeps the least hash that falls into it; an empty bin borrows that
         of the next full bin, marked with the distance.
@@ -87,19 +118,35 @@ class Lines:
         least = np.full(len(which) * bins, _EMPTY, np.uint32)
         np.minimum.at(least, line * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64), h.astype(np.uint32))
         least = least.reshape(-1, bins)
-        twice = np.concatenate([least, least], axis=1)
-        at = np.where(twice != _EMPTY, np.arange(2 * bins, dtype=np.int16), np.int16(2 * bins - 1))
-        source = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :bins]
+        at = np.where(least != _EMPTY, np.arange(bins, dtype=np.int16), np.int16(2 * bins))
+        first = at.min(axis=1, keepdims=True) + np.int16(bins)
+        source = np.minimum(np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1], first)
         far = (source - np.arange(bins, dtype=np.int16)).astype(np.uint32)
-        filled = np.take_along_axis(twice, source.astype(np.int64), axis=1) + far * np.uint32(0x9E3779B1)
-        out = np.empty((len(which), BANDS), np.uint64)
+        place = source.astype(np.int64) % bins + np.arange(0, least.size, bins)[:, None]
+        return least.ravel().take(place) + far * np.uint32(0x9E3779B1)
+
+    @staticmethod
+    def bands(bins: np.ndarray) -> np.ndarray:
+        """Band keys, one row a line.
+
+        The bins of a band lie far apart, so that in a short line they do not all
+        borrow from one.
+        """
+        columns = np.ascontiguousarray(bins.T).astype(np.uint64)
+        out = np.empty((len(bins), BANDS), np.uint64)
         for b in range(BANDS):
-            key = np.full(len(which), b + 1, np.uint64)
+            key = np.full(len(bins), b + 1, np.uint64)
             for r in range(ROWS):
-                key = kernels.mixed(key + filled[:, b * ROWS + r].astype(np.uint64) * kernels._PLACES[r])
-            out[:, b] = key
+                key = (key + columns[r * BANDS + b]) * kernels._PLACES[r]
+            out[:, b] = kernels.mixed(key)
         return out
 
+    @staticmethod
+    def bits(bins: np.ndarray) -> np.ndarray:
+        """Two bits of each of the first bins, in words of 64 bits."""
+        two = (bins[:, :BITS] * np.uint32(0x85EBCA6B) >> np.uint32(30)).astype(np.uint8)
+        return np.packbits(np.stack([two >> 1, two & 1], axis=2).reshape(len(bins), 2 * BITS), axis=1).view(np.int64)
+
     def text(self, i: int) -> str:
         return self.points[self.begin[i] : self.end[i]].tobytes().decode("utf-32-le")
 
@@ -135,51 +182,56 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 
 def _counted(it: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Per bucket of band keys, key and line in 64 bits each, packed."""
+    """Per bucket of band keys, 32 more bits of the key and 8 of the line in five bytes each."""
     bits = np.uint64(int(math.log2(buckets)))
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[np.ndarray] = []
     size = 0
 
     def packed() -> pa.RecordBatch:
-        key, line = np.concatenate([k.ravel() for k, _ in held]), np.concatenate([np.repeat(x, BANDS) for _, x in held])
-        order = np.argsort(key >> np.uint64(64) - bits, kind="stable")
-        key, line = key[order], line[order]
-        which = (key >> np.uint64(64) - bits).astype(np.int64)
-        entry = (key << bits >> np.uint64(32) << np.uint64(32)) | (line >> np.uint64(32))
+        entry = _ordered(np.concatenate(held))
+        which = (entry >> np.uint64(40)).astype(np.int64)
         cuts = np.append(np.flatnonzero(np.append(True, which[1:] != which[:-1])), len(which))
-        rows = [(int(which[a]), np.unique(entry[a:b]).tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        bytes_ = entry.view(np.uint8).reshape(-1, 8)[:, :5]
+        rows = [(int(which[a]), bytes_[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "entries"])
 
     for batch in it:
         for _, x in _runs(batch):
             which = np.unique(x.key, return_index=True)[1]
             if len(which):
-                keys = x.bands(which)
-                held.append((keys, x.key[which]))
+                keys = x.bands(x.bins(which))
+                held.append((((keys >> np.uint64(32) - bits) << np.uint64(8)) | (x.key[which] >> np.uint64(56))[:, None]).ravel())
                 size += keys.size
-            if size >= 1_000_000:
+            if size >= FLUSH:
                 yield packed()
                 held, size = [], 0
     if held:
         yield packed()
 
 
+def _place(low: np.ndarray, a: np.uint64, per: np.uint64) -> np.ndarray:
+    """Places of 32-bit values in a filter of ``per`` bits, by one hash."""
+    return ((low * a & np.uint64(0xFFFFFFFF)) ^ (low * a >> np.uint64(32) & np.uint64(0xFFFF))) * per >> np.uint64(32)
+
+
 def _merged(bucket_bits: int):
-    """One bucket's part of the map of band keys that several lines share."""
+    """One bucket's part of the filter of band keys that several lines share."""
 
     def bucket(parts: pa.Table) -> pa.Table:
-        entries = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in parts.column("entries").to_pylist()]))
-        low = entries >> np.uint64(32)
-        shared = np.unique(low[1:][low[1:] == low[:-1]])
+        raw = np.frombuffer(b"".join(parts.column("entries").to_pylist()), np.uint8).reshape(-1, 5)
+        entries = np.zeros((len(raw), 8), np.uint8)
+        entries[:, :5] = raw
+        low = _ordered(entries.view(np.uint64).ravel()) >> np.uint64(8)
         bits = np.zeros(bucket_bits, bool)
-        bits[shared * np.uint64(bucket_bits) >> np.uint64(32)] = True
+        for a in _HASHES:
+            bits[_place(low[1:][low[1:] == low[:-1]], a, np.uint64(bucket_bits))] = True
         return pa.table({"bucket": pa.array([parts.column("bucket")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
     return bucket
 
 
 def shared_bands(docs: DataFrame, lines: int) -> tuple[int, np.ndarray]:
-    """Number of buckets, and a 16 MB bitmap of the band keys under which at least two lines meet."""
+    """Number of buckets, and a 16 MB Bloom filter of the band keys under which at least two lines meet."""
     buckets = 1 << max(4, math.ceil(math.log2(max(1, lines * BANDS / BUCKET_KEYS))))
     bucket_bits = max(8, SHARED_BITS // buckets)
     merged = hashed(docs).mapInArrow(lambda it: _counted(it, buckets), "bucket int, entries binary").groupBy("bucket").applyInArrow(_merged(bucket_bits), "bucket int, bits binary")
@@ -189,79 +241,84 @@ def shared_bands(docs: DataFrame, lines: int) -> tuple[int, np.ndarray]:
     return buckets, bits
 
 
-def band_members(docs: DataFrame, buckets: int, bits) -> DataFrame:
-    """``id, key``: lines under the band keys that they share with another line."""
+def candidates(docs: DataFrame, buckets: int, shared) -> DataFrame:
+    """``id, keys, s0.., line``: each line with the band keys that it may share with another line, its bits and its text, once."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = np.uint64(int(math.log2(buckets)))
-        per = np.uint64(len(bits.value) * 8 // buckets)
+        per = np.uint64(len(shared.value) * 8 // buckets)
         for batch in it:
             for _, x in _runs(batch):
                 which = np.unique(x.key, return_index=True)[1]
                 if not len(which):
                     continue
-                keys = x.bands(which)
-                place = (keys >> np.uint64(64) - b) * per + ((keys << b >> np.uint64(32)) * per >> np.uint64(32))
-                held = (bits.value[(place >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1
-                line, band = np.nonzero(held)
-                yield pa.RecordBatch.from_arrays([pa.array(x.key[which[line]].view(np.int64)), pa.array(keys[line, band].view(np.int64))], ["id", "key"])
-
-    return hashed(docs).mapInArrow(batches, "id long, key long").distinct()
-
-
-def _texts_of(docs: DataFrame, bitmap) -> DataFrame:
-    """``id, line`` of lines whose key the bitmap may hold, each once."""
-    spark_hash = hashed(docs)
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
-        for batch in it:
-            ids, lines = [], []
-            for _, x in _runs(batch):
-                place = kernels.mixed(x.key) >> np.uint64(40)
-                held = (bits[(place >> np.uint64(6)).astype(np.intp)] >> (place & np.uint64(63)).astype(np.int64)) & 1
-                some = np.flatnonzero(held)
-                some = some[np.unique(x.key[some], return_index=True)[1]]
-                ids += x.key[some].view(np.int64).tolist()
-                lines += [x.text(i) for i in some]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["id", "line"])
-
-    return spark_hash.mapInArrow(batches, "id long, line string").groupBy("id").agg(F.first("line").alias("line"))
-
-
-def key_filter(ids: DataFrame) -> np.ndarray:
-    """As ``id_filter`` for line keys, by the kernels' own hash: the bitmap is built in Arrow batches."""
+                bins = x.bins(which)
+                keys = x.bands(bins)
+                left = np.arange(keys.size)
+                bucket, low = (keys.ravel() >> np.uint64(64) - b) * per, keys.ravel() << b >> np.uint64(32)
+                for a in _HASHES:
+                    place = _place(low[left], a, per) + bucket[left]
+                    left = left[(shared.value[(place >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1 == 1]
+                counts = np.bincount(left // BANDS, minlength=len(which))
+                some = np.flatnonzero(counts)
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts[some])]).astype(np.int32), keys.ravel()[left].view(np.int64))
+                bits = x.bits(bins[some])
+                columns = [pa.array(x.key[which[some]].view(np.int64)), lists, *[pa.array(np.ascontiguousarray(w)) for w in bits.T], pa.array([x.text(i) for i in which[some]], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "keys", *WORDS, "line"])
+
+    return hashed(docs).mapInArrow(batches, f"id long, keys array<long>, {', '.join(f'{w} long' for w in WORDS)}, line string").dropDuplicates(["id"])
+
+
+def sketches(lines: DataFrame) -> DataFrame:
+    """``id, n`` and a parity bitmap of the shingle set of each ``id, line``.
+
+    Two bitmaps differ in no more bits than the sets differ in elements.
+    """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(ID_BITS, bool)
         for batch in it:
-            bits[(kernels.mixed(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(40)).astype(np.intp)] = True
-        words = np.packbits(bits, bitorder="little").view(np.int64)
-        some = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some])], ["w", "b"])
-
-    out = np.zeros(ID_BITS // 64, np.int64)
-    packed = ids.select("id").mapInArrow(batches, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b"))
-    for part in packed.toArrow().to_batches():
-        out[part.column(0).to_numpy()] = part.column(1).to_numpy()
-    return out
-
-
-def jaccard_links(a: str, b: str) -> bool:
-    """Whether the shingle sets of two lines have a similarity of PERCENT in a hundred or more."""
-    pair = Lines([a, b])
-    if len(pair.key) < 2:
-        return False
-    h, line = pair.shingles(np.arange(2))
-    x, y = np.unique(h[line == 0]), np.unique(h[line == 1])
-    both = np.sort(np.concatenate([x, y]))
-    inter = int((both[1:] == both[:-1]).sum())
-    return 100 * inter >= PERCENT * (len(x) + len(y) - inter)
+            x = Lines(batch.column(1).to_pylist())
+            h, line = x.shingles(np.arange(len(x.key)))
+            one = _ordered((line.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
+            line, at = (one >> np.uint64(44)).astype(np.int64), (one >> np.uint64(44 - 10) & np.uint64(1023)).astype(np.int64)
+            odd = (np.bincount(line * SKETCH * 64 + at, minlength=len(x.key) * SKETCH * 64) & 1).astype(np.uint8).reshape(len(x.key), SKETCH * 64)
+            words = np.packbits(odd, axis=1).view(np.int64)
+            columns = [pa.array(np.bincount(line, minlength=len(x.key))), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(SKETCH)]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n", *[f"p{k}" for k in range(SKETCH)]])
+
+    return lines.mapInArrow(batches, "id long, n long, " + ", ".join(f"p{k} long" for k in range(SKETCH)))
+
+
+#: Columns of a line's bits, and whether those of two lines leave them worth verifying.
+WORDS = [f"s{k}" for k in range(BITS // 32)]
+CHEAP = " + ".join(f"bit_count(((x_{w} ^ y_{w}) | shiftright(x_{w} ^ y_{w}, 1)) & 6148914691236517205)" for w in WORDS) + f" <= {DIFFERENT}"
+#: What holds for any pair that links: sizes, and parity sketches (1/7 of both sets may differ at most).
+POSSIBLE = (
+    f"100 * least(x_n, y_n) >= {PERCENT} * greatest(x_n, y_n) and 7 * (" + " + ".join(f"bit_count(x_p{k} ^ y_p{k})" for k in range(SKETCH)) + ") <= x_n + y_n"
+)
+
+
+def linked(left: list[str], right: list[str]) -> list[bool]:
+    """For each pair of lines, whether their shingle sets have a similarity of PERCENT in a hundred or more."""
+    n = len(left)
+    both = Lines([*left, *right])
+    h, line = both.shingles(np.arange(len(both.key)))
+    which = both.doc[line]
+    sets = _ordered((which.astype(np.uint64) << np.uint64(55)) | (h >> np.uint64(9)))
+    sizes = np.bincount((sets >> np.uint64(55)).astype(np.int64), minlength=2 * n)
+    cut_at = int(np.searchsorted(sets, np.uint64(n) << np.uint64(55)))
+    merged = np.concatenate([sets[:cut_at], sets[cut_at:] - (np.uint64(n) << np.uint64(55))])
+    merged.sort()
+    inter = np.bincount((merged[1:][merged[1:] == merged[:-1]] >> np.uint64(55)).astype(np.int64), minlength=n)
+    return (100 * inter >= PERCENT * (sizes[:n] + sizes[n:] - inter)).tolist()
 
 
 def _linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        keep = [jaccard_links(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        keep: list[bool] = []
+        for at in range(0, len(left), 200):
+            keep += linked(left[at : at + 200], right[at : at + 200])
         yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -275,24 +332,30 @@ def classes(docs: DataFrame) -> DataFrame:
     their decisions.
 
     Only band keys that two lines share are ever written as rows, and only texts
-    of candidate pairs move. A component is found without comparing all pairs
+    of lines with such a key move. A component is found without comparing all pairs
     of a band.
     """
     spark = docs.sparkSession
     lines = cut(line_table(docs))
     buckets, bits = shared_bands(docs, lines.count())
-    members = band_members(docs, buckets, spark.sparkContext.broadcast(bits))
+    some = cut(candidates(docs, buckets, spark.sparkContext.broadcast(bits)))
+    members = some.select("id", F.explode("keys").alias("key"))
+    texts = some.select("id", "line")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        near = cut(pairs)
-        asked = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id")))
-        texts = cut(_texts_of(docs, spark.sparkContext.broadcast(key_filter(asked))))
         xa, xb = texts.select(F.col("id").alias("a"), F.col("line").alias("la")), texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
+        ba, bb = [some.select(F.col("id").alias(side), *[F.col(w).alias(f"{name}_{w}") for w in WORDS]) for side, name in (("a", "x"), ("b", "y"))]
+        near = pairs.join(ba, "a").join(bb, "b").where(CHEAP).select("a", "b")
         return near.join(xa, "a").join(xb, "b").select("a", "b", "la", "lb").mapInArrow(_linked, "a long, b long")
 
-    labels = components(Links(members, verify))
-    placed = lines.join(labels, lines["key"] == labels["id"], "left").select(
-        "doc_id", "h", "line_no", F.coalesce("label", "key").alias("c1"), F.when(F.col("label").isNull(), F.col("check")).otherwise(0).alias("c2")
+    def sketched(ids: DataFrame) -> DataFrame:
+        return sketches(texts.join(ids, "id"))
+
+    labels = components(Links(members, verify, sketched, POSSIBLE))
+    placed = cut(
+        lines.join(labels, lines["key"] == labels["id"], "left").select(
+            "doc_id", "h", "line_no", F.coalesce("label", "key").alias("c1"), F.when(F.col("label").isNull(), F.col("check")).otherwise(0).alias("c2")
+        )
     )
     heads = placed.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "h", "line_no")).alias("first"))
     joined = placed.join(heads, ["c1", "c2"])

@@ -7,8 +7,9 @@ edits entries of the map and never rehashes a record.
 
 from __future__ import annotations
 
+import bisect
 import heapq
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,35 +62,38 @@ def first_map(loads: Mapping[int, int], shards: int) -> dict[int, int]:
 
 
 def rebalance(current: Mapping[int, int], loads: Mapping[int, int], shards: int) -> dict[int, int]:
-    """An edited map for ``shards`` shards.
+    """An edited map for ``shards`` shards; every entry that need not change stays.
 
-    Slots of shards that are gone, and slots above a shard's even share, move to
-    the emptiest shards; every other entry stays. A slot that the map lacks goes
-    to the emptiest shard.
+    Slots without a shard, or of a shard that is gone, go to the emptiest
+    shards. Then the fullest shard gives the emptiest one the largest slot that
+    is at most half the gap between them, until no slot is. After growth only
+    the new shards are given slots.
     """
-    held: dict[int, list[int]] = {s: [] for s in range(shards)}
-    loose = [slot for slot in loads if current.get(slot, -1) not in held]
-    for slot, shard in current.items():
-        if shard in held:
-            held[shard].append(slot)
-    share = sum(loads.values()) / shards
-    sums = {}
-    for shard, slots in held.items():
-        sums[shard] = sum(loads.get(s, 0) for s in slots)
-        for slot in sorted(slots, key=lambda s: (loads.get(s, 0), s)):
-            load = loads.get(slot, 0)
-            if sums[shard] - share < load / 2 or not load:
-                continue
-            sums[shard] -= load
-            loose.append(slot)
-    out = {s: h for s, h in current.items() if h in held}
-    heap = [(b, s) for s, b in sums.items()]
-    heapq.heapify(heap)
-    for slot in sorted(loose, key=lambda s: (-loads.get(s, 0), s)):
-        b, shard = heapq.heappop(heap)
+    new = sorted(set(range(shards)) - set(current.values()))
+    held: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
+    out = {slot: shard for slot, shard in current.items() if shard < shards}
+    for slot, shard in out.items():
+        bisect.insort(held[shard], (loads.get(slot, 0), slot))
+    sums = [sum(load for load, _ in slots) for slots in held]
+
+    def put(load: int, slot: int, among: Sequence[int]) -> None:
+        shard = min(among, key=lambda k: (sums[k], k))
         out[slot] = shard
-        heapq.heappush(heap, (b + loads.get(slot, 0), shard))
-    return out
+        bisect.insort(held[shard], (load, slot))
+        sums[shard] += load
+
+    for slot in sorted((s for s in loads if s not in out), key=lambda s: (-loads[s], s)):
+        put(loads[slot], slot, range(shards))
+    receivers = new or range(shards)
+    while True:
+        full = max(range(shards), key=lambda k: (sums[k], -k))
+        gap = sums[full] - min(sums[k] for k in receivers)
+        at = bisect.bisect_right(held[full], (gap // 2, 1 << 62)) - 1
+        if at < 0 or held[full][at][0] == 0:
+            return out
+        load, slot = held[full].pop(at)
+        sums[full] -= load
+        put(load, slot, receivers)
 
 
 def map_table(spark: SparkSession, version: int, assignment: Mapping[int, int]) -> DataFrame:
