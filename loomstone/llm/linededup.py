@@ -298,9 +298,14 @@ POSSIBLE = (
 )
 
 
-def linked(left: list[str], right: list[str]) -> list[bool]:
-    """For each pair of lines, whether their shingle sets have a similarity of PERCENT in a hundred or more."""
+def linked(left: list[str], right: list[str], at_once: int = 200) -> list[bool]:
+    """For each pair of lines, whether their shingle sets have a similarity of PERCENT in a hundred or more.
+
+    At most 256 pairs go at once: nine bits tell their lines apart beside 55 bits of a shingle.
+    """
     n = len(left)
+    if n > at_once:
+        return linked(left[:at_once], right[:at_once]) + linked(left[at_once:], right[at_once:])
     both = Lines([*left, *right])
     h, line = both.shingles(np.arange(len(both.key)))
     which = both.doc[line]
@@ -316,9 +321,7 @@ def linked(left: list[str], right: list[str]) -> list[bool]:
 def _linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        keep: list[bool] = []
-        for at in range(0, len(left), 200):
-            keep += linked(left[at : at + 200], right[at : at + 200])
+        keep = [x for at in range(0, len(left), 200) for x in linked(left[at : at + 200], right[at : at + 200])]
         yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
