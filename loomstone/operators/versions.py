@@ -73,7 +73,7 @@ def state_at(commits: DataFrame, epoch: int | None, columns: Sequence[str]) -> D
     seen = commits if epoch is None else commits.where(F.col("epoch") <= epoch)
     last = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col("epoch").desc(), F.col("ordinal").desc()))
     rows = merged(seen, columns).withColumn("n", last).where("n = 1 and op <> 'delete'")
-    return rows.select(*KEY, F.col("epoch").alias("version_id"), *columns)
+    return rows.select(*KEY, F.col("epoch").alias("version_id"), *[F.col(f"`{c}`") for c in columns])
 
 
 def as_commits(state: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +44,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loomstone-store-')}"
-    return f"{shared.rstrip('/')}/{name}-{abs(hash((name, id(object()))))}"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _docs(sql: str) -> str:

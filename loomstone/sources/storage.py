@@ -168,30 +168,40 @@ class Store:
             return self.spark.createDataFrame([], COMMIT_SCHEMA).select(*COLUMNS)
         return self.spark.read.schema(COMMIT_SCHEMA).option("basePath", f"{self.root}/commits").parquet(*present).select(*COLUMNS)
 
-    def state(self, table: str, columns: Sequence[str], epoch: int | None = None) -> DataFrame:
-        """Live records: the checkpoint's rows and the commits after it, or all commits for an epoch before the checkpoint."""
-        now = self.manifest()
-        at = now["checkpoint"]
-        mine = F.col("table") == table
-        if at is None or (epoch is not None and epoch < at):
-            return versions.state_at(self.commits().where(mine), epoch, columns)
-        tail = self.commits(at).where(mine)
+    def history(self, table: str, columns: Sequence[str], epoch: int | None = None) -> DataFrame:
+        """Commits that lead to a table's state: the checkpoint as puts and what came after, or all of them for an earlier epoch."""
+        at = self.manifest()["checkpoint"]
+        whole = at is None or (epoch is not None and epoch < at)
+        tail = self.commits(0 if whole else at).where(F.col("table") == table).drop("table")
         if epoch is not None:
             tail = tail.where(F.col("epoch") <= epoch)
-        rows = self.spark.read.parquet(f"{self.root}/checkpoints/{at}").where(mine)
-        base = rows.select("tenant_id", "record_id", "version_id", *[F.col("fields")[c].alias(c) for c in columns])
-        return versions.recovered(base, at, tail, columns)
+        if whole:
+            return tail
+        rows = self.spark.read.parquet(f"{self.root}/checkpoints/{at}").where(F.col("table") == table)
+        base = rows.select("tenant_id", "record_id", F.col("version_id").alias("epoch"), F.lit(0).cast("long").alias("ordinal"), F.lit("put").alias("op"), "fields")
+        return base.unionByName(tail)
+
+    def state(self, table: str, columns: Sequence[str], epoch: int | None = None) -> DataFrame:
+        """Live records with the merged columns."""
+        return versions.state_at(self.history(table, columns, epoch), None, columns)
 
     def checkpoint(self, drop_commits: bool = False) -> int:
         """Writes every table's live rows at the newest epoch; commits up to it may then go."""
         now = self.manifest()
         epoch = now["epoch"]
+        if now["checkpoint"] == epoch:
+            return epoch
         parts = []
+        from loomstone.sources.tables import columns_of, status_field, statuses
+
         for name, raw in now["tables"].items():
             spec = TableSpec.from_dict(raw)
-            columns = [spec.id_column, spec.tenant_column, *spec.scalars, *spec.texts, *[v.name for v in spec.vectors]]
-            pairs = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(c) for c in columns]))
-            parts.append(self.state(name, columns).select(F.lit(name).alias("table"), "tenant_id", "record_id", "version_id", pairs.alias("fields")))
+            columns = columns_of(spec)
+            history = self.history(name, columns)
+            rows = versions.state_at(history, None, columns).join(statuses(history, spec), list(versions.KEY))
+            rows = rows.withColumns({status_field(v.name): F.col("feature_status")[v.name] for v in spec.vectors})
+            pairs = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(f"`{c}`") for c in columns]))
+            parts.append(rows.select(F.lit(name).alias("table"), "tenant_id", "record_id", "version_id", F.map_filter(pairs, lambda k, v: v.isNotNull()).alias("fields")))
         if not parts:
             raise NotFound("no table to check point")
         rows = parts[0]
