@@ -69,8 +69,8 @@ def scan_page(spark, sf):
 
 
 @query(_events(
-    f"SELECT record_id, version_id, '5' AS next_cursor FROM versions WHERE tenant_id = 't1' AND begin_epoch <= {AT} AND (end_epoch IS NULL OR end_epoch > {AT}) AND tombstone IS NULL ORDER BY record_id LIMIT 5",
-    b.VERSIONS_SQL,
+    "SELECT record_id, version_id, CASE WHEN (SELECT count(*) FROM seen) > 5 THEN '5' END AS next_cursor FROM seen ORDER BY record_id LIMIT 5",
+    b.VERSIONS_SQL, f"seen AS (SELECT * FROM versions WHERE tenant_id = 't1' AND begin_epoch <= {AT} AND (end_epoch IS NULL OR end_epoch > {AT}) AND tombstone IS NULL)",
 ))
 def scan_page_as_of(spark, sf):
     rows = versions.visible_at(versions.versions(b.commits(spark, sf)), AT)
@@ -631,9 +631,10 @@ def usage_totals(spark, sf):
     return operations.usage_totals(b.table(spark, sf, "events").withColumn("units", F.floor("value").cast("long")), "event_type", "units")
 
 
-@query(_docs("SELECT ['docs'] AS table_set, list_sort(list(DISTINCT tenant_id)) AS tenant_set FROM docs"))
+@query(_docs("SELECT 'docs' AS table_set, array_to_string(list_sort(list(DISTINCT tenant_id)), ',') AS tenant_set FROM docs"))
 def segment_table_tenant_sets(spark, sf):
-    return storage.segment_sets(b.docs(spark, sf).select(F.lit("docs").alias("table"), "tenant_id"))
+    sets = storage.segment_sets(b.docs(spark, sf).select(F.lit("docs").alias("table"), "tenant_id"))
+    return sets.select(*[F.array_join(c, ",").alias(c) for c in sets.columns])
 
 
 @query("SELECT user_id AS record_id, max(CASE WHEN event_type = 'error' THEN 1.0e0 ELSE 0.0e0 END) AS penalty FROM events GROUP BY user_id")

@@ -19,7 +19,7 @@ def make(spark, rows, spec=SPEC):
     """Rows given as (id, tenant, body, vector, extra) with extra overriding columns."""
     full = []
     for record_id, tenant, body, vector, *extra in rows:
-        row = {"record_id": record_id, "tenant_id": tenant, "category": None, "body": body, "embedding": vector, "status": "Ready" if vector else "Missing", "policy_json": None, "edges": None, "valid_from": None, "valid_to": None}
+        row = {"record_id": record_id, "tenant_id": tenant, "category": None, "body": body, "embedding": vector and [float(x) for x in vector], "status": "Ready" if vector else "Missing", "policy_json": None, "edges": None, "valid_from": None, "valid_to": None}
         row.update(extra[0] if extra else {})
         full.append(tuple(row.values()))
     from loomstone.functions.policy import parsed
