@@ -35,9 +35,9 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component: the one with the smallest doc_id; of repeated rows, one."""
     bounded(spark)
     gone = setjoin.join(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("h", F.xxhash64("text"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", F.xxhash64("text").alias("h")).join(gone, "doc_id", "left_anti")
     first = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("h"))
-    return left.withColumn("n", first).where("n = 1 or doc_id is null").select(*docs.columns)
+    return rows.withColumn("n", first).where("n = 1 or doc_id is null").select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, n_tokens, ids, decodes``: packed ids, and whether they decode to the text."""
     bounded(spark)
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")))
+    both = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"))
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return both.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.scratch import cut
+from loomstone.llm.scratch import cut, trimmed
 
 #: Code length. Vectors with fewer dimensions are padded: the error falls with the root of the length.
 BITS = 512
@@ -133,7 +133,7 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                     packed[i] = code.tobytes()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary()), pa.array(scalar)], ["id", "dims", "vector", "code", "scalar"])
 
-    return rows.mapInArrow(coded, "id long, dims int, vector array<double>, code binary, scalar double")
+    return rows.mapInArrow(trimmed(coded), "id long, dims int, vector array<double>, code binary, scalar double")
 
 
 def search(indexed: DataFrame, is_query, k: int = 5, bits: int = BITS) -> DataFrame:

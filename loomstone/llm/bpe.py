@@ -27,6 +27,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.llm.scratch import trimmed
+
 #: File name, in the folder of public tokenizers, of the default ranks.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Code points that are encoded at once at the bottom of the tree.
@@ -156,15 +158,15 @@ def encoder(path: str | None = None, pattern: str | None = None, leaf: int = LEA
     return TreeEncoder(ranks, pattern or public_tokenizers.PATTERN, leaf)
 
 
-def _added(df: DataFrame, name: str, of: str, convert) -> DataFrame:
-    """``df`` with the binary column ``name`` made from column ``of``, in Arrow batches."""
+def _added(df: DataFrame, of: str, names: list[str], convert) -> DataFrame:
+    """``df`` with binary columns ``names``: what ``convert`` makes of column ``of``, in Arrow batches."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            made = pa.array([convert(x.as_py()) for x in batch.column(batch.schema.get_field_index(of))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
+            made = [convert(x.as_py()) for x in batch.column(batch.schema.get_field_index(of))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([m[k] for m in made], pa.binary()) for k in range(len(names))]], [*batch.schema.names, *names])
 
-    return df.mapInArrow(batches, df.select("*", F.lit(b"").alias(name)).schema)
+    return df.mapInArrow(trimmed(batches), df.select("*", *[F.lit(b"").alias(n) for n in names]).schema)
 
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None, leaf: int = LEAF) -> DataFrame:
@@ -174,9 +176,20 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
     partition and all other columns stay; the input must not have a column
     ``ids``. No shuffle; memory holds one Arrow batch and one tree.
     """
-    return _added(df, ids, text, lambda x: encoder(path, pattern, leaf).encode(x or "").astype("<u4").tobytes())
+    return _added(df, text, [ids], lambda x: (encoder(path, pattern, leaf).encode(x or "").astype("<u4").tobytes(),))
 
 
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Adds ``decoded``: the bytes that the packed ids stand for. Null ids decode to no bytes."""
-    return _added(df, decoded, ids, lambda x: encoder(path, pattern).decode(np.frombuffer(x or b"", "<u4")))
+    return _added(df, ids, [decoded], lambda x: (encoder(path, pattern).decode(np.frombuffer(x or b"", "<u4")),))
+
+
+def round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", path: str | None = None, pattern: str | None = None, leaf: int = LEAF) -> DataFrame:
+    """``encode`` and ``decode`` of the packed ids, in one Python stage."""
+
+    def both(x: str | None) -> tuple[bytes, bytes]:
+        tree = encoder(path, pattern, leaf)
+        packed = tree.encode(x or "").astype("<u4").tobytes()
+        return packed, tree.decode(np.frombuffer(packed, "<u4"))
+
+    return _added(df, text, [ids, decoded], both)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.scratch import cut
+from loomstone.llm.scratch import cut, trimmed
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Role whose texts are under the loss mask.
@@ -138,7 +138,7 @@ def conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
     kind = pa.int64() if dict(messages.dtypes)["tree_id"] == "bigint" else pa.string()
     name = "bigint" if kind == pa.int64() else "string"
     ordered = ordered.withColumn("tree_id", F.col("tree_id").cast(name))
-    return ordered.mapInArrow(write, f"tree_id {name}, formatted string, loss_spans array<struct<start:bigint,end:bigint>>")
+    return ordered.mapInArrow(trimmed(write), f"tree_id {name}, formatted string, loss_spans array<struct<start:bigint,end:bigint>>")
 
 
 def from_turns(turns: DataFrame) -> DataFrame:

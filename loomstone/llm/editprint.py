@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.components import Links, components
-from loomstone.llm.scratch import cut
+from loomstone.llm.scratch import cut, trimmed
 
 #: Sampled steps, a hexadecimal digit each.
 DIGITS = 256
@@ -160,7 +160,7 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
                 made += fingerprints(part)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, "fingerprint"])
 
-    return docs.mapInArrow(batches, docs.select("*", F.lit("").alias("fingerprint")).schema)
+    return docs.mapInArrow(trimmed(batches), docs.select("*", F.lit("").alias("fingerprint")).schema)
 
 
 def chunks(texts: list[str]) -> Iterator[list[str]]:
@@ -195,9 +195,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     ranged = keyed.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
     schema = "kind string, doc_id long, h long, text string, fingerprint string, n_chars long, edited_sha256 string, edited_fingerprint string, near_edited double, near_next double"
-    part = cut(ranged.mapInArrow(_walk_range, schema))
+    part = cut(ranged.mapInArrow(trimmed(_walk_range), schema))
     edges = part.where("kind in ('first', 'last')").select("kind", "doc_id", "h", "text", "fingerprint")
-    rest = edges.coalesce(1).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "kind").mapInArrow(_walk_edges, schema)
+    rest = edges.coalesce(1).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "kind").mapInArrow(trimmed(_walk_edges), schema)
     return part.where("kind = 'row'").unionByName(rest).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 

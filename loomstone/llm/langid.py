@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstone.llm.scratch import trimmed
+
 #: Labelled texts read per language, and characters of them kept: the bounds of the fitted sample.
-SAMPLE_ROWS, SAMPLE_CHARS = 64, 40_000
+SAMPLE_ROWS, SAMPLE_CHARS = 64, 30_000
 #: Letters with a class of their own; 0 stands for a run of non-letters, 1 for all other letters.
 LETTERS = 62
 ALPHABET = LETTERS + 2
@@ -79,12 +81,12 @@ class SuffixAutomaton:
 
         State 0 stands before a phrase; a symbol that the text lacks leads back to it.
         """
-        root = np.array([2 * self.next[0].get(c, 0) + 1 for c in range(alphabet)], np.int64)
+        root = np.array([2 * self.next[0].get(c, 0) + 1 for c in range(alphabet)], np.int32)
         table = np.tile(root, (len(self.next), 1))
         inner = self.next[1:]
         states = np.repeat(np.arange(1, len(self.next)), [len(x) for x in inner])
         symbols = np.array([c for x in inner for c in x], np.int64)
-        table[states, symbols] = 2 * np.array([t for x in inner for t in x.values()], np.int64)
+        table[states, symbols] = 2 * np.array([t for x in inner for t in x.values()], np.int32)
         return table
 
 
@@ -101,15 +103,22 @@ class Parser:
         symbol[0] = 0
         symbol[own] = np.arange(2, 2 + len(own))
         self.symbol = symbol[letters]
-        tables, self.roots, self.scale, at = [], [], [], 0
+        steps, self.roots, self.scale, at = [], [], [], 0
         for k in self.langs:
             sequence = self._symbols(samples[k])
-            steps = SuffixAutomaton(sequence.tolist()).steps(ALPHABET)
-            tables.append(2 * ALPHABET * ((steps >> 1) + at) + (steps & 1))
+            steps.append(SuffixAutomaton(sequence.tolist()).steps(ALPHABET))
             self.roots.append(at * ALPHABET)
             self.scale.append(math.log2(len(sequence) + 2))
-            at += len(steps)
-        self.table = np.concatenate(tables).ravel().astype(np.int64 if at * ALPHABET * 2 > 2**31 - 1 else np.int32) if tables else np.zeros(0, np.int32)
+            at += len(steps[-1])
+        self.table = np.empty((at, ALPHABET), np.int64 if at * ALPHABET * 2 > 2**31 - 1 else np.int32)
+        at = 0
+        for part in steps:
+            own = self.table[at : at + len(part)]
+            np.add(part >> 1, at, out=own)
+            own *= 2 * ALPHABET
+            own += part & 1
+            at += len(part)
+        self.table = self.table.ravel()
 
     def _symbols(self, text: str) -> np.ndarray:
         s = self.symbol[code_points(text)]
@@ -183,7 +192,7 @@ class Parser:
 SCALAR = 6
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(dict(samples))
 
@@ -223,4 +232,4 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
             lang, score = _parser(model).predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
 
-    return docs.mapInArrow(batches, docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score")).schema)
+    return docs.mapInArrow(trimmed(batches), docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score")).schema)

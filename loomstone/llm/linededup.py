@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm import kernels
 from loomstone.llm.components import Links, components
-from loomstone.llm.scratch import cut
+from loomstone.llm.scratch import cut, freeing, trimmed
 
 #: Characters of a shingle; lines link at a Jaccard similarity of PERCENT in a hundred.
 CHARS, PERCENT = 5, 75
@@ -174,7 +174,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                     ["doc_id", "h", "line_no", "key", "check"],
                 )
 
-    return hashed(docs).mapInArrow(batches, "doc_id long, h long, line_no int, key long, check long")
+    return hashed(docs).mapInArrow(trimmed(batches), "doc_id long, h long, line_no int, key long, check long")
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -227,14 +227,14 @@ def _merged(bucket_bits: int):
             bits[_place(low[1:][low[1:] == low[:-1]], a, np.uint64(bucket_bits))] = True
         return pa.table({"bucket": pa.array([parts.column("bucket")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
-    return bucket
+    return freeing(bucket)
 
 
 def shared_bands(docs: DataFrame, lines: int) -> tuple[int, np.ndarray]:
     """Number of buckets, and a 16 MB Bloom filter of the band keys under which at least two lines meet."""
     buckets = 1 << max(4, math.ceil(math.log2(max(1, lines * BANDS / BUCKET_KEYS))))
     bucket_bits = max(8, SHARED_BITS // buckets)
-    merged = hashed(docs).mapInArrow(lambda it: _counted(it, buckets), "bucket int, entries binary").groupBy("bucket").applyInArrow(_merged(bucket_bits), "bucket int, bits binary")
+    merged = hashed(docs).mapInArrow(trimmed(lambda it: _counted(it, buckets)), "bucket int, entries binary").groupBy("bucket").applyInArrow(_merged(bucket_bits), "bucket int, bits binary")
     bits = np.zeros(buckets * bucket_bits // 8, np.uint8)
     for row in merged.collect():
         bits[row.bucket * bucket_bits // 8 : (row.bucket + 1) * bucket_bits // 8] = np.frombuffer(row.bits, np.uint8)
@@ -266,7 +266,7 @@ def candidates(docs: DataFrame, buckets: int, shared) -> DataFrame:
                 columns = [pa.array(x.key[which[some]].view(np.int64)), lists, *[pa.array(np.ascontiguousarray(w)) for w in bits.T], pa.array([x.text(i) for i in which[some]], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "keys", *WORDS, "line"])
 
-    return hashed(docs).mapInArrow(batches, f"id long, keys array<long>, {', '.join(f'{w} long' for w in WORDS)}, line string").dropDuplicates(["id"])
+    return hashed(docs).mapInArrow(trimmed(batches), f"id long, keys array<long>, {', '.join(f'{w} long' for w in WORDS)}, line string").dropDuplicates(["id"])
 
 
 def sketches(lines: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def sketches(lines: DataFrame) -> DataFrame:
             columns = [pa.array(np.bincount(line, minlength=len(x.key))), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(SKETCH)]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n", *[f"p{k}" for k in range(SKETCH)]])
 
-    return lines.mapInArrow(batches, "id long, n long, " + ", ".join(f"p{k} long" for k in range(SKETCH)))
+    return lines.mapInArrow(trimmed(batches), "id long, n long, " + ", ".join(f"p{k} long" for k in range(SKETCH)))
 
 
 #: Columns of a line's bits, and whether those of two lines leave them worth verifying.
@@ -349,7 +349,7 @@ def classes(docs: DataFrame) -> DataFrame:
         xa, xb = texts.select(F.col("id").alias("a"), F.col("line").alias("la")), texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
         ba, bb = [some.select(F.col("id").alias(side), *[F.col(w).alias(f"{name}_{w}") for w in WORDS]) for side, name in (("a", "x"), ("b", "y"))]
         near = pairs.join(ba, "a").join(bb, "b").where(CHEAP).select("a", "b")
-        return near.join(xa, "a").join(xb, "b").select("a", "b", "la", "lb").mapInArrow(_linked, "a long, b long")
+        return near.join(xa, "a").join(xb, "b").select("a", "b", "la", "lb").mapInArrow(trimmed(_linked), "a long, b long")
 
     def sketched(ids: DataFrame) -> DataFrame:
         return sketches(texts.join(ids, "id"))
@@ -373,17 +373,17 @@ def dedup(docs: DataFrame) -> DataFrame:
     stays becomes empty; null text stays null. Of rows that repeat doc_id and
     text, one has the lines and the others are empty.
     """
-    keep = classes(docs).where("kept").groupBy("h", F.col("doc_id").alias("kept_id")).agg(F.collect_list("line_no").alias("kept_lines"))
-    rows = docs.withColumn("h", F.xxhash64("doc_id", "text"))
-    joined = rows.join(keep, (rows["h"] == keep["h"]) & rows["doc_id"].eqNullSafe(keep["kept_id"]), "left").drop(keep["h"]).drop("kept_id")
+    keep = classes(docs).where("kept").groupBy(F.col("h").alias("kept_h"), F.col("doc_id").alias("kept_id")).agg(F.collect_list("line_no").alias("kept_lines"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("doc_id", "text").alias("h"), "doc_id")
+    joined = rows.join(keep, (F.col("h") == F.col("kept_h")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left")
     copy = F.row_number().over(Window.partitionBy("h", "doc_id").orderBy("h"))
-    joined = joined.withColumn("kept_lines", F.when(copy == 1, F.col("kept_lines")))
+    kept_lines = F.when(copy == 1, F.col("kept_lines"))
     schema = docs.schema
     names = schema.names
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            texts, kept = batch.column(names.index("text")).to_pylist(), batch.column(batch.schema.get_field_index("kept_lines")).to_pylist()
+            texts, kept = batch.column(names.index("text")).to_pylist(), batch.column(len(names)).to_pylist()
             new = [None if x is None else "" if not k else rebuilt(x, set(k)) for x, k in zip(texts, kept, strict=True)]
             columns = [batch.column(i) for i in range(len(names))]
             columns[names.index("text")] = pa.array(new, batch.column(names.index("text")).type)
@@ -391,7 +391,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 columns[names.index("n_chars")] = pa.array([None if x is None else len(x) for x in new], batch.column(names.index("n_chars")).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select(*names, "kept_lines").mapInArrow(batches, schema)
+    return joined.select(*[F.col("doc")[c].alias(f"c{i}") for i, c in enumerate(names)], kept_lines.alias("kept")).mapInArrow(trimmed(batches), schema)
 
 
 def rebuilt(text: str, kept: set[int]) -> str:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm import kernels
+from loomstone.llm.scratch import trimmed
 
 #: Hashed words, bins of a statistic, factors of a feature.
 WORDS, BINS, FACTORS = 1 << 15, 16, 8
@@ -182,4 +183,4 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
             made = [shipped.value.score(features(data, offsets[i : j + 1])) for i, j in kernels.slices(offsets)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(made) if made else np.zeros(0), pa.float64())], [*batch.schema.names, "quality_score"])
 
-    return docs.mapInArrow(batches, docs.select("*", F.lit(0.0).alias("quality_score")).schema)
+    return docs.mapInArrow(trimmed(batches), docs.select("*", F.lit(0.0).alias("quality_score")).schema)

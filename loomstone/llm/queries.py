@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import ann, bpe, chat, editprint, langid, linededup, mixing, quality, setjoin, sharding
-from loomstone.llm.scratch import bounded
+from loomstone.llm.scratch import bounded, trimmed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
     formatted = chat.conversations(chat.from_turns(turns))
-    return formatted.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(trimmed(_read_back), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op5_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def op5_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded again; digests of both."""
-    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    out = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

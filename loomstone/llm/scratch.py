@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,3 +39,37 @@ def bounded(spark: SparkSession, rows: int = 2000) -> SparkSession:
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     return spark
+
+
+def trimmed(batches):
+    """``batches`` as a worker runs it, giving freed memory back to the system when a task ends.
+
+    Workers live on between tasks and stages; what one stage has freed must not
+    stand beside what the next one needs.
+    """
+
+    def run(it):
+        try:
+            yield from batches(it)
+        finally:
+            _free()
+
+    return run
+
+
+def freeing(table):
+    """The same for a function of one group."""
+
+    def run(group):
+        try:
+            return table(group)
+        finally:
+            _free()
+
+    return run
+
+
+def _free() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)

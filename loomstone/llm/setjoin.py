@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm import kernels
 from loomstone.llm.components import Links, components
-from loomstone.llm.scratch import cut
+from loomstone.llm.scratch import cut, freeing, trimmed
 
 #: Words of a shingle; links have 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 75
@@ -67,7 +67,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "key"])
 
-    return docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, n_shingles long, key binary")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(batches), "doc_id long, n_shingles long, key binary")
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -96,7 +96,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def filtered(docs: DataFrame, bitmap) -> DataFrame:
     """Rows whose doc_id the bitmap may hold."""
-    return keyed(docs).mapInArrow(lambda it: held(it, bitmap), "doc_id long, text string")
+    return keyed(docs).mapInArrow(trimmed(lambda it: held(it, bitmap)), "doc_id long, text string")
 
 
 def _counted(it: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,7 @@ def _merged(bucket_bits: int, frequent: int):
             "lists": pa.array([int(rest.sum())], pa.int64()), "reads": pa.array([float((rest.astype(float) ** 2).sum())], pa.float64()),
         })
 
-    return bucket
+    return freeing(bucket)
 
 
 class Order:
@@ -201,7 +201,7 @@ def order_of(docs: DataFrame, bitmap, shingles: int) -> Order:
     """Counts every set's shingles and returns the order; what reaches the driver is bounded by the constants above."""
     buckets = 1 << max(4, math.ceil(math.log2(max(1, shingles / BUCKET_SHINGLES))))
     bucket_bits = max(8, SHARED_BITS // buckets)
-    parts = keyed(docs).mapInArrow(lambda it: _counted(held(it, bitmap), buckets), "bucket int, low binary, at binary, n binary")
+    parts = keyed(docs).mapInArrow(trimmed(lambda it: _counted(held(it, bitmap), buckets)), "bucket int, low binary, at binary, n binary")
     merged = parts.groupBy("bucket").applyInArrow(_merged(bucket_bits, max(1, FREQUENT // buckets)), "bucket int, bits binary, top binary, n binary, lists long, reads double")
     bits = np.zeros(buckets * bucket_bits // 8, np.uint8)
     top, count, lists, reads = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, 0.0
@@ -267,7 +267,7 @@ def sketches(docs: DataFrame, bitmap) -> DataFrame:
                 words[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *[pa.array(words[:, k]) for k in range(SKETCH)]], ["id", "n", *[f"p{k}" for k in range(SKETCH)]])
 
-    return keyed(docs).mapInArrow(batches, "id long, n long, " + ", ".join(f"p{k} long" for k in range(SKETCH)))
+    return keyed(docs).mapInArrow(trimmed(batches), "id long, n long, " + ", ".join(f"p{k} long" for k in range(SKETCH)))
 
 
 #: What a pair that links satisfies under the first key that its sets share: sizes, the shared shingles that are
@@ -314,7 +314,7 @@ def join(docs: DataFrame) -> DataFrame:
     order = order_of(docs, bitmap, total)
     shipped = spark.sparkContext.broadcast(order)
     keys = _keys(shipped, order.boundary())
-    members = keyed(docs).mapInArrow(lambda it: keys(held(it, bitmap)), "id long, key long, wide boolean, room int")
+    members = keyed(docs).mapInArrow(trimmed(lambda it: keys(held(it, bitmap))), "id long, key long, wide boolean, room int")
     sizes = reps.select("id", "n")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -325,7 +325,7 @@ def join(docs: DataFrame) -> DataFrame:
         wanted = spark.sparkContext.broadcast(id_filter(asked))
         texts = filtered(docs, wanted)
         xa, xb = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        return near.join(xa, "a").join(xb, "b").select("a", "b", "ta", "tb").mapInArrow(_linked, "a long, b long").distinct()
+        return near.join(xa, "a").join(xb, "b").select("a", "b", "ta", "tb").mapInArrow(trimmed(_linked), "a long, b long").distinct()
 
     def sketched(ids: DataFrame) -> DataFrame:
         return sketches(docs, spark.sparkContext.broadcast(id_filter(ids))).distinct()
