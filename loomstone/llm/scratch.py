@@ -24,13 +24,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here.
 
     A lost executor costs a re-read of these files only. The files go when the
-    application ends. Shuffle files behind them are needed no more; Spark deletes
-    them once the driver has collected its garbage, so that is asked for.
+    application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomstone-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
