@@ -24,7 +24,8 @@ from loomstone.llm.scratch import cut, freeing, trimmed
 #: Characters of a shingle; lines link at a Jaccard similarity of PERCENT in a hundred.
 CHARS, PERCENT = 5, 75
 #: A pair at the threshold meets in some band with probability 0.998, one at 0.8 with 0.9999; a pair of unrelated
-#: lines (a similarity of 0.05) with 5e-7. A corpus with very many more lines wants more rows and bands.
+#: lines (a similarity of 0.05) with 5e-7. A corpus with very many more lines wants more rows and bands. Lines of any
+#: length come near this, as an empty bin borrows from its own random choice of the full ones (see ``Lines.bins``).
 BANDS, ROWS = 32, 6
 #: Bins of which two bits are kept with a line, and differing bins from which a pair is not verified: an estimated
 #: similarity below 0.4, over three standard deviations under the threshold even for lines of 40 characters.
@@ -47,6 +48,16 @@ def _values(which: int) -> np.ndarray:
     return v if which == 0 else kernels.mixed(v)
 
 
+@functools.lru_cache(maxsize=1)
+def _lenders() -> tuple[np.ndarray, np.ndarray]:
+    """``[bin, place]`` to the bin from which a bin borrows, itself first and then all others in a random order of its own;
+    and ``[lender, bin]`` to the lender's place."""
+    draw = np.random.default_rng(24).random((BANDS * ROWS, BANDS * ROWS))
+    np.fill_diagonal(draw, -1)
+    order = np.argsort(draw, axis=1).astype(np.uint8)
+    return order, np.ascontiguousarray(np.argsort(order, axis=1).T.astype(np.uint8))
+
+
 def _space(points: np.ndarray) -> np.ndarray:
     return (points == 32) | (points - np.uint32(9) <= 4)
 
@@ -111,27 +122,33 @@ class Lines:
         """The signature of each chosen line.
 
         A bin keeps the least hash that falls into it; an empty bin borrows that
-        of the next full bin, marked with the distance.
+        of the full bin which comes first in its own random order of all bins.
+        So two lines agree in each bin with the probability of their similarity,
+        and the bins of a short line do not copy their neighbours.
         """
         bins = BANDS * ROWS
         h, line = self.shingles(which)
         least = np.full(len(which) * bins, _EMPTY, np.uint32)
-        np.minimum.at(least, line * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64), h.astype(np.uint32))
+        np.minimum.at(least, line * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64), np.minimum(h.astype(np.uint32), _EMPTY - np.uint32(1)))
         least = least.reshape(-1, bins)
-        at = np.where(least != _EMPTY, np.arange(bins, dtype=np.int16), np.int16(2 * bins))
-        first = at.min(axis=1, keepdims=True) + np.int16(bins)
-        source = np.minimum(np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1], first)
-        far = (source - np.arange(bins, dtype=np.int16)).astype(np.uint32)
-        place = source.astype(np.int64) % bins + np.arange(0, least.size, bins)[:, None]
-        return least.ravel().take(place) + far * np.uint32(0x9E3779B1)
+        if not len(least):
+            return least
+        order, place_of = _lenders()
+        row, full = np.nonzero(least != _EMPTY)
+        counts = np.bincount(row, minlength=len(least))
+        longest = np.argsort(-counts, kind="stable")
+        first, left = (np.cumsum(counts) - counts)[longest], -counts[longest]
+        place = place_of[full[first]]
+        for k in range(1, -int(left[0])):
+            n = int(np.searchsorted(left, -k))
+            np.minimum(place[:n], place_of[full[first[:n] + k]], out=place[:n])
+        source = np.empty_like(place)
+        source[longest] = order.ravel().take(place + np.arange(0, bins * bins, bins))
+        return np.take_along_axis(least, source.astype(np.intp), axis=1)
 
     @staticmethod
     def bands(bins: np.ndarray) -> np.ndarray:
-        """Band keys, one row a line.
-
-        The bins of a band lie far apart, so that in a short line they do not all
-        borrow from one.
-        """
+        """Band keys, one row a line."""
         columns = np.ascontiguousarray(bins.T).astype(np.uint64)
         out = np.empty((len(bins), BANDS), np.uint64)
         for b in range(BANDS):

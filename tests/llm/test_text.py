@@ -202,6 +202,33 @@ def test_line_links_and_recall():
     assert linededup.rebuilt("a\n\nb\nc", {0, 3}) == "a\n\nc"
 
 
+def near_pairs(n: int, count: int, r: random.Random) -> list[tuple[str, str]]:
+    """Pairs of different lines of about ``n`` characters that link with a similarity below 0.88, or any below 9 characters."""
+    out = []
+    while len(out) < count:
+        a = "".join(r.choice("abcdefghijklmnop ") for _ in range(n)).strip()
+        if len(a) < 5:
+            continue
+        if r.random() < 0.5:
+            b = a + "".join(r.choice("qrstuv") for _ in range(r.randint(1, max(1, len(a) // 3))))
+        else:
+            at = r.randrange(len(a)) if n > 40 else -1
+            b = a[:at] + "z" + a[at:][1:]
+        x, y = char_sets(a), char_sets(b)
+        if 75 * len(x | y) <= 100 * len(x & y) < (88 if n >= 9 else 100) * len(x | y):
+            out.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("n", [8, 9, 11, 16, 20, 24, 29, 34, 40, 50, 70, 94, 150])
+def test_line_recall_by_length(n):
+    """Below 7 characters no line links to another one: two or fewer shingles cannot differ and reach 0.75."""
+    pairs = near_pairs(n, 300, random.Random(n))
+    x = linededup.Lines([t for p in pairs for t in p])
+    bands = x.bands(x.bins(np.arange(len(x.key))))
+    assert (bands[::2] == bands[1::2]).any(axis=1).mean() >= 0.985
+
+
 def test_rotated_codes_bound_the_error():
     rng = np.random.default_rng(0)
     v, q = rng.normal(size=(2000, 32)), rng.normal(size=(20, 32))
