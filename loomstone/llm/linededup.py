@@ -199,17 +199,21 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 
 def _counted(it: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Per bucket of band keys, 32 more bits of the key and 8 of the line in five bytes each."""
+    """Per bucket of band keys, 32 more bits of the key and 32 of the line in eight bytes each.
+
+    The bits of the line must tell apart all lines of a key: a pair whose bits are equal is not found under any.
+    """
     bits = np.uint64(int(math.log2(buckets)))
-    held: list[np.ndarray] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
     def packed() -> pa.RecordBatch:
-        entry = _ordered(np.concatenate(held))
-        which = (entry >> np.uint64(40)).astype(np.int64)
+        keys, tags = (np.concatenate(part) for part in zip(*held, strict=True))
+        which = (keys >> np.uint64(64) - bits).astype(np.intp)
+        order = np.argsort(which, kind="stable")
+        which, entry = which[order], (keys << bits & ~np.uint64(0xFFFFFFFF) | tags)[order]
         cuts = np.append(np.flatnonzero(np.append(True, which[1:] != which[:-1])), len(which))
-        bytes_ = entry.view(np.uint8).reshape(-1, 8)[:, :5]
-        rows = [(int(which[a]), bytes_[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        rows = [(int(which[a]), _ordered(entry[a:b]).tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "entries"])
 
     for batch in it:
@@ -217,7 +221,7 @@ def _counted(it: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBa
             which = np.unique(x.key, return_index=True)[1]
             if len(which):
                 keys = x.bands(x.bins(which))
-                held.append((((keys >> np.uint64(32) - bits) << np.uint64(8)) | (x.key[which] >> np.uint64(56))[:, None]).ravel())
+                held.append((keys.ravel(), np.repeat(x.key[which] >> np.uint64(32), BANDS)))
                 size += keys.size
             if size >= FLUSH:
                 yield packed()
@@ -235,10 +239,8 @@ def _merged(bucket_bits: int):
     """One bucket's part of the filter of band keys that several lines share."""
 
     def bucket(parts: pa.Table) -> pa.Table:
-        raw = np.frombuffer(b"".join(parts.column("entries").to_pylist()), np.uint8).reshape(-1, 5)
-        entries = np.zeros((len(raw), 8), np.uint8)
-        entries[:, :5] = raw
-        low = _ordered(entries.view(np.uint64).ravel()) >> np.uint64(8)
+        entries = np.frombuffer(b"".join(parts.column("entries").to_pylist()), np.uint64).copy()
+        low = _ordered(entries) >> np.uint64(32)
         bits = np.zeros(bucket_bits, bool)
         for a in _HASHES:
             bits[_place(low[1:][low[1:] == low[:-1]], a, np.uint64(bucket_bits))] = True

@@ -125,6 +125,22 @@ def test_line_classes_against_brute_force(spark, small):
     assert got == want
 
 
+def test_near_lines_whose_keys_begin_alike(spark):
+    """Pairs of near lines whose keys share the top byte meet like any other pairs."""
+    r = random.Random(8)
+    rows = []
+    while len(rows) < 24:
+        base = "".join(r.choice("abcdefghijklmnop ") for _ in range(60)).strip()
+        near = [base, *(base[:-1] + c for c in "qrstuvwxyz0123456789")]
+        near += [x + c for x in near[1:] for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+        top = linededup.Lines(near).key >> np.uint64(56)
+        same = np.flatnonzero(top[1:] == top[0])
+        if len(same):
+            rows += [(len(rows), base), (len(rows) + 1, near[1 + same[0]])]
+    got = {r.doc_id: r.class_doc_id for r in linededup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(len(rows))}
+
+
 def test_line_dedup_odd_rows(spark, odd, none):
     got = linededup.dedup(clashing(odd)).collect()
     assert len(got) == len(ODD) and got[0].asDict().keys() >= {*CLASHING, "doc_id"} and all(r.key == "mine" for r in got)
