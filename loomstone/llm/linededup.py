@@ -27,11 +27,8 @@ CHARS, PERCENT = 5, 75
 #: lines (a similarity of 0.05) with 5e-7. A corpus with very many more lines wants more rows and bands. Lines of any
 #: length come near this, as an empty bin borrows from its own random choice of the full ones (see ``Lines.bins``).
 BANDS, ROWS = 32, 6
-#: Bins of which two bits are kept with a line, and differing bins from which a pair is not verified: an estimated
-#: similarity below 0.4, over three standard deviations under the threshold even for lines of 40 characters.
-BITS, DIFFERENT = 96, 43
-#: Words of 64 bits of a line's parity sketch.
-SKETCH = 16
+#: Words of 64 bits of a line's parity sketch, and of the short one that goes with each candidate.
+SKETCH, SHORT = 16, 4
 #: Bits of the broadcast Bloom filter of band keys that several lines share, and its hashes.
 SHARED_BITS = 1 << 27
 _HASHES = np.array([1, 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1], np.uint64)
@@ -158,11 +155,16 @@ class Lines:
             out[:, b] = kernels.mixed(key)
         return out
 
-    @staticmethod
-    def bits(bins: np.ndarray) -> np.ndarray:
-        """Two bits of each of the first bins, in words of 64 bits."""
-        two = (bins[:, :BITS] * np.uint32(0x85EBCA6B) >> np.uint32(30)).astype(np.uint8)
-        return np.packbits(np.stack([two >> 1, two & 1], axis=2).reshape(len(bins), 2 * BITS), axis=1).view(np.int64)
+    def parities(self, which: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """The size of each chosen line's shingle set, and a parity bitmap of the set in ``words`` words of 64 bits.
+
+        Two bitmaps differ in no more bits than the sets differ in elements.
+        """
+        h, line = self.shingles(which)
+        one = _ordered((line.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
+        line, at = (one >> np.uint64(44)).astype(np.int64), (one >> np.uint64(44 - 10) & np.uint64(1023)).astype(np.int64) * words * 64 >> 10
+        odd = (np.bincount(line * words * 64 + at, minlength=len(which) * words * 64) & 1).astype(np.uint8).reshape(len(which), words * 64)
+        return np.bincount(line, minlength=len(which)), np.packbits(odd, axis=1).view(np.int64)
 
     def text(self, i: int) -> str:
         return self.points[self.begin[i] : self.end[i]].tobytes().decode("utf-32-le")
@@ -261,7 +263,7 @@ def shared_bands(docs: DataFrame, lines: int) -> tuple[int, np.ndarray]:
 
 
 def candidates(docs: DataFrame, buckets: int, shared) -> DataFrame:
-    """``id, keys, s0.., line``: each line with the band keys that it may share with another line, its bits and its text, once."""
+    """``id, keys, n, p0.., line``: each line with the band keys that it may share with another line, its set's size and short sketch, and its text, once."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = np.uint64(int(math.log2(buckets)))
@@ -271,8 +273,7 @@ def candidates(docs: DataFrame, buckets: int, shared) -> DataFrame:
                 which = np.unique(x.key, return_index=True)[1]
                 if not len(which):
                     continue
-                bins = x.bins(which)
-                keys = x.bands(bins)
+                keys = x.bands(x.bins(which))
                 left = np.arange(keys.size)
                 bucket, low = (keys.ravel() >> np.uint64(64) - b) * per, keys.ravel() << b >> np.uint64(32)
                 for a in _HASHES:
@@ -281,40 +282,38 @@ def candidates(docs: DataFrame, buckets: int, shared) -> DataFrame:
                 counts = np.bincount(left // BANDS, minlength=len(which))
                 some = np.flatnonzero(counts)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts[some])]).astype(np.int32), keys.ravel()[left].view(np.int64))
-                bits = x.bits(bins[some])
-                columns = [pa.array(x.key[which[some]].view(np.int64)), lists, *[pa.array(np.ascontiguousarray(w)) for w in bits.T], pa.array([x.text(i) for i in which[some]], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "keys", *WORDS, "line"])
+                n, words = x.parities(which[some], SHORT)
+                columns = [pa.array(x.key[which[some]].view(np.int64)), lists, pa.array(n.astype(np.int32)), *[pa.array(np.ascontiguousarray(w)) for w in words.T], pa.array([x.text(i) for i in which[some]], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "keys", *CARRIED, "line"])
 
-    return hashed(docs).mapInArrow(trimmed(batches), f"id long, keys array<long>, {', '.join(f'{w} long' for w in WORDS)}, line string").dropDuplicates(["id"])
+    return hashed(docs).mapInArrow(trimmed(batches), f"id long, keys array<long>, n int, {', '.join(f'{w} long' for w in CARRIED[1:])}, line string").dropDuplicates(["id"])
 
 
 def sketches(lines: DataFrame) -> DataFrame:
-    """``id, n`` and a parity bitmap of the shingle set of each ``id, line``.
-
-    Two bitmaps differ in no more bits than the sets differ in elements.
-    """
+    """``id, n`` and a parity bitmap of the shingle set of each ``id, line``."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             x = Lines(batch.column(1).to_pylist())
-            h, line = x.shingles(np.arange(len(x.key)))
-            one = _ordered((line.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
-            line, at = (one >> np.uint64(44)).astype(np.int64), (one >> np.uint64(44 - 10) & np.uint64(1023)).astype(np.int64)
-            odd = (np.bincount(line * SKETCH * 64 + at, minlength=len(x.key) * SKETCH * 64) & 1).astype(np.uint8).reshape(len(x.key), SKETCH * 64)
-            words = np.packbits(odd, axis=1).view(np.int64)
-            columns = [pa.array(np.bincount(line, minlength=len(x.key))), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(SKETCH)]]
+            n, words = x.parities(np.arange(len(x.key)), SKETCH)
+            columns = [pa.array(n), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(SKETCH)]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n", *[f"p{k}" for k in range(SKETCH)]])
 
     return lines.mapInArrow(trimmed(batches), "id long, n long, " + ", ".join(f"p{k} long" for k in range(SKETCH)))
 
 
-#: Columns of a line's bits, and whether those of two lines leave them worth verifying.
-WORDS = [f"s{k}" for k in range(BITS // 32)]
-CHEAP = " + ".join(f"bit_count(((x_{w} ^ y_{w}) | shiftright(x_{w} ^ y_{w}, 1)) & 6148914691236517205)" for w in WORDS) + f" <= {DIFFERENT}"
-#: What holds for any pair that links: sizes, and parity sketches (1/7 of both sets may differ at most).
-POSSIBLE = (
-    f"100 * least(x_n, y_n) >= {PERCENT} * greatest(x_n, y_n) and 7 * (" + " + ".join(f"bit_count(x_p{k} ^ y_p{k})" for k in range(SKETCH)) + ") <= x_n + y_n"
-)
+#: Columns of a candidate's size and short sketch.
+CARRIED = ["n", *[f"p{k}" for k in range(SHORT)]]
+
+
+def _possible(words: int) -> str:
+    """What holds for any pair that links: sizes, and parity sketches (1/7 of both sets may differ at most)."""
+    differing = " + ".join(f"bit_count(x_p{k} ^ y_p{k})" for k in range(words))
+    return f"100 * least(x_n, y_n) >= {PERCENT} * greatest(x_n, y_n) and 7 * ({differing}) <= x_n + y_n"
+
+
+#: The same before a pair's texts are fetched, and before sketched members are paired.
+CHEAP, POSSIBLE = _possible(SHORT), _possible(SKETCH)
 
 
 def linked(left: list[str], right: list[str], at_once: int = 200) -> list[bool]:
@@ -366,7 +365,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     def verify(pairs: DataFrame) -> DataFrame:
         xa, xb = texts.select(F.col("id").alias("a"), F.col("line").alias("la")), texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
-        ba, bb = [some.select(F.col("id").alias(side), *[F.col(w).alias(f"{name}_{w}") for w in WORDS]) for side, name in (("a", "x"), ("b", "y"))]
+        ba, bb = [some.select(F.col("id").alias(side), *[F.col(w).alias(f"{name}_{w}") for w in CARRIED]) for side, name in (("a", "x"), ("b", "y"))]
         near = pairs.join(ba, "a").join(bb, "b").where(CHEAP).select("a", "b")
         return near.join(xa, "a").join(xb, "b").select("a", "b", "la", "lb").mapInArrow(trimmed(_linked), "a long, b long")
 

@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_text import char_sets, shingles
+from test_text import char_sets, near_pairs, shingles
 
 import corpus_pipeline
 from conftest import SMALL
@@ -141,6 +141,22 @@ def test_near_lines_whose_keys_begin_alike(spark):
     assert got == {i: i - i % 2 for i in range(len(rows))}
 
 
+def test_no_linking_pair_is_dropped_before_its_verification(spark):
+    """The cheap test holds for linking lines of every length, and fails for most others."""
+    hard = [("fmnceck", "fmncecku"), ("fg bpbb", "fg bpbbq"), ("g algpg", "g algpgu")]
+    rows = [(i, *pair) for i, pair in enumerate(hard)]
+    rows += [(i, *pair) for n in (8, 11, 16, 20, 29, 40, 60, 150) for i, pair in enumerate(near_pairs(n, 250, random.Random(n)), n * 1000)]
+    texts = {2 * i: x for i, x, _ in rows} | {2 * i + 1: y for i, _, y in rows}
+    buckets, shared = 16, np.full(1 << 10, 255, np.uint8)
+    some = linededup.candidates(spark.createDataFrame(texts.items(), "doc_id long, text string"), buckets, spark.sparkContext.broadcast(shared)).cache()
+    x, y = [some.select(F.col("line").alias(f"{s}_line"), *[F.col(c).alias(f"{s}_{c}") for c in some.columns if c not in ("keys", "line")]) for s in "xy"]
+    pairs = spark.createDataFrame([r[1:] for r in rows], "x_line string, y_line string")
+    assert pairs.join(x, "x_line").join(y, "y_line").where(linededup.CHEAP).count() == len(rows)
+    shifted = spark.createDataFrame([(a[1], b[1]) for a, b in zip(rows, rows[1:], strict=False)], "x_line string, y_line string")
+    assert shifted.join(x, "x_line").join(y, "y_line").where(linededup.CHEAP).count() < len(rows) // 20
+    some.unpersist()
+
+
 def test_line_dedup_odd_rows(spark, odd, none):
     got = linededup.dedup(clashing(odd)).collect()
     assert len(got) == len(ODD) and got[0].asDict().keys() >= {*CLASHING, "doc_id"} and all(r.key == "mine" for r in got)
