@@ -31,8 +31,9 @@ PERIOD, CLASSES = 4096, 256
 CHUNK = 12_000_000
 #: Texts still going below which they are walked one by one.
 SCALAR = 16
-#: Bands, digits of a band, and the likeness from which two texts are near.
-BANDS, BAND_DIGITS, NEAR = 24, 12, 0.75
+#: Bands, digits of a band, and the likeness from which two texts are near: 0.766 of their digits agree there,
+#: and they meet in some band with probability 0.995.
+BANDS, BAND_DIGITS, NEAR = 32, 7, 0.75
 
 
 @functools.lru_cache(maxsize=1)
@@ -273,6 +274,11 @@ def near_duplicates(docs: DataFrame, near: float = NEAR, bands: int = BANDS, dig
     only meets itself.
     """
     prints = cut(fingerprint(docs.select("doc_id", "text")).select("doc_id", "fingerprint").where("doc_id is not null"))
+    return prints.join(near_prints(prints, near, bands, digits), "fingerprint").select("doc_id", "class_id")
+
+
+def near_prints(prints: DataFrame, near: float = NEAR, bands: int = BANDS, digits: int = BAND_DIGITS) -> DataFrame:
+    """``fingerprint, class_id`` of every fingerprint of ``doc_id, fingerprint`` rows, none of them null: see ``near_duplicates``."""
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
     reps = cut(classes.select(F.col("rep").alias("id"), "fingerprint"))
     chosen = np.random.default_rng(23)
@@ -288,4 +294,12 @@ def near_duplicates(docs: DataFrame, near: float = NEAR, bands: int = BANDS, dig
         return pairs.join(a, "a").join(b, "b").where(same >= F.lit(least * DIGITS)).select("a", "b")
 
     labels = components(Links(members, verify))
-    return prints.join(classes, "fingerprint").join(labels, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
+    return reps.join(labels, "id", "left").select("fingerprint", F.coalesce("label", "id").alias("class_id"))
+
+
+def with_classes(docs: DataFrame) -> DataFrame:
+    """``with_next`` and ``class_id`` of ``near_duplicates``, from one walk of the texts; null where doc_id is."""
+    rows = cut(with_next(docs))
+    classes = near_prints(rows.where("doc_id is not null").select("doc_id", "fingerprint"))
+    class_id = F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")
+    return rows.join(classes, "fingerprint", "left").select(*rows.columns, class_id)

@@ -28,8 +28,8 @@ def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_editprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every whole text, of its edited text, and likenesses."""
-    return editprint.with_next(table(spark, sf_dir, "documents"))
+    """Fingerprints of every whole text, of its edited text, likenesses, and the class of near texts."""
+    return editprint.with_classes(table(spark, sf_dir, "documents"))
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

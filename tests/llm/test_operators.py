@@ -197,6 +197,30 @@ def test_fingerprint_near_duplicates(spark):
     assert all(got[i] == i // 3 * 3 for i in texts) and got[101] == got[100] == 100 and None not in got
 
 
+def test_near_texts_at_the_threshold_meet(spark):
+    """Fingerprints with 197 of 256 equal digits, at places of their own, have a likeness of 0.754."""
+    r = random.Random(9)
+    rows = []
+    for i in range(0, 600, 2):
+        base = [r.choice("0123456789abcdef") for _ in range(editprint.DIGITS)]
+        near = list(base)
+        for k in r.sample(range(editprint.DIGITS), 59):
+            near[k] = r.choice([c for c in "0123456789abcdef" if c != base[k]])
+        rows += [(i, "".join(base)), (i + 1, "".join(near))]
+    got = {x.fingerprint: x.class_id for x in editprint.near_prints(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()}
+    assert all(got[f] in (i, i - i % 2) for i, f in rows) and len(got) == len(rows)
+    assert sum(got[f] == i - i % 2 for i, f in rows[1::2]) >= 0.98 * len(rows) / 2
+
+
+def test_fingerprint_query_has_classes(spark, odd, none):
+    got = editprint.with_classes(odd).collect()
+    assert len(got) == len(ODD) and all((r.class_id is None) == (r.doc_id is None) for r in got)
+    want = {r.doc_id: r.class_id for r in editprint.near_duplicates(odd).collect()}
+    assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == want and want[8] == 7
+    assert editprint.with_classes(none).count() == 0
+    assert "class_id" in QUERIES["op2_editprint"](spark, SMALL).columns
+
+
 # 3.
 
 
