@@ -201,22 +201,28 @@ def fit(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, chars: int = SA
     """Labelled text per language from the rows where ``learn`` holds and lang is not null.
 
     Bounded by ``rows`` distinct texts a language, drawn in the order of their
-    hashes so that copies count once, and by ``chars`` characters: whole texts
-    while they fit, else the first text's beginning.
+    hashes so that copies count once, and by ``chars`` characters, which the drawn
+    texts share: a text gives its beginning up to an equal share, and what a
+    shorter one leaves goes to the longer ones.
     """
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("text").alias("h"))
     order = Window.partitionBy("lang").orderBy("h")
     drawn = labelled.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).drop("n")
     texts = docs.where(learn).select("lang", "text", F.xxhash64("text").alias("h")).join(F.broadcast(drawn), ["lang", "h"])
     kept = texts.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
-    out: dict[str, str] = {}
+    of: dict[str, list[str]] = {}
     for r in sorted(kept, key=lambda r: (r.lang, r.h)):
-        so_far = out.get(r.lang)
-        if so_far is None:
-            out[r.lang] = r.text[:chars]
-        elif len(so_far) + len(r.text) < chars:
-            out[r.lang] = f"{so_far} {r.text}"
-    return out
+        of.setdefault(r.lang, []).append(r.text)
+    return {lang: _shared_out(texts, chars) for lang, texts in of.items()}
+
+
+def _shared_out(texts: list[str], chars: int) -> str:
+    """The texts' beginnings, ``chars`` characters together with the spaces between them."""
+    left, take = max(0, chars - (len(texts) - 1)), [0] * len(texts)
+    for done, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        take[i] = min(len(texts[i]), left // (len(texts) - done))
+        left -= take[i]
+    return " ".join(x[:n] for x, n in zip(texts, take, strict=True))
 
 
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:

@@ -233,6 +233,15 @@ def test_language_rows(spark, odd, none, small):
     assert langid.fit(none, F.lit(True)) == {} and langid.identify(none, {}).count() == 0
 
 
+def test_a_long_text_does_not_take_the_whole_sample(spark):
+    """Each of the drawn texts is in the sample, whichever is drawn first."""
+    for long in ("x", "y", "z"):
+        rows = [(i, f"{c} " * (40_000 if c == long else 300), "en") for i, c in enumerate("xyz")]
+        sample = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))["en"]
+        assert len(sample) <= langid.SAMPLE_CHARS and {c: sample.count(c) >= 300 for c in "xyz"} == dict.fromkeys("xyz", True)
+        assert sample.count(long) > 14_000
+
+
 def test_language_held_out(spark):
     got = QUERIES["op3_langid"](spark, SMALL).join(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     assert (got.held_out == [zlib.crc32(str(d).encode()) % 3 == 1 for d in got.doc_id]).all()
