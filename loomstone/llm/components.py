@@ -25,12 +25,17 @@ class Links:
     ``sketches`` takes ids and returns ``id`` with further columns; ``possible``
     is a condition on two members and their sketches, prefixed ``x_`` and ``y_``,
     that holds for every pair which may still have to be found under a key.
+    ``begun``, in place of ``members``, is a first round that is done: ``id, key,
+    leader`` of the keys with more than two members, the pairs ``a < b`` that
+    were compared (each member of each key with the key's leader), and those
+    that link.
     """
 
-    members: DataFrame
+    members: DataFrame | None
     verify: Callable[[DataFrame], DataFrame]
     sketches: Callable[[DataFrame], DataFrame] | None = None
     possible: str = "true"
+    begun: tuple[DataFrame, DataFrame, DataFrame] | None = None
 
 
 #: Members of a key with which all others are compared in the second round.
@@ -68,6 +73,20 @@ def _prefixed(rows: DataFrame, prefix: str, columns: list[str], more: list) -> D
     return rows.select(*more, *[F.col(c).alias(f"{prefix}_{c}") for c in columns])
 
 
+def _first_round(members: DataFrame) -> tuple[DataFrame, list[str], DataFrame]:
+    """Keys of more than two members with their leader, the members' own columns, and the pairs with leaders.
+
+    Leaders come from a count that Spark combines before it shuffles and a join
+    whose skew it may split: no key goes through one task.
+    """
+    members = members if "wide" in members.columns else members.withColumn("wide", F.lit(True))
+    own = [c for c in members.columns if c not in ("id", "key")]
+    keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("wide"), F.col("id"))).alias("leader")).where("n > 1 and leader is not null")
+    lists = cut(members.join(keys, "key"))
+    seen = cut(_pairs(lists.where("id <> leader"), "id", "leader"))
+    return lists.where("n > 2").drop("n"), own, seen
+
+
 def components(links: Links) -> DataFrame:
     """``id, label`` of every id that links to another one.
 
@@ -76,18 +95,12 @@ def components(links: Links) -> DataFrame:
     of other components. Last: in keys that are still divided, the pairs of
     different components that the sketches leave possible.
     """
-    members = links.members if "wide" in links.members.columns else links.members.withColumn("wide", F.lit(True))
-    own = [c for c in members.columns if c not in ("id", "key")]
-    of_key = Window.partitionBy("key")
-    lists = cut(
-        members
-        .withColumn("n", F.count("*").over(of_key))
-        .withColumn("leader", F.min(F.when(F.col("wide"), F.col("id"))).over(of_key))
-        .where("n > 1 and leader is not null")
-    )
-    seen = cut(_pairs(lists.where("id <> leader"), "id", "leader"))
-    lists = lists.where("n > 2").drop("n")  # two members are done
-    found = cut(links.verify(seen))
+    if links.begun is not None:
+        lists, seen, found = links.begun
+        lists, own, found = cut(lists.withColumn("wide", F.lit(True))), ["wide"], cut(found)
+    else:
+        lists, own, seen = _first_round(links.members)
+        found = cut(links.verify(seen))
     labels = connected(found)
 
     def divided(labels: DataFrame) -> DataFrame:

@@ -29,11 +29,10 @@ CHARS, PERCENT = 5, 75
 BANDS, ROWS = 32, 6
 #: Words of 64 bits of a line's parity sketch, and of the short one that goes with each candidate.
 SKETCH, SHORT = 16, 4
-#: Bits of the broadcast Bloom filter of band keys that several lines share, and its hashes.
-SHARED_BITS = 1 << 27
-_HASHES = np.array([1, 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1], np.uint64)
-#: Band keys that a counting bucket takes, and that a task holds before it passes them on.
-BUCKET_KEYS, FLUSH = 1_000_000, 1_000_000
+#: Bits, as a power of two, of the broadcast bitmap of the tags of lines that met another one.
+FILTER_BITS = 26
+#: Band keys that a bucket takes, bytes of a line by which their number is estimated, and keys that a task holds before it passes them on.
+BUCKET_KEYS, LINE_BYTES, FLUSH = 1_000_000, 256, 2_000_000
 
 _EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -177,33 +176,32 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, Lines]]:
         yield i, Lines(texts[i:j])
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """``doc_id, h, line_no, key, check`` of every line that is not blank.
+def hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("h"))
 
-    ``key`` and ``check`` are 128 bits of the line without white space at its
-    ends; ``h`` is a hash of the row, which tells apart rows of equal doc_id.
-    """
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for at, x in _runs(batch):
-                rows = pa.array(x.doc + at)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(x.number.astype(np.int32)), pa.array(x.key.view(np.int64)), pa.array(x.check.view(np.int64))],
-                    ["doc_id", "h", "line_no", "key", "check"],
-                )
+def buckets_for(docs: DataFrame) -> int:
+    """Buckets of band keys: their number follows the bytes of the texts."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    return 1 << max(4, math.ceil(math.log2(max(1, size / LINE_BYTES * BANDS / BUCKET_KEYS))))
 
-    return hashed(docs).mapInArrow(trimmed(batches), "doc_id long, h long, line_no int, key long, check long")
 
+def _packed(entries: np.ndarray) -> bytes:
+    """Sorted entries, their upper halves as differences in planes of bytes: most of the planes are zeros."""
+    steps = np.diff((entries >> np.uint64(32)).astype(np.uint32), prepend=np.uint32(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes() + entries.astype(np.uint32).tobytes()
 
-def hashed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("h"))
 
+def _unpacked(blob: bytes) -> np.ndarray:
+    n = len(blob) // 8
+    steps = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * n).reshape(4, n).T).view(np.uint32).ravel()
+    return np.cumsum(steps, dtype=np.uint64) << np.uint64(32) | np.frombuffer(blob, np.uint32, n, 4 * n)
 
-def _counted(it: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Per bucket of band keys, 32 more bits of the key and 32 of the line in eight bytes each.
 
-    The bits of the line must tell apart all lines of a key: a pair whose bits are equal is not found under any.
+def _banded(it: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Per bucket of band keys, 32 more bits of each key and the 32-bit tag of its line in eight bytes.
+
+    Two lines of one tag never meet: one pair in 2^32.
     """
     bits = np.uint64(int(math.log2(buckets)))
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -211,11 +209,11 @@ def _counted(it: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBa
 
     def packed() -> pa.RecordBatch:
         keys, tags = (np.concatenate(part) for part in zip(*held, strict=True))
-        which = (keys >> np.uint64(64) - bits).astype(np.intp)
+        which = (keys >> np.uint64(64) - bits).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
         order = np.argsort(which, kind="stable")
         which, entry = which[order], (keys << bits & ~np.uint64(0xFFFFFFFF) | tags)[order]
         cuts = np.append(np.flatnonzero(np.append(True, which[1:] != which[:-1])), len(which))
-        rows = [(int(which[a]), _ordered(entry[a:b]).tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        rows = [(int(which[a]), _packed(_ordered(entry[a:b]))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "entries"])
 
     for batch in it:
@@ -232,61 +230,85 @@ def _counted(it: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBa
         yield packed()
 
 
-def _place(low: np.ndarray, a: np.uint64, per: np.uint64) -> np.ndarray:
-    """Places of 32-bit values in a filter of ``per`` bits, by one hash."""
-    return ((low * a & np.uint64(0xFFFFFFFF)) ^ (low * a >> np.uint64(32) & np.uint64(0xFFFF))) * per >> np.uint64(32)
+def _met(parts: pa.Table) -> pa.Table:
+    """One bucket's band keys under which several lines meet: every line's tag, the least tag of the key, and their number."""
+    entries = _ordered(np.concatenate([_unpacked(x) for x in parts.column("entries").to_pylist()]))
+    low = (entries >> np.uint64(32)).astype(np.uint32)
+    starts = np.flatnonzero(np.append(True, low[1:] != low[:-1])[: len(low)])
+    n = np.diff(np.append(starts, len(low)))
+    starts, n = starts[n > 1], n[n > 1]
+    at = np.repeat(starts - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
+    tags = entries.astype(np.uint32).astype(np.int64)
+    bucket = parts.column("bucket")[0].as_py()
+    return pa.table({"key": pa.array((bucket << 32) + low[at].astype(np.int64)), "tag": pa.array(tags[at]), "lead": pa.array(np.repeat(tags[starts], n)), "n": pa.array(np.repeat(n, n).astype(np.int32))})
 
 
-def _merged(bucket_bits: int):
-    """One bucket's part of the filter of band keys that several lines share."""
+def meetings(docs: DataFrame) -> DataFrame:
+    """``key, tag, lead, n``: the lines that share a band key with other lines, by tag, with the key's least tag and number of lines.
 
-    def bucket(parts: pa.Table) -> pa.Table:
-        entries = np.frombuffer(b"".join(parts.column("entries").to_pylist()), np.uint64).copy()
-        low = _ordered(entries) >> np.uint64(32)
-        bits = np.zeros(bucket_bits, bool)
-        for a in _HASHES:
-            bits[_place(low[1:][low[1:] == low[:-1]], a, np.uint64(bucket_bits))] = True
-        return pa.table({"bucket": pa.array([parts.column("bucket")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+    A line is sent once a task and bucket, so a key holds no copies; what one
+    reducer reads follows ``BUCKET_KEYS``, not the most common line.
+    """
+    buckets = buckets_for(docs)
+    parts = hashed(docs).mapInArrow(trimmed(lambda it: _banded(it, buckets)), "bucket int, entries binary")
+    return parts.groupBy("bucket").applyInArrow(freeing(_met), "key long, tag long, lead long, n int")
 
-    return freeing(bucket)
 
+def tag_filter(tags: DataFrame) -> np.ndarray:
+    """A bitmap of the tags, 8 MB whatever their number: never misses one, may let others through."""
+    words = tags.selectExpr(f"shiftrightunsigned(xxhash64(tag), {64 - FILTER_BITS}) AS place").selectExpr("shiftrightunsigned(place, 6) AS w", "shiftleft(1L, cast(place % 64 AS int)) AS b")
+    out = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+    for part in words.groupBy("w").agg(F.bit_or("b").alias("b")).repartition(8).toArrow().to_batches():
+        out[part.column(0).to_numpy()] = part.column(1).to_numpy()
+    return out
 
-def shared_bands(docs: DataFrame, lines: int) -> tuple[int, np.ndarray]:
-    """Number of buckets, and a 16 MB Bloom filter of the band keys under which at least two lines meet."""
-    buckets = 1 << max(4, math.ceil(math.log2(max(1, lines * BANDS / BUCKET_KEYS))))
-    bucket_bits = max(8, SHARED_BITS // buckets)
-    merged = hashed(docs).mapInArrow(trimmed(lambda it: _counted(it, buckets)), "bucket int, entries binary").groupBy("bucket").applyInArrow(_merged(bucket_bits), "bucket int, bits binary")
-    bits = np.zeros(buckets * bucket_bits // 8, np.uint8)
-    for row in merged.collect():
-        bits[row.bucket * bucket_bits // 8 : (row.bucket + 1) * bucket_bits // 8] = np.frombuffer(row.bits, np.uint8)
-    return buckets, bits
 
+def line_table(docs: DataFrame, wanted) -> DataFrame:
+    """``doc_id, h, line_no, key, check`` of every line that is not blank; of lines whose tag the broadcast bitmap ``wanted`` may hold also ``r, n, p0.., line``.
 
-def candidates(docs: DataFrame, buckets: int, shared) -> DataFrame:
-    """``id, keys, n, p0.., line``: each line with the band keys that it may share with another line, its set's size and short sketch, and its text, once."""
+    ``key`` and ``check`` are 128 bits of the line without white space at its
+    ends; ``h`` is a hash of the row, which tells apart rows of equal doc_id; ``n``
+    and ``p`` are the size and the short sketch of the line's set. ``r`` names a
+    row that has them: one of several equal lines in a slice.
+    """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = np.uint64(int(math.log2(buckets)))
-        per = np.uint64(len(shared.value) * 8 // buckets)
         for batch in it:
-            for _, x in _runs(batch):
-                which = np.unique(x.key, return_index=True)[1]
-                if not len(which):
-                    continue
-                keys = x.bands(x.bins(which))
-                left = np.arange(keys.size)
-                bucket, low = (keys.ravel() >> np.uint64(64) - b) * per, keys.ravel() << b >> np.uint64(32)
-                for a in _HASHES:
-                    place = _place(low[left], a, per) + bucket[left]
-                    left = left[(shared.value[(place >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1 == 1]
-                counts = np.bincount(left // BANDS, minlength=len(which))
-                some = np.flatnonzero(counts)
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts[some])]).astype(np.int32), keys.ravel()[left].view(np.int64))
-                n, words = x.parities(which[some], SHORT)
-                columns = [pa.array(x.key[which[some]].view(np.int64)), lists, pa.array(n.astype(np.int32)), *[pa.array(np.ascontiguousarray(w)) for w in words.T], pa.array([x.text(i) for i in which[some]], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "keys", *CARRIED, "line"])
+            for at, x in _runs(batch):
+                rows = pa.array(x.doc + at)
+                tags = (x.key >> np.uint64(32)).astype(np.int64)
+                place = xxhash64_of(tags) >> np.uint64(64 - FILTER_BITS)
+                hit = (wanted.value[(place >> np.uint64(6)).astype(np.intp)] >> (place & np.uint64(63)).astype(np.int64)) & 1 == 1
+                some = np.flatnonzero(hit)
+                some = some[np.sort(np.unique(x.key[some], return_index=True)[1])]
+                full = np.full(len(x.key), -1)
+                full[some] = np.arange(len(some))
+                take, h = pa.array(full, mask=full < 0), batch.column(2).take(rows)
+                n, words = x.parities(some, SHORT)
+                r = kernels.mixed(h.to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + x.number.astype(np.uint64))[some]
+                candidate = [pa.array(r.view(np.int64)), pa.array(n.astype(np.int32)), *[pa.array(np.ascontiguousarray(w)) for w in words.T], pa.array([x.text(i) for i in some], pa.string())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), h, pa.array(x.number.astype(np.int32)), pa.array(x.key.view(np.int64)), pa.array(x.check.view(np.int64)), *[c.take(take) for c in candidate]],
+                    ["doc_id", "h", "line_no", "key", "check", "r", *CARRIED, "line"],
+                )
+
+    return hashed(docs).mapInArrow(trimmed(batches), f"doc_id long, h long, line_no int, key long, check long, r long, n int, {', '.join(f'{w} long' for w in CARRIED[1:])}, line string")
 
-    return hashed(docs).mapInArrow(trimmed(batches), f"id long, keys array<long>, n int, {', '.join(f'{w} long' for w in CARRIED[1:])}, line string").dropDuplicates(["id"])
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def xxhash64_of(values: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of one 64-bit column: the published xxHash64 of eight bytes, seed 42."""
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+    h = np.uint64(42) + _P5 + np.uint64(8) ^ turned(values.view(np.uint64) * _P2, 31) * _P1
+    h = turned(h, 27) * _P1 + _P4
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
 
 
 def sketches(lines: DataFrame) -> DataFrame:
@@ -343,6 +365,11 @@ def _linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+#: 2^62: a line's place in the order of classes is doc_id times this, and 30 bits of the row's hash above the line number.
+_PLACES = "cast(4611686018427387904 as decimal(19,0))"
+_PLACE = f"coalesce(doc_id, {-(2**63)}L) * {_PLACES} + (shiftrightunsigned(h, 34) * 4294967296L + line_no)"
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """``doc_id, h, line_no, class_doc_id, class_line_no, kept`` for every line that is not blank.
 
@@ -352,36 +379,59 @@ def classes(docs: DataFrame) -> DataFrame:
     characters link to equal lines only. Repeated rows of one document share
     their decisions.
 
-    Only band keys that two lines share are ever written as rows, and only texts
-    of lines with such a key move. A component is found without comparing all pairs
-    of a band.
+    Texts are read twice. The first pass sends eight bytes a band and line to
+    the bucket of the band key, which names the lines that meet. The second
+    writes each line's key, and the text of lines that met another one. A
+    component is found without comparing all pairs of a band. Minima travel as
+    one number each, so Spark combines them by hash before it shuffles.
     """
     spark = docs.sparkSession
-    lines = cut(line_table(docs))
-    buckets, bits = shared_bands(docs, lines.count())
-    some = cut(candidates(docs, buckets, spark.sparkContext.broadcast(bits)))
-    members = some.select("id", F.explode("keys").alias("key"))
-    texts = some.select("id", "line")
+    met = cut(meetings(docs))
+    wanted = spark.sparkContext.broadcast(tag_filter(met.select("tag").distinct()))
+    lines = cut(line_table(docs, wanted))
+    texts = lines.where("line is not null").select("r", "line")
+    tag = F.shiftrightunsigned("key", 32)
+    found = lines.where("line is not null").groupBy(F.col("key").alias("id"), tag.alias("tag")).agg(F.min("r").alias("r"), *[F.min(c).alias(c) for c in [*CARRIED, "check"]])
+    some = cut(found)
+
+    def side(name: str, prefix: str, by: str) -> DataFrame:
+        own = [] if by == "id" else [F.col("id").alias(name)]
+        return some.select(F.col(by).alias(name if by == "id" else f"{by}_{name}"), *own, F.col("r").alias(f"r{name}"), *[F.col(w).alias(f"{prefix}_{w}") for w in CARRIED])
+
+    def linking(near: DataFrame) -> DataFrame:
+        """Of ``a, b, ra, rb`` the pairs whose texts link."""
+        near = cut(near)
+        left = texts.join(near, F.col("r") == F.col("ra")).select("a", "b", "rb", F.col("line").alias("la"))
+        right = texts.join(near.select(F.col("rb").alias("r")).distinct(), "r", "left_semi").select(F.col("r").alias("rb"), F.col("line").alias("lb"))
+        return left.join(right, "rb").select("a", "b", "la", "lb").mapInArrow(trimmed(_linked), "a long, b long")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        xa, xb = texts.select(F.col("id").alias("a"), F.col("line").alias("la")), texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
-        ba, bb = [some.select(F.col("id").alias(side), *[F.col(w).alias(f"{name}_{w}") for w in CARRIED]) for side, name in (("a", "x"), ("b", "y"))]
-        near = pairs.join(ba, "a").join(bb, "b").where(CHEAP).select("a", "b")
-        return near.join(xa, "a").join(xb, "b").select("a", "b", "la", "lb").mapInArrow(trimmed(_linked), "a long, b long")
+        return linking(pairs.join(side("a", "x", "id"), "a").join(side("b", "y", "id"), "b").where(CHEAP).select("a", "b", "ra", "rb"))
 
     def sketched(ids: DataFrame) -> DataFrame:
-        return sketches(texts.join(ids, "id"))
-
-    labels = components(Links(members, verify, sketched, POSSIBLE))
-    placed = cut(
-        lines.join(labels, lines["key"] == labels["id"], "left").select(
-            "doc_id", "h", "line_no", F.coalesce("label", "key").alias("c1"), F.when(F.col("label").isNull(), F.col("check")).otherwise(0).alias("c2")
-        )
-    )
-    heads = placed.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "h", "line_no")).alias("first"))
-    joined = placed.join(heads, ["c1", "c2"])
-    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h")) & (F.col("line_no") == F.col("first.line_no"))
-    return joined.select("doc_id", "h", "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), kept.alias("kept"))
+        return sketches(texts.join(some.join(ids, "id").select("id", "r"), "r").select("id", "line"))
+
+    by_tag = met.where("tag <> lead").select(F.col("tag").alias("tag_a"), F.col("lead").alias("tag_b")).distinct()
+    pairs = by_tag.join(side("a", "x", "tag"), "tag_a").join(side("b", "y", "tag"), "tag_b").where("a <> b")
+    swapped = F.col("a") > F.col("b")
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swapped, F.col("rb")).otherwise(F.col("ra")).alias("ra"), F.when(swapped, F.col("ra")).otherwise(F.col("rb")).alias("rb"), F.expr(CHEAP).alias("near")).distinct())
+    leaders = some.groupBy(F.col("tag").alias("lead")).agg(F.min("id").alias("leader"))
+    lists = met.where("n > 2").join(some.select("tag", "id"), "tag").join(leaders, "lead").select("id", "key", "leader")
+    begun = lists, pairs.select("a", "b"), linking(pairs.where("near").select("a", "b", "ra", "rb"))
+    labels = components(Links(None, verify, sketched, POSSIBLE, begun))
+
+    firsts = lines.select("key", "check", F.expr(_PLACE).alias("place")).groupBy("key", "check").agg(F.min("place").alias("place"))
+    firsts = cut(firsts)
+    members = labels.join(some.select("id", "check"), "id").select(F.col("id").alias("key"), "check", "label")
+    heads = members.join(firsts, ["key", "check"]).groupBy("label").agg(F.min("place").alias("head"))
+    head_of = firsts.join(members.join(heads, "label").select("key", "check", "head"), ["key", "check"], "left").select("key", "check", F.coalesce("head", "place").alias("head"))
+    joined = lines.select("doc_id", "h", "line_no", "key", "check").join(head_of, ["key", "check"])
+    rest = f"pmod(head, {_PLACES})"
+    first_doc = F.expr(f"(head - {rest}) div {_PLACES}")
+    return joined.select(
+        "doc_id", "h", "line_no", F.when(first_doc != -(2**63), first_doc).alias("class_doc_id"),
+        F.expr(f"cast(pmod({rest}, cast(4294967296 as decimal(19,0))) as int)").alias("class_line_no"), (F.expr(_PLACE) == F.col("head")).alias("kept"),
+    )
 
 
 def dedup(docs: DataFrame) -> DataFrame:
