@@ -49,7 +49,11 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return values, space
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
+def _largest() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(1 << 20)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     inverse = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -60,8 +64,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the values times powers of the base before each place, and powers of the base's inverse."""
-    size = 1 << max(10, int(len(values)).bit_length())
-    up, down = _powers(size) if size <= 1 << 22 else _powers.__wrapped__(size)
+    up, down = _largest() if len(values) < 1 << 20 else _powers(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=total[1:])
     return total, down

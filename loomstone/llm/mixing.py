@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.scratch import cut, trimmed
+from loomstone.llm.scratch import cut, private, quoted, trimmed
 
 #: Hex digits of a document's seeded hash that name its bucket: 4,096 buckets a source.
 BUCKET_DIGITS = 3
@@ -120,7 +120,7 @@ def apply(docs: DataFrame, cycle: Sequence[int] = (1, 2, 3), max_epochs: int = 3
     taken = mix(docs, cycle, max_epochs, seed).where("taken > 0")
     whole = F.floor(F.col("taken") / F.col("size")).cast("long")
     per_row = taken.groupBy("row").agg(F.sum(whole).alias("whole"), F.max(F.col("taken") % F.col("size")).alias("part"))
-    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("doc_id", "source", "text").alias("row"))
+    keyed = docs.select(F.struct(*[quoted(c).alias(n) for c, n in zip(docs.columns, private(docs.columns), strict=True)]).alias("doc"), F.xxhash64("doc_id", "source", "text").alias("row"))
     once = F.row_number().over(Window.partitionBy("row").orderBy("row"))
     joined = keyed.join(per_row, "row").withColumn("once", once).where("once = 1")
     names, schema = docs.columns, docs.schema
@@ -139,7 +139,7 @@ def apply(docs: DataFrame, cycle: Sequence[int] = (1, 2, 3), max_epochs: int = 3
                         row["n_chars"] = len(row["text"])
                 yield pa.RecordBatch.from_pylist(rows, own.schema)
 
-    return joined.select(*[F.col("doc")[c].alias(f"c{i}") for i, c in enumerate(names)], "whole", "part").mapInArrow(trimmed(batches), schema)
+    return joined.select("doc.*", "whole", "part").mapInArrow(trimmed(batches), schema)
 
 
 def first_words(text: str, words: int) -> str:

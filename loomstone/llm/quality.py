@@ -9,7 +9,6 @@ inputs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm import kernels
-from loomstone.llm.scratch import trimmed
+from loomstone.llm.scratch import appended
 
 #: Hashed words, bins of a statistic, factors of a feature.
 WORDS, BINS, FACTORS = 1 << 15, 16, 8
@@ -174,13 +173,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = TRAIN_ROW
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """Adds ``quality_score`` of the whole text, 0 to 1; null counts as empty. All rows and columns stay; no shuffle."""
+    """Adds ``quality_score`` of the whole text, 0 to 1; null counts as empty. All rows stay, and all columns but one of that name; no shuffle."""
     shipped = docs.sparkSession.sparkContext.broadcast(machine)
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            data, offsets = kernels.utf8(batch.column(batch.schema.get_field_index("text")))
-            made = [shipped.value.score(features(data, offsets[i : j + 1])) for i, j in kernels.slices(offsets)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(made) if made else np.zeros(0), pa.float64())], [*batch.schema.names, "quality_score"])
+    def make(column: pa.Array):
+        data, offsets = kernels.utf8(column)
+        for i, j in kernels.slices(offsets):
+            yield i, j, [pa.array(shipped.value.score(features(data, offsets[i : j + 1])), pa.float64())]
 
-    return docs.mapInArrow(trimmed(batches), docs.select("*", F.lit(0.0).alias("quality_score")).schema)
+    return appended(docs, "text", {"quality_score": "double"}, make)

@@ -20,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm import kernels
 from loomstone.llm.components import Links, components
-from loomstone.llm.scratch import cut, freeing, trimmed
+from loomstone.llm.scratch import cut, freeing, private, quoted, trimmed
 
 #: Words of a shingle; links have 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 75
@@ -335,3 +335,30 @@ def join(docs: DataFrame) -> DataFrame:
     joined = sets.join(by_key, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest doc_id.
+
+    Rows are compared by their texts, also rows that repeat a doc_id: a row goes
+    only if its own text is linked to one that stays, or if it repeats the doc_id
+    and the text of a row that stays. Rows with a null doc_id stay, and rows with
+    an empty set but for repeats.
+    """
+    ids = docs.select("doc_id").where("doc_id is not null")
+    repeated = cut(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    names = private(docs.columns)
+    own = docs.select(*[quoted(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if repeated.isEmpty():
+        gone = join(docs.select("doc_id", "text")).where("component_id <> doc_id").select("doc_id")
+        kept = own.join(gone, "doc_id", "left_anti")
+    else:
+        # Every text of a doc_id is a document of its own, numbered in the order of doc_id.
+        digest = F.coalesce(F.md5("text"), F.lit(""))
+        texts = own.where("doc_id is not null").select("doc_id", digest.alias("digest")).distinct()
+        numbered = cut(texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "digest").withColumn("uid", F.monotonically_increasing_id()))
+        every = own.withColumn("digest", digest).join(numbered, ["doc_id", "digest"], "left")
+        rows = cut(every.withColumn("rank", F.row_number().over(Window.partitionBy("uid").orderBy("digest"))).where("rank = 1 or uid is null"))
+        gone = join(rows.select(F.col("uid").alias("doc_id"), "text")).where("component_id <> doc_id").select(F.col("doc_id").alias("uid"))
+        kept = rows.join(gone, "uid", "left_anti")
+    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
