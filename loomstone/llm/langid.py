@@ -12,20 +12,21 @@ import functools
 import math
 import sys
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.scratch import trimmed
+from loomstone.llm import kernels
+from loomstone.llm.scratch import appended, cached
 
 #: Labelled texts read per language, and characters of them kept: the bounds of the fitted sample.
 SAMPLE_ROWS, SAMPLE_CHARS = 64, 30_000
-#: Letters with a class of their own; 0 stands for a run of non-letters, 1 for all other letters.
-LETTERS = 62
-ALPHABET = LETTERS + 2
+#: Bytes of text that are parsed at once, unless one text alone has more.
+SLICE = 8_000_000
+#: Letters with one symbol each where there are over twice as many letters; the others are written as two symbols.
+SINGLE = 94
 #: Prediction for a text that is null or has no letter.
 UNDETERMINED = "und"
 
@@ -91,38 +92,59 @@ class SuffixAutomaton:
 
 
 class Parser:
-    """Phrase counts of texts under every language at once."""
+    """Phrase counts of texts under every language at once.
+
+    Every letter of the samples is told apart: frequent ones have a symbol each,
+    and where there are many letters the rest are written as two symbols. A
+    language's automaton has columns for its own symbols only: 0 stands for a
+    run of non-letters, 1 for all that its sample lacks, which ends a phrase
+    there whatever it is. So the tables grow with the samples, not with
+    languages times letters.
+    """
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
         letters = _lower_letters()
         points = {k: letters[code_points(samples[k])] for k in self.langs}
-        seen, counts = np.unique(np.concatenate([p[p > 0] for p in points.values()] or [np.zeros(0, np.uint32)]), return_counts=True)
-        own = seen[np.lexsort((seen, -counts))][:LETTERS]
-        symbol = np.ones(sys.maxunicode + 1, np.uint8)
+        own, counts = np.unique(np.concatenate([p[p > 0] for p in points.values()] or [np.zeros(0, np.uint32)]), return_counts=True)
+        own = own[np.lexsort((own, -counts))]
+        single = len(own) if len(own) <= 2 * SINGLE else SINGLE
+        self.base = max(1, math.ceil(math.sqrt(len(own) - single)))
+        self.pair = 2 + single
+        symbol = np.ones(sys.maxunicode + 1, np.int32)
         symbol[0] = 0
         symbol[own] = np.arange(2, 2 + len(own))
         self.symbol = symbol[letters]
-        steps, self.roots, self.scale, at = [], [], [], 0
+        alphabet = self.pair + (2 * self.base if single < len(own) else 0)
+        steps, self.columns, self.roots, self.scale, at = [], [], [], [], 0
         for k in self.langs:
             sequence = self._symbols(samples[k])
-            steps.append(SuffixAutomaton(sequence.tolist()).steps(ALPHABET))
-            self.roots.append(at * ALPHABET)
+            seen = np.unique(sequence[sequence > 1])
+            column = np.ones(alphabet, np.int64)
+            column[0], column[seen] = 0, np.arange(2, 2 + len(seen))
+            part = SuffixAutomaton(column[sequence].tolist()).steps(2 + len(seen))
+            width = part.shape[1]
+            # Of a state: the place of its row in one table of all languages, in place of its number.
+            steps.append(((part >> 1).astype(np.int64) * width + at) * 2 + (part & 1))
+            self.columns.append(column)
+            self.roots.append(at)
             self.scale.append(math.log2(len(sequence) + 2))
-            at += len(steps[-1])
-        self.table = np.empty((at, ALPHABET), np.int64 if at * ALPHABET * 2 > 2**31 - 1 else np.int32)
-        at = 0
-        for part in steps:
-            own = self.table[at : at + len(part)]
-            np.add(part >> 1, at, out=own)
-            own *= 2 * ALPHABET
-            own += part & 1
-            at += len(part)
-        self.table = self.table.ravel()
+            at += part.size
+        self.columns = np.stack(self.columns) if self.columns else np.zeros((0, 2), np.int64)
+        self.table = np.concatenate([x.ravel() for x in steps]) if steps else np.zeros(0, np.int64)
+        if at * 2 < 2**31:
+            self.table = self.table.astype(np.int32)
 
     def _symbols(self, text: str) -> np.ndarray:
         s = self.symbol[code_points(text)]
-        return s[(s > 0) | np.append(True, s[:-1] > 0)]
+        s = s[(s > 0) | np.append(True, s[:-1] > 0)]
+        if len(s) and int(s.max()) >= self.pair:
+            rare = s >= self.pair
+            at = np.flatnonzero(rare) + np.arange(np.count_nonzero(rare))
+            high, low = np.divmod(s[rare] - self.pair, self.base)
+            s = np.repeat(s, np.where(rare, 2, 1))
+            s[at], s[at + 1] = self.pair + high, self.pair + self.base + low
+        return s.astype(np.uint8) if self.pair + 2 * self.base <= 256 else s
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``phrases[language, text]`` and the parsed length of each text; 0 where it has no letter.
@@ -139,7 +161,7 @@ class Parser:
         if not n or not self.langs:
             return phrases, lengths
         order, going = order[:n], going[:n]
-        buffer = np.concatenate([parsed[i] for i in order]).astype(np.intp if n < 2 else np.uint8)
+        buffer = np.concatenate([parsed[i] for i in order])
         at = np.append(0, np.cumsum(going))[:-1].astype(np.intp)
         state = np.repeat(np.array(self.roots, np.int64)[:, None], n, axis=1)
         done = np.zeros((len(self.langs), n), np.int64)
@@ -152,7 +174,7 @@ class Parser:
                     self._rest(buffer, at[:k], going[:k], t, state[:, :k], done[:, :k], phrases, order)
                     return phrases, lengths
                 state, done, at = np.ascontiguousarray(state[:, :k]), np.ascontiguousarray(done[:, :k]), at[:k]
-            value = self.table.take(state + buffer.take(at + t))
+            value = self.table.take(state + self.columns.take(buffer.take(at + t), axis=1))
             done += value & 1
             state = value >> 1
         phrases[:, order[: state.shape[1]]] = done
@@ -165,7 +187,8 @@ class Parser:
             symbols = buffer[at[i] + t : at[i] + going[i]].tolist()
             for lang in range(len(self.langs)):
                 s, n = int(state[lang, i]), int(done[lang, i])
-                for c in symbols:
+                column = self.columns[lang].tolist()
+                for c in map(column.__getitem__, symbols):
                     v = table[s + c]
                     n += v & 1
                     s = v >> 1
@@ -192,6 +215,7 @@ class Parser:
 SCALAR = 6
 
 
+@cached
 @functools.lru_cache(maxsize=1)
 def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(dict(samples))
@@ -225,17 +249,19 @@ def _shared_out(texts: list[str], chars: int) -> str:
     return " ".join(x[:n] for x, n in zip(texts, take, strict=True))
 
 
-def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """Adds ``lang_pred`` and ``lang_score`` from the whole text alone; null text or none with a letter is ``und``.
+def identify(docs: DataFrame, samples: dict[str, str], pred: str = "lang_pred", certainty: str = "lang_score") -> DataFrame:
+    """Adds columns ``pred`` and ``certainty`` from the whole text alone; null text or none with a letter is ``und``.
 
-    Any rows and columns are kept; no shuffle. Each worker builds the automata
-    once from the bounded samples, which travel with the function.
+    Any rows and columns are kept, but that input columns of those two names are
+    replaced; no shuffle. Each worker builds the automata once from the bounded
+    samples, which travel with the function.
     """
     model = tuple(sorted(samples.items()))
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            lang, score = _parser(model).predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
+    def make(column: pa.Array):
+        _, offsets = kernels.utf8(column)
+        for i, j in kernels.slices(offsets, SLICE):
+            lang, score = _parser(model).predict(column.slice(i, j - i).to_pylist())
+            yield i, j, [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
 
-    return docs.mapInArrow(trimmed(batches), docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score")).schema)
+    return appended(docs, "text", {pred: "string", certainty: "double"}, make, _parser)
