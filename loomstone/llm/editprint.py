@@ -20,26 +20,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.llm import kernels, meeting
 from loomstone.llm.components import Links, components
-from loomstone.llm.scratch import cut, trimmed
+from loomstone.llm.scratch import appended, cached, cut, trimmed
 
 #: Sampled steps, a hexadecimal digit each.
 DIGITS = 256
-#: Steps after which the shared bits repeat, and classes of characters; class 0 ends a text.
+#: Steps for which the shared bits are drawn at once, and classes of characters; class 0 ends a text.
 PERIOD, CLASSES = 4096, 256
 #: Code points embedded at once, unless one text alone has more.
-CHUNK = 12_000_000
+CHUNK = 4_000_000
 #: Texts still going below which they are walked one by one.
 SCALAR = 16
 #: Bands, digits of a band, and the likeness from which two texts are near: 0.766 of their digits agree there,
-#: and they meet in some band with probability 0.995.
-BANDS, BAND_DIGITS, NEAR = 32, 7, 0.75
+#: and they meet in some band with probability 0.994.
+BANDS, BAND_DIGITS, NEAR = 40, 8, 0.75
+#: Words of 64 bits that hold a fingerprint, and those of them that are compared first.
+WORDS, SHORT = DIGITS // 16, 6
 
 
-@functools.lru_cache(maxsize=1)
-def _bits() -> np.ndarray:
-    """``[step, class]`` to the walk's move."""
-    bits = np.random.default_rng(20).integers(0, 2, (PERIOD, CLASSES), dtype=np.intp)
+@cached
+@functools.lru_cache(maxsize=32)
+def _bits(page: int) -> np.ndarray:
+    """``[step, class]`` to the walk's move, for the ``PERIOD`` steps from ``page * PERIOD`` on: every step has bits of its own."""
+    bits = np.random.default_rng([20, page]).integers(0, 2, (PERIOD, CLASSES), dtype=np.uint8)
     bits[:, 0] = 0
     return bits
 
@@ -101,7 +105,7 @@ def fingerprints(texts: list[str]) -> list[str]:
         buffer[at : at + len(parts[i])] = parts[i]
     del parts
     samples = _samples(int(walk[0]).bit_length() + 1)
-    digit, bits = _digits(), _bits()
+    digit = _digits()
     spare = ((lengths[:, None] * 7 + np.arange(DIGITS)) & 15).astype(np.uint8)
     made = np.zeros((len(texts), DIGITS), np.uint8)
     place, going = starts.copy(), len(texts)
@@ -118,6 +122,8 @@ def fingerprints(texts: list[str]) -> list[str]:
         chosen = samples.get(j)
         if chosen is not None:
             made[:going, chosen] = np.where(c[:, None] > 0, digit[chosen][:, c].T, spare[:going, chosen])
+        if j % PERIOD == 0 or j == 0:
+            bits = _bits(j // PERIOD).astype(np.intp)
         here += bits[j % PERIOD].take(c, out=move[:going], mode="clip")
     hexed = np.frombuffer(b"0123456789abcdef", np.uint8)[made]
     out = [""] * len(texts)
@@ -128,21 +134,22 @@ def fingerprints(texts: list[str]) -> list[str]:
 
 def _walk_rest(buffer, place, walk, begin, going, samples, digit, spare, made) -> None:
     """The few longest texts one by one."""
-    flat = bytes(_bits().astype(np.uint8))
-    ends = sorted(j for j in samples if j >= begin)
+    marks = sorted(j for j in samples if j >= begin)
     for i in range(going):
-        at, data, stop = int(place[i]), memoryview(buffer), int(walk[i])
+        at, data, stop, next_mark = int(place[i]), memoryview(buffer), int(walk[i]), 0
         j = begin
-        for mark in [*ends, stop]:
-            to = min(mark, stop)
-            for j in range(j, to):
-                at += flat[(j % PERIOD) * CLASSES + data[at]]
-            j = to
-            if to == stop:
-                break
-            c = data[at]
-            ks = samples[mark]
-            made[i, ks] = digit[ks, c] if c else spare[i, ks]
+        while j < stop:
+            flat, base = bytes(_bits(j // PERIOD)), j - j % PERIOD
+            page = min(stop, base + PERIOD)
+            while j < page:
+                if next_mark < len(marks) and marks[next_mark] == j:
+                    c, ks = data[at], samples[j]
+                    made[i, ks] = digit[ks, c] if c else spare[i, ks]
+                    next_mark += 1
+                to = min(page, marks[next_mark]) if next_mark < len(marks) else page
+                for k in range((j - base) * CLASSES, (to - base) * CLASSES, CLASSES):
+                    at += flat[k + data[at]]
+                j = to
 
 
 def likeness(a: str, b: str) -> float:
@@ -152,16 +159,15 @@ def likeness(a: str, b: str) -> float:
 
 
 def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``fingerprint`` of the whole text; null counts as empty. All rows and columns stay."""
+    """Adds ``fingerprint`` of the whole text; null counts as empty. All rows stay, and all columns but one of that name."""
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            made: list[str] = []
-            for part in chunks([x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]):
-                made += fingerprints(part)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, "fingerprint"])
+    def make(column: pa.Array):
+        at = 0
+        for part in chunks([x or "" for x in column.to_pylist()]):
+            yield at, at + len(part), [pa.array(fingerprints(part), pa.string())]
+            at += len(part)
 
-    return docs.mapInArrow(trimmed(batches), docs.select("*", F.lit("").alias("fingerprint")).schema)
+    return appended(docs, text, {"fingerprint": "string"}, make, _bits)
 
 
 def chunks(texts: list[str]) -> Iterator[list[str]]:
@@ -194,11 +200,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     a second, small step: each range passes on its first text and its last.
     """
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    ranged = keyed.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
+    small = keyed.select("doc_id", "h", "text").mapInArrow(trimmed(_shrunk), "doc_id long, h long, size long, text binary")
+    ranged = small.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
     schema = "kind string, doc_id long, h long, text string, fingerprint string, n_chars long, edited_sha256 string, edited_fingerprint string, near_edited double, near_next double"
-    part = cut(ranged.mapInArrow(trimmed(_walk_range), schema))
+    part = cut(ranged.mapInArrow(trimmed(_walk_range, _bits), schema))
     edges = part.where("kind in ('first', 'last')").select("kind", "doc_id", "h", "text", "fingerprint")
-    rest = edges.coalesce(1).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "kind").mapInArrow(trimmed(_walk_edges), schema)
+    rest = cut(edges.coalesce(1).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "kind").mapInArrow(trimmed(_walk_edges, _bits), schema))
     return part.where("kind = 'row'").unionByName(rest).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
@@ -225,13 +232,29 @@ def _edge(kind: str, doc_id, h, text: str, fp: str) -> pa.RecordBatch:
     return _batch([kind], [doc_id], [h], [text], [fp], [None], [None], [None], [None], [None])
 
 
+def _shrunk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the shuffle: it writes them to disk once."""
+    codec = pa.Codec("zstd")
+    for batch in it:
+        texts = [x.encode() for x in batch.column(2).to_pylist()]
+        columns = [pa.array([len(x) for x in texts], pa.int64()), pa.array([codec.compress(x, asbytes=True) for x in texts], pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "h", "size", "text"])
+
+
+def _grown(sizes: list[int], texts: pa.Array) -> Iterator[list[str]]:
+    """The texts again, in runs of at most ``CHUNK`` bytes, or of one text."""
+    codec = pa.Codec("zstd")
+    for i, j in kernels.slices(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), CHUNK):
+        yield [codec.decompress(x.as_py(), n, asbytes=True).decode() for x, n in zip(texts.slice(i, j - i), sizes[i:j], strict=True)]
+
+
 def _walk_range(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One range in order: all rows but the last are finished; first and last go on as edges."""
     held, begun = None, False
     for batch in it:
-        ids, texts, hs = (batch.column(i).to_pylist() for i in range(3))
+        ids, hs, sizes = (batch.column(i).to_pylist() for i in range(3))
         at = 0
-        for run in chunks(texts):
+        for run in _grown(sizes, batch.column(3)):
             prints = fingerprints(run)
             rows = list(zip(ids[at : at + len(run)], hs[at : at + len(run)], run, prints, strict=True))
             at += len(run)
@@ -277,29 +300,83 @@ def near_duplicates(docs: DataFrame, near: float = NEAR, bands: int = BANDS, dig
     return prints.join(near_prints(prints, near, bands, digits), "fingerprint").select("doc_id", "class_id")
 
 
+def _words(prints: list[str]) -> np.ndarray:
+    """Fingerprints as words of 16 digits."""
+    return np.frombuffer(bytes.fromhex("".join(prints)), ">u8").astype(np.uint64).reshape(-1, WORDS)
+
+
+def _differing(words: range) -> str:
+    """SQL: how many digits of two packed fingerprints differ in some of the words."""
+    x = "(x_p{0} ^ y_p{0})"
+    return " + ".join(f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & 1229782938247303441L)".format(k) for k in words)
+
+
+def hashes(fingerprint: str = "fingerprint") -> list:
+    """128 bits that name a fingerprint."""
+    return [F.xxhash64(fingerprint).alias("h1"), F.xxhash64(F.lit(1), fingerprint).alias("h2")]
+
+
 def near_prints(prints: DataFrame, near: float = NEAR, bands: int = BANDS, digits: int = BAND_DIGITS) -> DataFrame:
     """``fingerprint, class_id`` of every fingerprint of ``doc_id, fingerprint`` rows, none of them null: see ``near_duplicates``."""
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
-    reps = cut(classes.select(F.col("rep").alias("id"), "fingerprint"))
+    named = near_classes(prints, near, bands, digits)
+    return prints.select("fingerprint", *hashes()).distinct().join(named, ["h1", "h2"]).select("fingerprint", "class_id")
+
+
+def near_classes(prints: DataFrame, near: float = NEAR, bands: int = BANDS, digits: int = BAND_DIGITS) -> DataFrame:
+    """``h1, h2, class_id``: the same by the fingerprint's 128-bit name.
+
+    Eight bytes a band and fingerprint name those that meet. A pair's likeness is
+    counted on packed words: first on ``SHORT`` of them, which differ in no more
+    digits than all do, then on all.
+    """
     chosen = np.random.default_rng(23)
     picks = [sorted(int(x) for x in chosen.choice(DIGITS, digits, replace=False)) for _ in range(bands)]
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.substring("fingerprint", p + 1, 1) for p in pick]) for b, pick in enumerate(picks)])
-    members = reps.select("id", F.explode(keys).alias("key"))
-    same = F.size(F.filter(F.zip_with(F.split("fa", ""), F.split("fb", ""), lambda x, y: x == y), lambda x: x))
-    least = near * 15 / 16 + 1 / 16
+    most = DIGITS - int(np.ceil((near * 15 / 16 + 1 / 16) * DIGITS))
+    words = [f"p{k}" for k in range(WORDS)]
+
+    def wide(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            w = _words(batch.column(3).to_pylist()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(np.ascontiguousarray(c)) for c in w.T]], ["doc_id", "h1", "h2", *words])
+
+    spread = prints.select("doc_id", *hashes(), "fingerprint").mapInArrow(trimmed(wide), f"doc_id long, h1 long, h2 long, {', '.join(f'{w} long' for w in words)}")
+    reps = cut(spread.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), *[F.first(w).alias(w) for w in words]))
+    nodes = reps.select(F.col("h1").alias("id"), F.shiftrightunsigned("h1", 32).alias("tag"), *words)
+    buckets = meeting.buckets_for(reps.count() * bands)
+
+    def keys(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in it:
+            w = np.stack([batch.column(2 + k).to_numpy().view(np.uint64) for k in range(WORDS)], axis=1)
+            digit = np.stack([w[:, d // 16] >> np.uint64(60 - d % 16 * 4) & np.uint64(15) for d in range(DIGITS)], axis=1)
+            made = np.empty((len(w), bands), np.uint64)
+            for b, pick in enumerate(picks):
+                key = np.full(len(w), b + 1, np.uint64)
+                for d in pick:
+                    key = (key << np.uint64(4)) + digit[:, d]
+                made[:, b] = kernels.mixed(key)
+            yield made, batch.column(1).to_numpy().view(np.uint64)
+
+    met = meeting.met(nodes.mapInArrow(trimmed(lambda it: meeting.banded(keys(it), buckets)), "bucket int, entries binary"))
+    cheap, whole = f"({_differing(range(SHORT))}) <= {most}", f"({_differing(range(WORDS))}) <= {most}"
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = reps.select(F.col("id").alias("a"), F.col("fingerprint").alias("fa"))
-        b = reps.select(F.col("id").alias("b"), F.col("fingerprint").alias("fb"))
-        return pairs.join(a, "a").join(b, "b").where(same >= F.lit(least * DIGITS)).select("a", "b")
+        def side(name: str, prefix: str, own: list[str]) -> DataFrame:
+            return nodes.select(F.col("id").alias(name), *[F.col(w).alias(f"{prefix}_{w}") for w in own])
+
+        first = cut(pairs.join(side("a", "x", words[:SHORT]), "a").join(side("b", "y", words[:SHORT]), "b").where(cheap).select("a", "b"))
+        return first.join(side("a", "x", words), "a").join(side("b", "y", words), "b").where(whole).select("a", "b")
 
-    labels = components(Links(members, verify))
-    return reps.join(labels, "id", "left").select("fingerprint", F.coalesce("label", "id").alias("class_id"))
+    lists, pairs = meeting.first_round(met, nodes, words[:SHORT], cheap)
+    begun = lists, pairs.select("a", "b"), verify(pairs.where("near").select("a", "b"))
+    labels = cut(components(Links(None, verify, lambda ids: nodes.join(ids, "id").select("id", *words[:SHORT]), cheap, begun)))
+    heads = labels.join(reps.select(F.col("h1").alias("id"), "doc_id"), "id").groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    named = labels.join(heads, "label").select(F.col("id").alias("h1"), "class_id")
+    return reps.select("h1", "h2", "doc_id").join(named, "h1", "left").select("h1", "h2", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def with_classes(docs: DataFrame) -> DataFrame:
     """``with_next`` and ``class_id`` of ``near_duplicates``, from one walk of the texts; null where doc_id is."""
-    rows = cut(with_next(docs))
-    classes = near_prints(rows.where("doc_id is not null").select("doc_id", "fingerprint"))
+    rows = with_next(docs)
+    classes = near_classes(rows.where("doc_id is not null").select("doc_id", "fingerprint"))
     class_id = F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")
-    return rows.join(classes, "fingerprint", "left").select(*rows.columns, class_id)
+    return rows.select("*", *hashes()).join(classes, ["h1", "h2"], "left").select(*rows.columns, class_id)
