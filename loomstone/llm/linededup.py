@@ -9,7 +9,6 @@ line of each component stays: the first by doc_id and line number.
 from __future__ import annotations
 
 import functools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm import kernels
+from loomstone.llm import kernels, meeting
 from loomstone.llm.components import Links, components
-from loomstone.llm.scratch import cut, freeing, trimmed
+from loomstone.llm.meeting import ordered
+from loomstone.llm.scratch import cut, freeing, private, quoted, trimmed
 
 #: Characters of a shingle; lines link at a Jaccard similarity of PERCENT in a hundred.
 CHARS, PERCENT = 5, 75
@@ -31,8 +31,8 @@ BANDS, ROWS = 32, 6
 SKETCH, SHORT = 16, 4
 #: Bits, as a power of two, of the broadcast bitmap of the tags of lines that met another one.
 FILTER_BITS = 26
-#: Band keys that a bucket takes, bytes of a line by which their number is estimated, and keys that a task holds before it passes them on.
-BUCKET_KEYS, LINE_BYTES, FLUSH = 1_000_000, 256, 2_000_000
+#: Bytes of a line by which the number of lines is estimated: it sets the number of buckets.
+LINE_BYTES = 256
 
 _EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -58,15 +58,6 @@ def _space(points: np.ndarray) -> np.ndarray:
     return (points == 32) | (points - np.uint32(9) <= 4)
 
 
-def _ordered(values: np.ndarray) -> np.ndarray:
-    """Sorted distinct values."""
-    values.sort()
-    keep = np.empty(len(values), bool)
-    keep[:1] = True
-    np.not_equal(values[1:], values[:-1], out=keep[1:])
-    return values[keep]
-
-
 class Lines:
     """The lines of some texts: position, key and, on request, band keys of each line that is not blank."""
 
@@ -160,7 +151,7 @@ class Lines:
         Two bitmaps differ in no more bits than the sets differ in elements.
         """
         h, line = self.shingles(which)
-        one = _ordered((line.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
+        one = ordered((line.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
         line, at = (one >> np.uint64(44)).astype(np.int64), (one >> np.uint64(44 - 10) & np.uint64(1023)).astype(np.int64) * words * 64 >> 10
         odd = (np.bincount(line * words * 64 + at, minlength=len(which) * words * 64) & 1).astype(np.uint8).reshape(len(which), words * 64)
         return np.bincount(line, minlength=len(which)), np.packbits(odd, axis=1).view(np.int64)
@@ -180,78 +171,18 @@ def hashed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("h"))
 
 
-def buckets_for(docs: DataFrame) -> int:
-    """Buckets of band keys: their number follows the bytes of the texts."""
+def meetings(docs: DataFrame) -> DataFrame:
+    """``key, tag, lead, n``: the lines that share a band key with other lines. The number of buckets follows the bytes of the texts."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    return 1 << max(4, math.ceil(math.log2(max(1, size / LINE_BYTES * BANDS / BUCKET_KEYS))))
-
-
-def _packed(entries: np.ndarray) -> bytes:
-    """Sorted entries, their upper halves as differences in planes of bytes: most of the planes are zeros."""
-    steps = np.diff((entries >> np.uint64(32)).astype(np.uint32), prepend=np.uint32(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes() + entries.astype(np.uint32).tobytes()
-
-
-def _unpacked(blob: bytes) -> np.ndarray:
-    n = len(blob) // 8
-    steps = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * n).reshape(4, n).T).view(np.uint32).ravel()
-    return np.cumsum(steps, dtype=np.uint64) << np.uint64(32) | np.frombuffer(blob, np.uint32, n, 4 * n)
-
-
-def _banded(it: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Per bucket of band keys, 32 more bits of each key and the 32-bit tag of its line in eight bytes.
+    buckets = meeting.buckets_for(size / LINE_BYTES * BANDS)
 
-    Two lines of one tag never meet: one pair in 2^32.
-    """
-    bits = np.uint64(int(math.log2(buckets)))
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def packed() -> pa.RecordBatch:
-        keys, tags = (np.concatenate(part) for part in zip(*held, strict=True))
-        which = (keys >> np.uint64(64) - bits).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
-        order = np.argsort(which, kind="stable")
-        which, entry = which[order], (keys << bits & ~np.uint64(0xFFFFFFFF) | tags)[order]
-        cuts = np.append(np.flatnonzero(np.append(True, which[1:] != which[:-1])), len(which))
-        rows = [(int(which[a]), _packed(_ordered(entry[a:b]))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "entries"])
-
-    for batch in it:
-        for _, x in _runs(batch):
-            which = np.unique(x.key, return_index=True)[1]
-            if len(which):
-                keys = x.bands(x.bins(which))
-                held.append((keys.ravel(), np.repeat(x.key[which] >> np.uint64(32), BANDS)))
-                size += keys.size
-            if size >= FLUSH:
-                yield packed()
-                held, size = [], 0
-    if held:
-        yield packed()
-
-
-def _met(parts: pa.Table) -> pa.Table:
-    """One bucket's band keys under which several lines meet: every line's tag, the least tag of the key, and their number."""
-    entries = _ordered(np.concatenate([_unpacked(x) for x in parts.column("entries").to_pylist()]))
-    low = (entries >> np.uint64(32)).astype(np.uint32)
-    starts = np.flatnonzero(np.append(True, low[1:] != low[:-1])[: len(low)])
-    n = np.diff(np.append(starts, len(low)))
-    starts, n = starts[n > 1], n[n > 1]
-    at = np.repeat(starts - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
-    tags = entries.astype(np.uint32).astype(np.int64)
-    bucket = parts.column("bucket")[0].as_py()
-    return pa.table({"key": pa.array((bucket << 32) + low[at].astype(np.int64)), "tag": pa.array(tags[at]), "lead": pa.array(np.repeat(tags[starts], n)), "n": pa.array(np.repeat(n, n).astype(np.int32))})
-
-
-def meetings(docs: DataFrame) -> DataFrame:
-    """``key, tag, lead, n``: the lines that share a band key with other lines, by tag, with the key's least tag and number of lines.
+    def parts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in it:
+            for _, x in _runs(batch):
+                which = np.unique(x.key, return_index=True)[1]
+                yield x.bands(x.bins(which)), x.key[which] >> np.uint64(32)
 
-    A line is sent once a task and bucket, so a key holds no copies; what one
-    reducer reads follows ``BUCKET_KEYS``, not the most common line.
-    """
-    buckets = buckets_for(docs)
-    parts = hashed(docs).mapInArrow(trimmed(lambda it: _banded(it, buckets)), "bucket int, entries binary")
-    return parts.groupBy("bucket").applyInArrow(freeing(_met), "key long, tag long, lead long, n int")
+    return meeting.met(hashed(docs).mapInArrow(trimmed(lambda it: meeting.banded(parts(it), buckets)), "bucket int, entries binary"))
 
 
 def tag_filter(tags: DataFrame) -> np.ndarray:
@@ -349,7 +280,7 @@ def linked(left: list[str], right: list[str], at_once: int = 200) -> list[bool]:
     both = Lines([*left, *right])
     h, line = both.shingles(np.arange(len(both.key)))
     which = both.doc[line]
-    sets = _ordered((which.astype(np.uint64) << np.uint64(55)) | (h >> np.uint64(9)))
+    sets = ordered((which.astype(np.uint64) << np.uint64(55)) | (h >> np.uint64(9)))
     sizes = np.bincount((sets >> np.uint64(55)).astype(np.int64), minlength=2 * n)
     cut_at = int(np.searchsorted(sets, np.uint64(n) << np.uint64(55)))
     merged = np.concatenate([sets[:cut_at], sets[cut_at:] - (np.uint64(n) << np.uint64(55))])
@@ -386,7 +317,7 @@ def classes(docs: DataFrame) -> DataFrame:
     one number each, so Spark combines them by hash before it shuffles.
     """
     spark = docs.sparkSession
-    met = cut(meetings(docs))
+    met = meetings(docs)
     wanted = spark.sparkContext.broadcast(tag_filter(met.select("tag").distinct()))
     lines = cut(line_table(docs, wanted))
     texts = lines.where("line is not null").select("r", "line")
@@ -394,30 +325,22 @@ def classes(docs: DataFrame) -> DataFrame:
     found = lines.where("line is not null").groupBy(F.col("key").alias("id"), tag.alias("tag")).agg(F.min("r").alias("r"), *[F.min(c).alias(c) for c in [*CARRIED, "check"]])
     some = cut(found)
 
-    def side(name: str, prefix: str, by: str) -> DataFrame:
-        own = [] if by == "id" else [F.col("id").alias(name)]
-        return some.select(F.col(by).alias(name if by == "id" else f"{by}_{name}"), *own, F.col("r").alias(f"r{name}"), *[F.col(w).alias(f"{prefix}_{w}") for w in CARRIED])
-
     def linking(near: DataFrame) -> DataFrame:
-        """Of ``a, b, ra, rb`` the pairs whose texts link."""
+        """Of ``a, b, r_a, r_b`` the pairs whose texts link."""
         near = cut(near)
-        left = texts.join(near, F.col("r") == F.col("ra")).select("a", "b", "rb", F.col("line").alias("la"))
-        right = texts.join(near.select(F.col("rb").alias("r")).distinct(), "r", "left_semi").select(F.col("r").alias("rb"), F.col("line").alias("lb"))
-        return left.join(right, "rb").select("a", "b", "la", "lb").mapInArrow(trimmed(_linked), "a long, b long")
+        left = texts.join(near, F.col("r") == F.col("r_a")).select("a", "b", "r_b", F.col("line").alias("la"))
+        right = texts.join(near.select(F.col("r_b").alias("r")).distinct(), "r", "left_semi").select(F.col("r").alias("r_b"), F.col("line").alias("lb"))
+        return left.join(right, "r_b").select("a", "b", "la", "lb").mapInArrow(trimmed(_linked), "a long, b long")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return linking(pairs.join(side("a", "x", "id"), "a").join(side("b", "y", "id"), "b").where(CHEAP).select("a", "b", "ra", "rb"))
+        a, b = [some.select(F.col("id").alias(side), F.col("r").alias(f"r_{side}"), *[F.col(w).alias(f"{name}_{w}") for w in CARRIED]) for side, name in (("a", "x"), ("b", "y"))]
+        return linking(pairs.join(a, "a").join(b, "b").where(CHEAP).select("a", "b", "r_a", "r_b"))
 
     def sketched(ids: DataFrame) -> DataFrame:
         return sketches(texts.join(some.join(ids, "id").select("id", "r"), "r").select("id", "line"))
 
-    by_tag = met.where("tag <> lead").select(F.col("tag").alias("tag_a"), F.col("lead").alias("tag_b")).distinct()
-    pairs = by_tag.join(side("a", "x", "tag"), "tag_a").join(side("b", "y", "tag"), "tag_b").where("a <> b")
-    swapped = F.col("a") > F.col("b")
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swapped, F.col("rb")).otherwise(F.col("ra")).alias("ra"), F.when(swapped, F.col("ra")).otherwise(F.col("rb")).alias("rb"), F.expr(CHEAP).alias("near")).distinct())
-    leaders = some.groupBy(F.col("tag").alias("lead")).agg(F.min("id").alias("leader"))
-    lists = met.where("n > 2").join(some.select("tag", "id"), "tag").join(leaders, "lead").select("id", "key", "leader")
-    begun = lists, pairs.select("a", "b"), linking(pairs.where("near").select("a", "b", "ra", "rb"))
+    lists, pairs = meeting.first_round(met, some, CARRIED, CHEAP, ("r",))
+    begun = lists, pairs.select("a", "b"), linking(pairs.where("near").select("a", "b", "r_a", "r_b"))
     labels = components(Links(None, verify, sketched, POSSIBLE, begun))
 
     firsts = lines.select("key", "check", F.expr(_PLACE).alias("place")).groupBy("key", "check").agg(F.min("place").alias("place"))
@@ -442,7 +365,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     text, one has the lines and the others are empty.
     """
     keep = classes(docs).where("kept").groupBy(F.col("h").alias("kept_h"), F.col("doc_id").alias("kept_id")).agg(F.collect_list("line_no").alias("kept_lines"))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("doc_id", "text").alias("h"), "doc_id")
+    rows = docs.select(F.struct(*[quoted(c).alias(n) for c, n in zip(docs.columns, private(docs.columns), strict=True)]).alias("doc"), F.xxhash64("doc_id", "text").alias("h"), "doc_id")
     joined = rows.join(keep, (F.col("h") == F.col("kept_h")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left")
     copy = F.row_number().over(Window.partitionBy("h", "doc_id").orderBy("h"))
     kept_lines = F.when(copy == 1, F.col("kept_lines"))
@@ -459,7 +382,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 columns[names.index("n_chars")] = pa.array([None if x is None else len(x) for x in new], batch.column(names.index("n_chars")).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select(*[F.col("doc")[c].alias(f"c{i}") for i, c in enumerate(names)], kept_lines.alias("kept")).mapInArrow(trimmed(batches), schema)
+    return joined.select("doc.*", kept_lines.alias("kept")).mapInArrow(trimmed(batches), schema)
 
 
 def rebuilt(text: str, kept: set[int]) -> str:
