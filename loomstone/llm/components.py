@@ -11,10 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.scratch import cut
+from loomstone.llm.scratch import cut, freeing
 
 
 @dataclass
@@ -40,18 +42,55 @@ class Links:
 
 #: Members of a key with which all others are compared in the second round.
 LEADERS = 4
+#: Members of a key that one task pairs with the others in the last round.
+BLOCK = 4096
+
+
+#: Edges of which one task makes a forest.
+PART = 1_000_000
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges that are not their component's smallest, and that smallest one: a star for each component."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(root, high, low)
+        while True:  # each node points to its root
+            jumped = root[root]
+            if (jumped == root).all():
+                break
+            root = jumped
+        a, b = root[a], root[b]
+        left = a != b
+        a, b = a[left], b[left]
+    below = root != np.arange(len(nodes))
+    return nodes[below], nodes[root[below]]
+
+
+def _stars(part: pa.Table) -> pa.Table:
+    u, v = forest(part.column("u").to_numpy(), part.column("v").to_numpy())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """``id, label`` of every node of ``edges(a, b)``: label is its component's smallest id.
 
-    Alternating large and small stars, a logarithmic number of rounds in the
+    Union-find in two levels. Edges are dealt into parts of about ``PART``, and
+    one task turns each part into stars, a star for each component that the part
+    knows of. One part is the whole result. The stars of several parts are joined
+    by alternating large and small stars, a logarithmic number of rounds in the
     usual case. A node of any degree is only ever a group's key with a combined
     minimum and one side of a join whose skew Spark may split.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    parts = -(-e.count() // PART)
+    dealt = e.withColumn("part", F.pmod(F.xxhash64("u", "v"), F.lit(max(1, parts))))
+    e = cut(dealt.groupBy("part").applyInArrow(freeing(_stars), "u long, v long"))
     before = None
-    while True:
+    while parts > 1:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -65,6 +104,18 @@ def connected(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
+def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``labels`` after further edges ``a, b``: only the components that these join are looked at again."""
+    known = cut(labels)
+    at = known.withColumnRenamed("label", "l")
+    mapped = more.join(at.withColumnRenamed("id", "a").withColumnRenamed("l", "la"), "a", "left").join(at.withColumnRenamed("id", "b").withColumnRenamed("l", "lb"), "b", "left")
+    ends = cut(mapped.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")))
+    joined = connected(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("id").alias("label"), F.col("label").alias("to"))
+    new = ends.select(F.col("a").alias("id"), F.col("la").alias("label")).unionByName(ends.select(F.col("b").alias("id"), F.col("lb").alias("label"))).where("id = label").distinct()
+    every = known.unionByName(new.join(known.select("id"), "id", "left_anti"))
+    return every.join(joined, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+
+
 def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
@@ -101,7 +152,7 @@ def components(links: Links) -> DataFrame:
     else:
         lists, own, seen = _first_round(links.members)
         found = cut(links.verify(seen))
-    labels = connected(found)
+    labels = cut(connected(found))
 
     def divided(labels: DataFrame) -> DataFrame:
         rows = lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -118,16 +169,17 @@ def components(links: Links) -> DataFrame:
     more = cut(links.verify(again))
     seen = seen.unionByName(again)
     if not more.isEmpty():
-        found = found.unionByName(more)
-        labels = connected(found)
+        labels = cut(merged(labels, more))
         open_keys = divided(labels)
-    head = open_keys.where("id = leader").select("key", F.col("label").alias("head")).distinct()
-    rows = open_keys.join(head, "key")
+    heads = open_keys.groupBy("key").agg(F.max(F.when(F.col("id") == F.col("leader"), F.col("label"))).alias("head"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("head is not null")
+    rows = open_keys.join(heads, "key")
     if links.sketches is not None:
         rows = rows.join(links.sketches(open_keys.select("id").distinct()), "id")
     rows = cut(rows)
-    columns = [c for c in rows.columns if c != "key"]
-    x, y = _prefixed(rows.where("label <> head"), "x", columns, ["key"]), _prefixed(rows.where("id <> leader"), "y", columns, ["key"])
-    crossed = x.join(y, "key").where(f"x_label <> y_label and (y_label = y_head or x_id < y_id) and (x_wide or y_wide) and ({links.possible})")
+    # A key with many members is many pairs of blocks: one side is dealt into them, the other is in each.
+    columns = [c for c in rows.columns if c not in ("key", "blocks")]
+    x = _prefixed(rows.where("label <> head"), "x", columns, ["key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")])
+    y = _prefixed(rows.where("id <> leader"), "y", columns, ["key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")])
+    crossed = x.join(y, ["key", "block"]).where(f"x_label <> y_label and (y_label = y_head or x_id < y_id) and (x_wide or y_wide) and ({links.possible})")
     last = cut(links.verify(_pairs(crossed, "x_id", "y_id").join(seen, ["a", "b"], "left_anti")))
-    return labels if last.isEmpty() else connected(found.unionByName(last))
+    return labels if last.isEmpty() else cut(merged(labels, last))

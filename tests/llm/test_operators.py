@@ -9,12 +9,14 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from test_text import char_sets, near_pairs, shingles
 
 import corpus_pipeline
 from conftest import SMALL
 from loomstone.llm import ann, bpe, chat, editprint, langid, linededup, mixing, quality, setjoin, sharding
+from loomstone.llm import components as link_components
 from loomstone.llm.bpe import encoder
 from loomstone.llm.components import Links, components, connected
 from loomstone.llm.queries import QUERIES
@@ -44,18 +46,22 @@ def small(spark):
     return spark.read.parquet(f"{SMALL}/documents.parquet")
 
 
-CLASHING = ["h", "key", "id", "label", "row", "size", "n", "part", "whole", "bucket", "kept_lines", "kept_id", "once", "taken"]
+CLASHING = ["h", "key", "id", "label", "row", "size", "n", "part", "whole", "bucket", "kept_lines", "kept_id", "once", "taken", "uid", "digest", "rank", "doc", "salt", "a.b", "x `y`"]
+#: Names that operators give their own results: where they return the input's columns, these take their place.
+RESULTS = ["lang_pred", "lang_score", "fingerprint", "ids", "decoded", "decodes", "quality_score"]
 
 
 def clashing(df):
-    return df.withColumns({c: F.lit("mine") for c in CLASHING})
+    return df.withColumns({c: F.lit("mine") for c in CLASHING + RESULTS})
 
 
 # Components.
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_connected(spark, seed):
+@pytest.mark.parametrize("seed,part", [(0, 1_000_000), (1, 20), (2, 60)])
+def test_connected(spark, seed, part, monkeypatch):
+    """In one part and in several."""
+    monkeypatch.setattr(link_components, "PART", part)
     r = random.Random(seed)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 240)] + [(5, 5)]
     parent = list(range(300))
@@ -73,8 +79,10 @@ def test_connected(spark, seed):
     assert got == want
 
 
-def test_no_link_of_a_key_is_lost(spark):
-    """A key whose members form many small components: no pair of different components is skipped."""
+@pytest.mark.parametrize("block", [4096, 7])
+def test_no_link_of_a_key_is_lost(spark, block, monkeypatch):
+    """A key whose members form many small components: no pair of different components is skipped, in one block or in many."""
+    monkeypatch.setattr(link_components, "BLOCK", block)
     r = random.Random(4)
     true = {tuple(sorted(r.sample(range(60), 2))) for _ in range(25)}
     df = spark.createDataFrame([(i, 1) for i in range(60)] + [(0, 2), (70, 2), (71, 3)], "id long, key long")
@@ -261,6 +269,17 @@ def test_a_long_text_does_not_take_the_whole_sample(spark):
         assert sample.count(long) > 14_000
 
 
+def test_many_scripts(spark):
+    """Languages of thousands of letters each are told apart: no letter is dropped for being rare."""
+    r = random.Random(1)
+    scripts = {"a": range(0x4E00, 0x4E00 + 1500), "b": range(0x5E00, 0x5E00 + 1500), "c": range(0xAC00, 0xAC00 + 1500), "en": range(97, 123)}
+    text = lambda k, n: "".join(chr(r.choice(scripts[k])) + " " * (r.random() < 0.2) for _ in range(n))
+    learned = spark.createDataFrame([(i, text(k, 3000), k) for i, k in enumerate(list(scripts) * 2)], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(i, text(k, 200), k) for i, k in enumerate(list(scripts) * 25)], "doc_id long, text string, lang string")
+    got = langid.identify(asked, langid.fit(learned, F.lit(True))).collect()
+    assert all(x.lang == x.lang_pred for x in got)
+
+
 def test_language_held_out(spark):
     got = QUERIES["op3_langid"](spark, SMALL).join(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     assert (got.held_out == [zlib.crc32(str(d).encode()) % 3 == 1 for d in got.doc_id]).all()
@@ -531,8 +550,55 @@ def test_shards_of_documents(spark, small):
     assert len(sums) == 8 and sums.max() - sums.min() <= got["size"].max()
     few = got[got.doc_id < 10_000].groupby("text_crc32").shard.nunique()
     assert (few == 1).mean() > 0.95
-    table = sharding.map_table(spark, 1, {0: 1, 2: 3}).unionByName(sharding.map_table(spark, 2, {0: 2, 2: 3}))
-    assert sharding.load_map(table) == {0: 2, 2: 3} and sharding.load_map(table, 1) == {0: 1, 2: 3}
+
+
+def brute_slots(rows, heavy=sharding.HEAVY, slots=sharding.SLOTS):
+    """Virtual slots of rows whose text is not heavy, by the published xxHash64 of their bytes."""
+    total = sum(len((t or "").encode()) + 1 for _, t in rows)
+    by = collections.Counter()
+    for _, t in rows:
+        by[t or ""] += len((t or "").encode()) + 1
+    count = collections.Counter(t or "" for _, t in rows)
+    light = {t for t in by if count[t] == 1 or by[t] * heavy <= total}
+
+    def of_text(t):  # Spark: xxhash64 of a long that is itself xxhash64 of the text
+        h = xxhash.xxh64_intdigest(t.encode(), 42)
+        h = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42)
+        return (h - 2**64 if h >= 2**63 else h) % slots
+
+    return {t: of_text(t) for t in light}
+
+
+def test_slots_against_brute_force(spark, small, tmp_path):
+    rows = [(r.doc_id, r.text) for r in small.select("doc_id", "text").collect()] + [(None, None), (7, None), (7, "")]
+    maps = sharding.SlotMaps(spark, f"file://{tmp_path}/maps")
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 5, maps).collect()
+    want = brute_slots(rows)
+    crc = {zlib.crc32(t.encode()): s for t, s in want.items()}
+    assert all(r.virtual_slot == crc[r.text_crc32] for r in got if r.text_crc32 in crc) and len(got) == len(rows)
+    loads = collections.Counter()
+    for r in got:
+        loads[r.virtual_slot] += r.size
+    assert maps.load() == sharding.first_map(loads, 5) and all(r.shard == maps.load()[r.virtual_slot] for r in got)
+    numbers = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.shard, r.virtual_slot, r.doc_id is not None, r.doc_id or 0, r.size, r.text_crc32)):
+        numbers[r.shard].append(r.slot)
+    assert all(n == list(range(len(n))) for n in numbers.values())
+    grown = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 6, maps).collect()
+    assert maps.versions() == [1, 2] and maps.load(2) == sharding.rebalance(maps.load(1), loads, 6) and {r.version for r in grown} == {2}
+    with pytest.raises(Exception, match="already exists"):
+        spark.range(1).write.mode("errorifexists").parquet(f"{maps.folder}/version=2")
+
+
+def test_repeated_rows_are_spread(spark):
+    """Half of all rows repeat one doc_id and text: shards stay near equal, whatever the partitions."""
+    rows = [(i, f"u{i}" * 10) for i in range(1500)] + [(5, "same text " * 20)] * 1500 + [(None, "null id " * 20)] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard(df).toPandas()
+    sums = got.groupby("shard")["size"].sum()
+    assert len(sums) == 8 and sums.max() - sums.min() <= 2 * got["size"].max()
+    slots = lambda d: sorted(r.virtual_slot for r in sharding.shard(d).collect())
+    assert slots(df) == slots(df.repartition(7))
 
 
 # The pipeline.
@@ -553,6 +619,43 @@ def test_stage_rows(spark, odd, none):
     assert all(r.decodes and r.n_tokens == len(r.ids) // 4 for r in tokens)
 
 
+def test_stages_keep_other_columns(spark, odd):
+    """Columns of any name go through every stage as they are."""
+    rows = clashing(odd)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, rows, SMALL)
+        assert got.columns == rows.columns, name
+        assert all(r[c] == "mine" for r in got.collect() for c in CLASHING + RESULTS), name
+
+
+def test_join_stage_loses_no_text(spark):
+    """Rows that repeat a doc_id are documents of their own: each text is linked to one that stays."""
+    a, b, c = "one two three four five six", "alpha beta gamma delta epsilon zeta eta", "other words that nobody else has here"
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, b), (7, c), (7, c), (8, None), (8, None), (None, a)]
+    got = sorted(((r.doc_id or -1), r.text) for r in corpus_pipeline.ngram_join(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect())
+    assert got == sorted([(3, a), (5, b), (7, c), (8, None), (-1, a)], key=lambda x: (x[0], x[1])) if all(x[1] for x in got) else [x for x in got if x[1]] == [(-1, a), (3, a), (5, b), (7, c)] and (8, None) in got
+
+
+def test_stages_against_brute_force(spark, small):
+    docs = spark.createDataFrame(small.where("doc_id < 40").collect(), small.schema)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    classes = line_classes(rows)
+    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if not x.strip(" \t\n\v\f\r") or classes[d, i] == (d, i)) for d, t in rows}
+    deduped = corpus_pipeline.line_dedup(spark, docs, SMALL).collect()
+    kept = {d: "".join(x.split()) for d, x in want.items()}
+    assert {r.doc_id: "".join(r.text.split()) for r in deduped} == kept
+    components = {d: c for d, _, c in brute_components(rows)}
+    assert {r.doc_id for r in corpus_pipeline.ngram_join(spark, docs, SMALL).collect()} == {d for d, c in components.items() if c == d}
+    tokens = corpus_pipeline.bpe_tokens(spark, docs, SMALL).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in tokens} == {d: encoder().core.encode_ordinary(t) for d, t in rows}
+    mixed = corpus_pipeline.mix_sources(spark, docs, SMALL).collect()
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    by = collections.Counter()
+    for r in mixed:
+        by[r.doc_id] += len((r.text or "").split())
+    assert all(by[d] == n for d, n in taken.items())
+
+
 def test_pipeline(spark):
     got = corpus_pipeline.run(spark, SMALL).collect()
     assert got and all(r.decodes and r.n_tokens > 0 for r in got)

@@ -113,12 +113,12 @@ def test_control_strings():
 def brute_print(text: str) -> str:
     c = editprint._classes(text)
     steps = int(editprint.steps_of(np.array([len(text)]))[0])
-    samples, bits, digits, at, out = editprint._samples(steps.bit_length() + 1), editprint._bits(), editprint._digits(), 0, [0] * editprint.DIGITS
+    samples, digits, at, out = editprint._samples(steps.bit_length() + 1), editprint._digits(), 0, [0] * editprint.DIGITS
     for j in range(steps):
         v = int(c[at]) if at < len(c) else 0
         for k in samples.get(j, []):
             out[k] = int(digits[k, v]) if v else (len(text) * 7 + k) & 15
-        at += int(bits[j % editprint.PERIOD, v]) if v else 0
+        at += int(editprint._bits(j // editprint.PERIOD)[j % editprint.PERIOD, v]) if v else 0
     return "".join(f"{d:x}" for d in out)
 
 
