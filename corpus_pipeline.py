@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import bpe, langid, linededup, mixing, setjoin
-from loomstone.llm.scratch import bounded, cut
+from loomstone.llm.scratch import bounded, cut, quoted
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -20,9 +20,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a language (null, or no letter); a missing label becomes the prediction."""
     bounded(spark)
-    found = langid.identify(docs, langid.fit(docs, F.lit(True)))
-    kept = found.where(F.col("lang_pred") != langid.UNDETERMINED)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = langid.identify(docs, langid.fit(docs, F.lit(True)), "__pred", "__score")
+    lang = F.coalesce("lang", F.col("__pred")).alias("lang")
+    return found.where(F.col("__pred") != langid.UNDETERMINED).select(*[lang if c == "lang" else quoted(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +32,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component: the one with the smallest doc_id; of repeated rows, one."""
+    """Keeps one document of each component: the one with the smallest doc_id; of rows that repeat doc_id and text, one.
+
+    Rows that repeat a doc_id with other texts are documents of their own.
+    """
     bounded(spark)
-    gone = setjoin.join(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", F.xxhash64("text").alias("h")).join(gone, "doc_id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("h"))
-    return rows.withColumn("n", first).where("n = 1 or doc_id is null").select("doc.*")
+    return setjoin.dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +49,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, n_tokens, ids, decodes``: packed ids, and whether they decode to the text."""
     bounded(spark)
-    both = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"))
-    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return both.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
+    both = bpe.verified(docs.select("doc_id", "lang", "source", "text"))
+    return both.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decodes")
 
 
 STAGES: list[tuple[str, Stage]] = [
