@@ -85,3 +85,22 @@ def begin(scope: Scope, epoch: int, now: float | None = None, lifetime: int = LI
 
 def advance(state: State, by: int) -> State:
     return replace(state, offset=state.offset + by)
+
+
+@dataclass(frozen=True)
+class Signer:
+    """Signs and opens the cursors of one branch of a database."""
+
+    secret: bytes
+    database: str = "main"
+    branch: str = "main"
+    lifetime: int = LIFETIME
+
+    def scope(self, kind: str, tenant: str, actor: Any, query: str, limit: int, order: str) -> Scope:
+        return Scope(kind, tenant, self.database, self.branch, digest(asdict(actor)), query, limit, order)
+
+    def seal(self, state: State) -> str:
+        return encode(state, self.secret)
+
+    def open(self, token: str, scope: Scope, now: float | None = None) -> State:
+        return decode(token, scope, self.secret, now)

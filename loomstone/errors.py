@@ -45,3 +45,11 @@ class InvalidCursor(EngineError):
 
 class NotPermitted(EngineError):
     """A path or operation outside what the caller may touch."""
+
+
+class UnknownTable(NotFound):
+    """A statement or query that names a table which is not there."""
+
+
+class ModuleRejected(EngineError):
+    """An extension module that breaks a rule of registration."""

@@ -2,21 +2,25 @@
 
 ``SCHEMA APPLY``, ``[RECORD] PUT | BATCH | PATCH | DELETE | GET | SCAN``,
 ``QUERY``, ``EXPLAIN``, ``[ADMIN] COMPACT | CHECKPOINT | VACUUM | SNAPSHOT |
-RESTORE``. Anything else is a query in the line language or the SELECT form.
+RESTORE``, ``JOBS LIST | RUN``. Anything else is a query in the line language or the SELECT form.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from dataclasses import asdict
 from typing import Any
 
 from pyspark.sql import functions as F
 
-from loomstone.errors import DimensionMismatch, IdentityMismatch, InvalidCommand, NotFound
+from loomstone.cursor import Signer
+from loomstone.errors import DimensionMismatch, EngineError, IdentityMismatch, InvalidCommand, NotFound
 from loomstone.functions.predicates import canonical
-from loomstone.languages import lines
+from loomstone.languages import graphql, lines
 from loomstone.model import Actor, HybridQuery, TableSpec
+from loomstone.plans.hybrid import Table
+from loomstone.sources.jobs import Queue
 from loomstone.sources.storage import Store
 from loomstone.sources.tables import columns_of, open_table, spec_of
 
@@ -32,6 +36,8 @@ def split(statement: str) -> tuple[str, dict[str, Any]] | None:
     first = words[0].upper()
     if [w.upper() for w in words[:2]] == ["SCHEMA", "APPLY"]:
         name, body = "SCHEMA", " ".join(words[2:])
+    elif first == "JOBS" and len(words) > 1 and words[1].upper() in ("LIST", "RUN"):
+        name, body = f"JOBS_{words[1].upper()}", " ".join(words[2:])
     elif first in PREFIXES and len(words) > 1 and words[1].upper() in COMMANDS:
         name, body = words[1].upper(), " ".join(words[2:])
     elif first in COMMANDS and (len(words) == 1 or words[1].startswith("{")):
@@ -50,8 +56,24 @@ def split(statement: str) -> tuple[str, dict[str, Any]] | None:
 class Session:
     """Runs statements as one actor."""
 
-    def __init__(self, store: Store, actor: Actor):
-        self.store, self.actor = store, actor
+    def __init__(self, store: Store, actor: Actor, signer: Signer | None = None):
+        self.store, self.actor, self.signer, self.queue = store, actor, signer, Queue(store)
+
+    def _table(self, name: str) -> Table:
+        return open_table(self.store, name, None, self.signer)
+
+    def execute(self, text: str, variables: Mapping[str, Any] | None = None) -> dict[str, Any]:
+        """One GraphQL operation whose root field is a statement: ``{ put(input: "...") }``, or with ``input: $name``.
+
+        The result is ``{"data": {field: value}}``, or null data and the errors.
+        """
+        try:
+            field, payload = graphql.operation(text, variables or {})
+            if field not in FIELDS:
+                raise InvalidCommand(f"no operation is called {field!r}")
+            return {"data": {field: getattr(self, f"_{FIELDS[field]}")(payload)}}
+        except (EngineError, KeyError, TypeError) as error:
+            return {"data": None, "errors": [{"message": f"{type(error).__name__}: {error}"}]}
 
     def run(self, statement: str) -> Any:
         found = split(statement)
@@ -61,7 +83,7 @@ class Session:
         return getattr(self, f"_{name.lower()}")(payload)
 
     def _page(self, query: HybridQuery) -> dict[str, Any]:
-        page = open_table(self.store, query.table).query(query, self.actor)
+        page = self._table(query.table).query(query, self.actor)
         rows = [{"record_id": r.record_id, "version_id": r.version_id, "score": {k: r[k] for k in ("vector", "lexical", "relational", "freshness_penalty", "final_score")}} for r in page.rows]
         return {"results": rows, "next_cursor": page.next_cursor, "explain": page.explain}
 
@@ -115,7 +137,7 @@ class Session:
         return self._live(p)
 
     def _scan(self, p: dict[str, Any]) -> dict[str, Any]:
-        table = open_table(self.store, p["table"])
+        table = self._table(p["table"])
         rows = table.scan(p["tenant_id"], p.get("limit", 100), p.get("cursor"), self.actor).select("record_id", "next_cursor").collect()
         return {"records": [r.record_id for r in rows], "next_cursor": rows[0].next_cursor if rows else None}
 
@@ -141,3 +163,17 @@ class Session:
         self.store.restore(p["name"])
         return {"epoch": self.store.manifest()["epoch"]}
 
+    def _jobs_list(self, p: dict[str, Any]) -> dict[str, Any]:
+        return {"jobs": self.queue.jobs()}
+
+    def _jobs_run(self, p: dict[str, Any]) -> dict[str, Any]:
+        """Enqueues a job; a worker leases it. Without a kind it verifies the database."""
+        target = p.get("target", "statement")
+        return {"job": asdict(self.queue.enqueue(p.get("kind", "VerifyDatabase"), target, p.get("idempotency_key", target)))}
+
+
+#: GraphQL root fields and the statements that they run.
+FIELDS = {
+    "schemaApply": "schema", "applySchema": "schema", "put": "put", "batch": "batch", "patch": "patch", "delete": "delete", "get": "get", "scan": "scan", "query": "query", "explain": "explain",
+    "compact": "compact", "snapshot": "snapshot", "restore": "restore", "jobs": "jobs_list", "jobRun": "jobs_run", "runJob": "jobs_run",
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.errors import InvalidCursor
@@ -28,10 +28,12 @@ def page(rows: DataFrame, tenant_id: str, limit: int = 100, cursor: str | None =
     The plan keeps ``offset + limit + 1`` rows per task, never a full sort.
     """
     at, size = offset_of(cursor), max(1, limit)
-    ids = tenant(rows, tenant_id).select("record_id").orderBy("record_id").offset(at).limit(size + 1)
-    more = ids.agg(F.count("*").alias("n"), F.max("record_id").alias("last"))
-    ordered = tenant(rows, tenant_id).orderBy("record_id").offset(at).limit(size)
-    return ordered.join(F.broadcast(more)).withColumn("next_cursor", F.when(F.col("n") > size, F.lit(str(at + size)))).drop("n", "last")
+    ordered = tenant(rows, tenant_id).orderBy("record_id").offset(at).limit(size + 1)
+    # The window sees one page and a row: which row is beyond it, and whether there is one, come from the same sort.
+    whole = Window.orderBy("record_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    numbered = ordered.withColumn("n", F.count("*").over(whole)).withColumn("at", F.row_number().over(Window.orderBy("record_id")))
+    more = F.when(F.col("n") > size, F.lit(str(at + size)))
+    return numbered.where(F.col("at") <= size).withColumn("next_cursor", more).drop("n", "at")
 
 
 def get(rows: DataFrame, tenant_id: str, record_id: str) -> DataFrame:

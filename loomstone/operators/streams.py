@@ -70,3 +70,68 @@ def temporal(view: DataFrame, spec: TableSpec, query: HybridQuery, budget: int)
 def fallback(view: DataFrame, budget: int) -> DataFrame:
     """The first visible rows by record_id: the rank that policy, relational and hot-overlay candidates share."""
     return ranked(_constant(view, FALLBACK_SCORE), budget)
+
+
+def narrow(view: DataFrame, spec: TableSpec, query: HybridQuery) -> DataFrame:
+    """``record_id, nums`` of every visible row: all that the query's streams need of it, computed once.
+
+    ``nums`` holds the document length and term counts, the vector score and its
+    penalty, and whether the graph seed and the validity match. Every stream
+    reads both columns whole from one exchange by record_id, so Spark plans the
+    view, with its joins and its text, a single time.
+    """
+    terms = list(dict.fromkeys(text_fn.query_terms(query.text or ""))) if query.has_text else []
+    # Matching is by identity of the plan, and a plan whose columns are pruned per stream is another one: hence one array.
+    none = F.lit(None).cast("double")
+    nums: list[Column] = []
+    if query.has_text:
+        spaced = text_fn.spaced(text_fn.document(spec.text_columns(query.text_field)))
+        nums += [text_fn.token_count(spaced).cast("double"), *[text_fn.occurrences(spaced, t).cast("double") for t in terms]]
+    if query.vector is not None:
+        name = spec.vector(query.vector_field).name
+        score, off = vector_score(F.col(name), F.col("feature_status")[name], query)
+        nums += [score, off]
+    if query.graph_seed is not None:
+        nums.append(F.when(F.array_contains("edges", query.graph_seed), F.lit(GRAPH_SCORE)).otherwise(none))
+    if query.temporal_as_of is not None:
+        at = F.lit(query.temporal_as_of)
+        nums.append(F.when(values.contains_epoch(F.col("valid_from"), F.col("valid_to"), at), F.lit(TEMPORAL_SCORE)).otherwise(none))
+    packed = F.array(*[n.cast("double") for n in nums]) if nums else F.array().cast("array<double>")
+    return view.select("record_id", packed.alias("nums")).repartition("record_id")
+
+
+def opened(rows: DataFrame, query: HybridQuery, budget: int) -> dict[str, DataFrame]:
+    """The query's evidence streams over ``narrow`` rows."""
+    out: dict[str, DataFrame] = {}
+    at, zero = 0, F.lit(0.0)
+
+    def num(i: int) -> Column:
+        return F.element_at("nums", i + 1)
+
+    if query.has_text:
+        terms = text_fn.query_terms(query.text or "")
+        distinct = list(dict.fromkeys(terms))
+        n = len(distinct)
+        df = [F.coalesce(F.sum(F.when(num(1 + i) > 0, 1).otherwise(0)), F.lit(0)) for i in range(n)]
+        stats = rows.agg(F.count("record_id").alias("n"), F.coalesce(F.avg(num(0)), zero).alias("avgdl"), (F.array(*df) if n else F.array().cast("array<bigint>")).alias("df"))
+        hits = F.lit(False)
+        for i in range(n):
+            hits = hits | (num(1 + i) > 0)
+        counts = rows.where(hits).select("record_id", num(0).alias("dl"), F.slice("nums", 2, max(1, n)).alias("tf"))
+        scored = counts.join(F.broadcast(stats)).select("record_id", F.round(text_fn.weight(terms), DECIMALS).alias("score"), zero.alias("penalty"), (text_fn.weight(terms) > 0).alias("any"))
+        out["lexical"] = ranked(scored.where("any").drop("any"), budget)
+        at = 1 + n
+    if query.vector is not None:
+        out["vector"] = ranked(rows.select("record_id", num(at).alias("score"), num(at + 1).alias("penalty")).where("score is not null"), budget)
+        at += 2
+    for name, asked in (("graph", query.graph_seed), ("temporal", query.temporal_as_of)):
+        if asked is not None:
+            out[name] = ranked(rows.select("record_id", num(at).alias("score"), zero.alias("penalty")).where("score is not null"), budget)
+            at += 1
+    return out
+
+
+def first_rows(rows: DataFrame, budget: int) -> DataFrame:
+    """``fallback`` over ``narrow`` rows."""
+    every = rows.where(F.col("nums").isNotNull())
+    return ranked(_constant(every, FALLBACK_SCORE), budget)

@@ -8,7 +8,7 @@ leaves the column as it is.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,3 +112,20 @@ def identity_violations(rows: DataFrame, id_column: str, tenant_column: str) ->
 def dimension_violations(rows: DataFrame, column: str, dimensions: int) -> DataFrame:
     """Rows whose vector has another length than declared."""
     return rows.where(F.col(column).isNotNull() & (F.size(column) != dimensions))
+
+
+def invalidations(commits: DataFrame, vectors: Mapping[str, Sequence[str]]) -> DataFrame:
+    """``tenant_id, record_id, epoch, ordinal, feature, status``: what each put or patch makes stale.
+
+    A vector becomes dirty by a change that names one of its sources and not the
+    vector itself. One pass, no shuffle.
+    """
+    named = []
+    for vector, sources in vectors.items():
+        touched = F.lit(False)
+        for source in sources:
+            touched = touched | F.map_contains_key("fields", F.lit(source))
+        named.append(F.when(touched & ~F.map_contains_key("fields", F.lit(vector)), F.lit(vector)))
+    features = F.filter(F.array(*named), lambda x: x.isNotNull()) if named else F.array().cast("array<string>")
+    rows = commits.where(F.col("op").isin("put", "patch")).select(*KEY, "epoch", "ordinal", F.explode(features).alias("feature"))
+    return rows.withColumn("status", F.lit("Dirty"))

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from loomstone.functions import policy, predicates, text, values
 from loomstone.functions import vector as vector_fn
 from loomstone.model import Actor, Freshness, HybridQuery
-from loomstone.operators import fusion, graph, operations, scans, streams, versions
+from loomstone.operators import fusion, graph, hnsw, operations, scans, streams, versions
 from loomstone.plans import bindings as b
 from loomstone.plans import oracle as o
-from loomstone.sources import storage
+from loomstone.plans.hybrid import Table
+from loomstone.sources import storage, tables
+from loomstone.sources.jobs import Queue
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,7 +45,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loomstone-store-')}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='loomstone-store-')}"
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -97,15 +103,20 @@ def sealed_scan_pruned(spark, sf):
     return storage.read_segment(spark, path, "docs", TENANT).select("record_id", "source", "n_chars")
 
 
-@query(_events("SELECT epoch, ordinal, tenant_id, record_id, op FROM commits WHERE epoch <= 3", commits=b.BATCH_SQL))
+@query(_events("SELECT epoch, ordinal, tenant_id, record_id, op FROM commits", commits=b.BATCH_SQL))
 def commit_log_scan(spark, sf):
+    """All batches of events, loaded into a log in one job and read back."""
     store = storage.Store(spark, _folder(spark, "log"))
-    rows = b.commits(spark, sf, batched=True)
-    for epoch in (1, 2, 3):
-        store.append(rows.where(F.col("epoch") == epoch).drop("epoch"))
+    store.append_epochs(b.commits(spark, sf, batched=True))
     return store.commits().select("epoch", "ordinal", "tenant_id", "record_id", "op")
 
 
+@query(_events("SELECT tenant_id, record_id, epoch, ordinal, 'value' AS feature, 'Dirty' AS status FROM commits WHERE op <> 'delete' AND value IS NULL", commits=b.BATCH_SQL))
+def feature_invalidations(spark, sf):
+    """A change that names the event type, and not the value that is derived from it, makes the value stale."""
+    return versions.invalidations(b.commits(spark, sf, batched=True), {"value": ("event_type",)})
+
+
 _STATE = "SELECT tenant_id, record_id, version_id, event_type, value, props FROM state WHERE op <> 'delete'"
 
 
@@ -123,10 +134,16 @@ def recover_state(spark, sf):
 
 @query(_events(_STATE, b.STATE_SQL.format(at="9e18")))
 def compact_equivalence(spark, sf):
-    path = _folder(spark, "compact")
-    state = versions.state_at(b.commits(spark, sf), None, COLUMNS)
-    storage.write_partitioned(state.select(F.lit("users").alias("table"), "*"), path)
-    return _typed(spark.read.schema("record_id string, version_id long, event_type string, value string, props string, table string, tenant_id string").parquet(path))
+    """Two tables in one store: the events, and half of them under another name. Each is compacted, and the first one read back."""
+    store = storage.Store(spark, _folder(spark, "compact"))
+    commits = b.commits(spark, sf).withColumn("ordinal", F.col("epoch")).drop("epoch")
+    store.append(commits.unionByName(commits.where(F.col("ordinal") % 2 == 0).withColumn("table", F.lit("others"))))
+    store.compact("users", COLUMNS)
+    store.compact("others", COLUMNS)
+    store.vacuum()
+    rows = store.segment_rows("users")
+    newest = b.commits(spark, sf).groupBy("tenant_id", "record_id").agg(F.max("epoch").alias("epoch"))
+    return _typed(rows.join(newest, ["tenant_id", "record_id"]).withColumn("version_id", F.col("epoch")))
 
 
 # Visibility and filters.
@@ -260,6 +277,21 @@ def bm25_repeated_term(spark, sf):
     return _top(text.bm25(_tenant_text(spark, sf), ["text"], "the the nation"))
 
 
+@query(_text_sql(_TOP_SQL))
+def bm25_prepared(spark, sf):
+    """The same scores from written postings of the tenant's corpus."""
+    path = _folder(spark, "postings")
+    text.postings(_tenant_text(spark, sf), ["text"]).write.parquet(path)
+    return _top(text.prepared(spark.read.parquet(path), TERMS))
+
+
+@query(_text_sql("SELECT * FROM (SELECT record_id, CAST(dl AS BIGINT) AS dl, CAST(unnest([tf0, tf1, tf2, tf3]) AS BIGINT) AS tf, unnest(['the', 'nation', 'of', 'ation']) AS term FROM cnt) WHERE tf > 0"))
+def text_postings(spark, sf):
+    """Postings of the query's terms as an index holds them."""
+    index = text.postings(_tenant_text(spark, sf), ["text"])
+    return index.where(F.col("term").isin(*text.query_terms(TERMS))).select("record_id", F.col("dl").cast("long").alias("dl"), "tf", "term")
+
+
 @query(_text_sql(_TOP_SQL, "src3 the", "concat_ws(' ', text, source)"))
 def bm25_multi_field(spark, sf):
     return _top(text.bm25(_tenant_text(spark, sf), ["text", "source"], "src3 the"))
@@ -318,6 +350,17 @@ def cosine_all(spark, sf):
     return b.docs(spark, sf).where("embedding is not null").select("record_id", F.round(vector_fn.cosine(F.col("embedding"), b.query_vector(spark, sf)), 6).alias("similarity"))
 
 
+@query(f"SELECT rank, id, score FROM (SELECT CAST(vec_id AS VARCHAR) AS id, round({o.cosine()}, 6) AS score, row_number() OVER (ORDER BY round({o.cosine()}, 6) DESC, CAST(vec_id AS VARCHAR)) AS rank FROM embeddings) WHERE rank <= 10")
+def hnsw_topk(spark, sf):
+    """The nearest of one vector, through a stored index of all vectors; wide enough a search to equal the exact answer."""
+    path = _folder(spark, "hnsw")
+    vectors = b.table(spark, sf, "embeddings").select(F.lit("embedding").alias("field"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    hnsw.build(vectors).write.parquet(path)
+    asked = b.table(spark, sf, "embeddings").where("vec_id = 0").select(F.lit(0).alias("query_id"), F.lit("embedding").alias("field"), F.col("embedding").alias("vector"))
+    found = hnsw.search(spark.read.parquet(path), asked, 10, ef=400)
+    return found.select("rank", "id", F.round("score", 6).alias("score"))
+
+
 # Hybrid queries.
 
 
@@ -332,6 +375,20 @@ def hybrid_text_vector(spark, sf):
     return _plan(spark, sf, text=TERMS, vector=b.query_vector(spark, sf))
 
 
+@query(o.hybrid(TENANT, TERMS, True))
+def hybrid_sealed_segments(spark, sf):
+    """Half of the documents live only in published segments; the query sees all of them once."""
+    rows = b.docs(spark, sf)
+    store = storage.Store(spark, _folder(spark, "sealed"))
+    odd = F.col("record_id").cast("long") % 2 == 1
+    store.publish("first", rows.where(odd | (F.col("record_id").cast("long") % 10 == 0)).select(F.lit("docs").alias("table"), "*"))
+    sealed = store.segment_rows("docs").select(*rows.columns)
+    hot = rows.where(~odd)
+    table = Table(tables.with_sealed(hot, sealed, hot), b.DOCS)
+    plan = table.plan(HybridQuery("docs", TENANT, text=TERMS, vector=b.query_vector(spark, sf)))
+    return plan.drop("text").withColumn("final_score", F.round("final_score", 9))
+
+
 @query(o.hybrid(TENANT, TERMS, True, top_k=5))
 def hybrid_lexical_first(spark, sf):
     return _plan(spark, sf, text=TERMS, vector=b.query_vector(spark, sf), top_k=5)
@@ -589,6 +646,23 @@ def job_final_status(spark, sf):
     return _jobs(spark, sf).select("job_id", "attempts", "status")
 
 
+@query("SELECT unnest(['Succeeded', 'DeadLettered', 'FailedPermanent', 'Queued']) AS status, CAST(unnest([1, 1, 1, 1]) AS BIGINT) AS n")
+def job_queue_fold(spark, sf):
+    """A queue's own log, written by its calls and folded by Spark: one job of each ending."""
+    queue = Queue(storage.Store(spark, _folder(spark, "jobs")))
+    for key in "abcd":
+        queue.enqueue("GenerateEmbedding", key, key)
+    for now in (0, 1, 2):
+        job = queue.lease_next("w", "GenerateEmbedding", now)
+        queue.heartbeat(job.job_id, job.lease_token, now)
+        queue.fail(job.job_id, job.lease_token, "late")
+    done = queue.lease_next("w", "GenerateEmbedding", 3)
+    queue.complete(done.job_id, done.lease_token)
+    bad = queue.lease_next("w", "GenerateEmbedding", 4)
+    queue.fail(bad.job_id, bad.lease_token, "wrong", permanent=True)
+    return operations.status_counts(operations.final_job_states(queue.events()))
+
+
 @query(f"WITH {_JOBS}\nSELECT status, count(*) AS n FROM jobs GROUP BY status")
 def job_status_counts(spark, sf):
     return operations.status_counts(_jobs(spark, sf))

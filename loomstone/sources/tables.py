@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.errors import NotFound
+from loomstone.cursor import Signer
+from loomstone.errors import NotFound, UnknownTable
 from loomstone.functions.policy import parsed
 from loomstone.model import TableSpec
 from loomstone.operators import versions
@@ -30,7 +31,7 @@ def columns_of(spec: TableSpec) -> list[str]:
 def spec_of(store: Store, name: str) -> TableSpec:
     raw = store.manifest()["tables"].get(name)
     if raw is None:
-        raise NotFound(f"no table {name!r}")
+        raise UnknownTable(f"no table {name!r}")
     return TableSpec.from_dict(raw)
 
 
@@ -51,8 +52,25 @@ def statuses(commits: DataFrame, spec: TableSpec) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(last)).where("n = 1").select(*versions.KEY, made.alias("feature_status"))
 
 
-def open_table(store: Store, name: str, epoch: int | None = None) -> Table:
-    """The table as a reader of ``epoch`` (latest if null) queries it.
+def text_of(column: str) -> Column:
+    """A text column's string; null where the field is not a JSON string."""
+    return F.when(F.col(column).startswith('"'), F.variant_get(F.try_parse_json(F.col(column)), "$", "string"))
+
+
+def with_sealed(hot: DataFrame, sealed: DataFrame, touched: DataFrame) -> DataFrame:
+    """Live rows, and sealed rows of keys that the log does not know: a record that is both counts once, a deleted one not at all.
+
+    Of several sealed versions of a key the newest counts. ``touched`` has the
+    key of every record that a commit names, deletes too.
+    """
+    key = list(versions.KEY)
+    newest = Window.partitionBy(*key).orderBy(F.col("version_id").desc())
+    rest = sealed.join(touched.select(*key).distinct(), key, "left_anti").withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
+    return hot.unionByName(rest, allowMissingColumns=True)
+
+
+def open_table(store: Store, name: str, epoch: int | None = None, signer: Signer | None = None) -> Table:
+    """The table as a reader of ``epoch`` (latest if null) queries it: live records and published segments' further ones.
 
     Scalars are variants, so that equality is that of JSON values; texts that
     are not JSON strings are null and not searched; vectors are arrays of floats.
@@ -61,11 +79,26 @@ def open_table(store: Store, name: str, epoch: int | None = None) -> Table:
     columns = columns_of(spec)
     commits = store.history(name, columns, epoch)
     state = versions.state_at(commits, None, columns).join(statuses(commits, spec), list(versions.KEY))
-    text = lambda c: F.when(F.col(c).startswith('"'), F.variant_get(F.try_parse_json(F.col(c)), "$", "string"))
+    held = 0
+    try:
+        sealed = store.segment_rows(name)
+        held = sum(name in s["tables"] for s in store.manifest()["segments"])
+    except NotFound:
+        sealed = None
+    if sealed is not None:
+        if epoch is not None:
+            sealed = sealed.where(F.col("version_id") <= epoch)
+        known = [F.col(f"`{c}`") if c in sealed.columns else F.lit(None).cast("string").alias(c) for c in columns]
+        ready = [x for v in spec.vectors for x in (F.lit(v.name), F.when(F.col(v.name).isNotNull(), "Ready").otherwise("Missing"))]
+        status = F.create_map(*ready) if ready else F.create_map().cast("map<string,string>")
+        sealed = sealed.select("tenant_id", "record_id", F.col("version_id").cast("long").alias("version_id"), *known).withColumn("feature_status", status)
+        state = with_sealed(state.select(*versions.KEY, "version_id", *[F.col(f"`{c}`") for c in columns], "feature_status"), sealed, store.history(name, columns))
     rows = state.select(
         "record_id", "tenant_id", "version_id", F.col("version_id").alias("begin_epoch"), F.lit(None).cast("long").alias("end_epoch"), F.lit(None).cast("string").alias("tombstone"),
-        *[F.try_parse_json(F.col(s)).alias(s) for s in spec.scalars], *[text(t).alias(t) for t in spec.texts], *[F.from_json(v.name, "array<float>").alias(v.name) for v in spec.vectors],
+        *[F.try_parse_json(F.col(s)).alias(s) for s in spec.scalars], *[text_of(t).alias(t) for t in spec.texts], *[F.from_json(v.name, "array<float>").alias(v.name) for v in spec.vectors],
         "feature_status", parsed(F.col(POLICY), F.col("tenant_id")).alias("policy"), F.from_json(EDGES, "array<string>").alias("edges"),
         F.expr(f"try_cast({VALID_FROM} AS BIGINT)").alias("valid_from"), F.expr(f"try_cast({VALID_TO} AS BIGINT)").alias("valid_to"),
     )
-    return Table(rows, spec)
+    table = Table(rows, spec, signer=signer)
+    table.segments = held
+    return table

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from loomstone.cursor import Signer
 from loomstone.errors import DimensionMismatch, InvalidCommand, InvalidCursor, TenantMismatch
 from loomstone.model import Actor, Freshness, HybridQuery, TableSpec, VectorSpec
 from loomstone.plans.hybrid import Table, strategy
@@ -32,11 +33,11 @@ def make(spark, rows, spec=SPEC):
     return Table(df, spec)
 
 
-SEED = [("a", "tenant-a", "rust database kernel", [1.0, 0.0, 0.0]), ("b", "tenant-a", "vector lexical fusion", [0.9, 0.1, 0.0]), ("c", "tenant-b", "rust secret tenant", [1.0, 0.0, 0.0])]
+SEED = [("fern", "north", "damp shade under oak", [0.0, 3.0, 0.0]), ("ivy", "north", "climbs the east wall", [0.0, 2.0, 0.5]), ("sage", "south", "damp corner, dry summer", [0.0, 1.0, 0.0])]
 
 
 def ask(**kw):
-    return HybridQuery("docs", kw.pop("tenant_id", "tenant-a"), **kw)
+    return HybridQuery("docs", kw.pop("tenant_id", "north"), **kw)
 
 
 def ids(page):
@@ -45,24 +46,24 @@ def ids(page):
 
 def test_other_tenants_never_become_candidates(spark):
     t = make(spark, SEED)
-    page = t.query(ask(text="rust kernel", vector=[1.0, 0, 0], top_k=5, explain=True))
-    assert sorted(ids(page)) == ["a", "b"]
+    page = t.query(ask(text="damp oak", vector=[0, 1.0, 0], top_k=5, explain=True))
+    assert sorted(ids(page)) == ["fern", "ivy"]
     assert page.explain.tenant_visible == 2 and page.explain.candidates["vector"] == 2
     assert page.explain.strategy == "PolicyPartitionFirst" and page.explain.removed == 0
 
 
 def test_rare_symbols_find_their_document(spark):
-    bodies = ["fn parse_query_v2", "ERR-4012 timeout", "crate::store::delta", "src/main.rs:42", "alpha beta", "gamma delta", "x-request-id"]
+    bodies = ["seed_lot_77", "BED-31 north", "rose::climber::pink", "beds/plan.txt:9", "moss fern", "ivy oak", "w-frost-date"]
     t = make(spark, [(str(i), "t", x, None) for i, x in enumerate(bodies)])
-    for text, want in (("parse_query_v2", "0"), ("ERR-4012", "1"), ("crate::store", "2"), ("main.rs:42", "3"), ("request-id", "6")):
+    for text, want in (("seed_lot_77", "0"), ("BED-31", "1"), ("rose::climber", "2"), ("plan.txt:9", "3"), ("frost-date", "6")):
         assert ids(t.query(ask(tenant_id="t", text=text, top_k=3)))[0] == want
-    page = t.query(ask(tenant_id="t", text=" ./---_ ", top_k=3))
+    page = t.query(ask(tenant_id="t", text=" -- ..;_", top_k=3))
     assert all(r.lexical is None for r in page.rows)
 
 
 def test_vector_order(spark):
-    t = make(spark, [("far", "t", "x", [0.2, 0.98, 0.0]), ("near", "t", "x", [0.99, 0.01, 0.0]), ("orthogonal", "t", "x", [0.0, 1.0, 0.0])])
-    assert ids(t.query(ask(tenant_id="t", vector=[1.0, 0, 0], top_k=3))) == ["near", "far", "orthogonal"]
+    t = make(spark, [("wide", "t", "x", [0.3, 0.7, 0.0]), ("tight", "t", "x", [5.0, 0.1, 0.0]), ("square", "t", "x", [0.0, 0.0, 4.0])])
+    assert ids(t.query(ask(tenant_id="t", vector=[1.0, 0, 0], top_k=3))) == ["tight", "wide", "square"]
 
 
 def test_zero_vectors_have_no_score(spark):
@@ -72,32 +73,32 @@ def test_zero_vectors_have_no_score(spark):
 
 
 def test_tied_text_falls_to_vector_order(spark):
-    rows = [(n, "t", "same text", v) for n, v in (("other", [0.0, 0, 1]), ("close", [0.8, 0.2, 0]), ("exact", [1.0, 0, 0]), ("worse", [0.1, 0.9, 0]), ("near", [0.95, 0.05, 0]))]
-    assert ids(make(spark, rows).query(ask(tenant_id="t", text="same text", vector=[1.0, 0, 0], top_k=3))) == ["exact", "near", "close"]
+    rows = [(n, "t", "one and the same", v) for n, v in (("p", [0.0, 0, 2]), ("q", [0.7, 0.3, 0]), ("r", [3.0, 0, 0]), ("s", [0.2, 0.9, 0]), ("u", [0.9, 0.1, 0]))]
+    assert ids(make(spark, rows).query(ask(tenant_id="t", text="same", vector=[1.0, 0, 0], top_k=3))) == ["r", "u", "q"]
 
 
 def test_lexical_hit_wins_over_many_vectors(spark):
-    rows = [(f"d{i:02}", "t", f"distractor number {i}", [1.0, 0.0, 0.001 * i]) for i in range(25)] + [("hit", "t", "needle_77 here", [0.0, 1.0, 0.0]), ("also", "t", "needle here needle", None)]
-    page = make(spark, rows).query(ask(tenant_id="t", text="needle_77", vector=[1.0, 0, 0], top_k=5))
-    assert page.rows[0].record_id == "hit" and page.rows[0].lexical > page.rows[1].lexical
+    rows = [(f"weed{i:02}", "t", f"weed of row {i}", [1.0, 0.0, 0.002 * i]) for i in range(30)] + [("rare", "t", "orchid_9 found", [0.0, 1.0, 0.0]), ("common", "t", "orchid and orchid", None)]
+    page = make(spark, rows).query(ask(tenant_id="t", text="orchid_9", vector=[1.0, 0, 0], top_k=5))
+    assert page.rows[0].record_id == "rare" and page.rows[0].lexical > page.rows[1].lexical
 
 
 def test_without_evidence_rows_come_by_id(spark):
     page = make(spark, SEED).query(ask(top_k=5))
-    assert ids(page) == ["a", "b"] and all(r.relational == 1.0 for r in page.rows)
+    assert ids(page) == ["fern", "ivy"] and all(r.relational == 1.0 for r in page.rows)
     assert page.rows[0].final_score == pytest.approx(3 / 61)
 
 
 def test_fallback_outranks_vector_only_evidence(spark):
-    rows = [("a", "t", "alpha alpha", None), ("b", "t", "alpha", None), ("m", "t", "none", None), ("z", "t", "none", [1.0, 0, 0])]
-    page = make(spark, rows).query(ask(tenant_id="t", text="alpha", vector=[1.0, 0, 0], top_k=4))
+    rows = [("a", "t", "rain rain", None), ("b", "t", "rain", None), ("m", "t", "none", None), ("z", "t", "none", [1.0, 0, 0])]
+    page = make(spark, rows).query(ask(tenant_id="t", text="rain", vector=[1.0, 0, 0], top_k=4))
     assert ids(page) == ["a", "b", "m", "z"]
     assert page.rows[2].final_score > page.rows[3].final_score
 
 
 @pytest.mark.parametrize("status,mode,scored", [("Dirty", Freshness.STRICT, False), ("Dirty", Freshness.LAZY, False), ("Dirty", Freshness.ALLOW_DIRTY, True), ("Pending", Freshness.ALLOW_DIRTY, False), ("Failed", Freshness.STRICT, False)])
 def test_freshness(spark, status, mode, scored):
-    t = make(spark, [("a", "t", "rust", [1.0, 0, 0], {"status": status})])
+    t = make(spark, [("a", "t", "peat", [1.0, 0, 0], {"status": status})])
     row = t.query(ask(tenant_id="t", vector=[1.0, 0, 0], freshness=mode)).rows[0]
     assert (row.vector is not None) == scored
     if scored:
@@ -106,24 +107,24 @@ def test_freshness(spark, status, mode, scored):
 
 def test_policy(spark):
     policy = '{"tenant_id":"t","visibility":"%s","acl":%s,"sensitivity":"normal","retention":{"legal_hold":false},"suppress_from_ai":%s,"allow_embedding":true,"allow_training":false}'
-    acl = '[{"user_id":"user-a","allow":true},{"user_id":"user-b","allow":false}]'
+    acl = '[{"user_id":"keeper","allow":true},{"user_id":"guest","allow":false}]'
     rows = [
-        ("hidden", "t", "oracle", None, {"policy_json": policy % ("Hidden", "[]", "false")}), ("acl", "t", "oracle", None, {"policy_json": policy % ("Acl", acl, "false")}),
-        ("public", "t", "oracle", None, {"policy_json": policy % ("Public", "[]", "false")}), ("quiet", "t", "oracle", None, {"policy_json": policy % ("Tenant", "[]", "true")}),
-        ("broken", "t", "oracle", None, {"policy_json": '{"visibility":"Hidden"'}), ("plain", "t", "oracle", None), ("foreign", "t", "oracle", None, {"policy_json": (policy % ("Public", "[]", "false")).replace('"t"', '"u"')}),
+        ("hidden", "t", "compost", None, {"policy_json": policy % ("Hidden", "[]", "false")}), ("acl", "t", "compost", None, {"policy_json": policy % ("Acl", acl, "false")}),
+        ("public", "t", "compost", None, {"policy_json": policy % ("Public", "[]", "false")}), ("quiet", "t", "compost", None, {"policy_json": policy % ("Tenant", "[]", "true")}),
+        ("broken", "t", "compost", None, {"policy_json": '{"visibility":"Hidden"'}), ("plain", "t", "compost", None), ("foreign", "t", "compost", None, {"policy_json": (policy % ("Public", "[]", "false")).replace('"t"', '"u"')}),
     ]
     t = make(spark, rows)
-    assert sorted(ids(t.query(ask(tenant_id="t", text="oracle"), Actor("t", "user-a")))) == ["acl", "broken", "plain", "public"]
-    assert sorted(ids(t.query(ask(tenant_id="t", text="oracle"), Actor("t", "user-b")))) == ["broken", "plain", "public"]
+    assert sorted(ids(t.query(ask(tenant_id="t", text="compost"), Actor("t", "keeper")))) == ["acl", "broken", "plain", "public"]
+    assert sorted(ids(t.query(ask(tenant_id="t", text="compost"), Actor("t", "guest")))) == ["broken", "plain", "public"]
     assert t.get("t", "hidden").count() == 1
     with pytest.raises(TenantMismatch):
         t.query(ask(tenant_id="t"), Actor("u"))
 
 
 def test_graph_and_time_are_evidence_not_filters(spark):
-    t = make(spark, [("event-a", "t", "", None, {"edges": ["seed"], "valid_from": 10, "valid_to": 20}), ("event-b", "t", "", None, {"edges": [], "valid_from": 30, "valid_to": 40})])
-    page = t.query(ask(tenant_id="t", graph_seed="seed", temporal_as_of=15, explain=True))
-    assert ids(page) == ["event-a", "event-b"]
+    t = make(spark, [("sown", "t", "", None, {"edges": ["bed-2", "bed-4"], "valid_from": 3, "valid_to": 9}), ("wilted", "t", "", None, {"edges": [], "valid_from": 12, "valid_to": 19})])
+    page = t.query(ask(tenant_id="t", graph_seed="bed-4", temporal_as_of=7, explain=True))
+    assert ids(page) == ["sown", "wilted"]
     assert page.explain.candidates["graph"] == page.explain.candidates["temporal"] == 1
     assert page.rows[0].relational == 0.65 and page.rows[1].relational == 1.0
 
@@ -165,10 +166,10 @@ def test_field_checks(spark):
 
 
 def test_statistics_follow_the_filter(spark):
-    rows = [("a", "t", "rust rust", None, {"category": "code"}), ("b", "t", "rust", None, {"category": "code"}), ("c", "t", "other", None, {"category": "notes"})]
+    rows = [("a", "t", "mint mint", None, {"category": "herb"}), ("b", "t", "mint", None, {"category": "herb"}), ("c", "t", "rose", None, {"category": "shrub"})]
     t = make(spark, rows)
-    free = {r.record_id: r.lexical for r in t.query(ask(tenant_id="t", text="rust")).rows}
-    bound = {r.record_id: r.lexical for r in t.query(ask(tenant_id="t", text="rust", scalar_eq={"category": "code"})).rows}
+    free = {r.record_id: r.lexical for r in t.query(ask(tenant_id="t", text="mint")).rows}
+    bound = {r.record_id: r.lexical for r in t.query(ask(tenant_id="t", text="mint", scalar_eq={"category": "herb"})).rows}
     assert set(bound) == {"a", "b"} and bound["a"] < free["a"]
 
 
@@ -179,11 +180,11 @@ def test_provider_adds_a_stream(spark):
         def open(self, view, spec, query, budget):
             from loomstone.operators.streams import ranked
 
-            return ranked(view.where("record_id = 'b'").select("record_id", F.lit(1.0).alias("score"), F.lit(0.0).alias("penalty")), budget)
+            return ranked(view.where("record_id = 'ivy'").select("record_id", F.lit(1.0).alias("score"), F.lit(0.0).alias("penalty")), budget)
 
     t = make(spark, SEED)
     t.providers.append(Fixed())
-    assert ids(t.query(ask(top_k=5))) == ["b", "a"]
+    assert ids(t.query(ask(top_k=5))) == ["ivy", "fern"]
 
 
 def test_strategy_labels():
@@ -203,3 +204,46 @@ def test_strict_json_equality(spark):
     field = df.schema["v"]
     for value, want in ((1, [0]), (1.0, [1]), ("1", [2]), (None, [3]), (True, [5]), ({"a": [1, "x"], "b": 1}, [6]), (False, []), (2, [])):
         assert [r.i for r in df.where(equals(field, value)).orderBy("i").collect()] == want, value
+
+
+def test_signed_pages_keep_to_their_snapshot(spark):
+    """A later change is not seen by the pages that follow; a cursor of another query, actor or secret is refused."""
+    rows = make(spark, [(x, "t", "same", None) for x in "abcd"]).rows
+    later = rows.where("record_id = 'd'").withColumn("record_id", F.lit("bb")).withColumn("begin_epoch", F.lit(5).cast("long"))
+    signer = Signer(b"secret")
+    t = Table(rows, SPEC, signer=signer)
+    first = t.query(ask(tenant_id="t", text="same", top_k=2))
+    assert ids(first) == ["a", "b"] and first.next_cursor.startswith("lsc1.")
+    grown = Table(rows.unionByName(later), SPEC, signer=signer)
+    assert ids(grown.query(ask(tenant_id="t", text="same", top_k=2, cursor=first.next_cursor))) == ["c", "d"]
+    assert ids(grown.query(ask(tenant_id="t", text="same", top_k=2))) == ["a", "b"] and ids(grown.query(ask(tenant_id="t", text="same", top_k=5))) == ["a", "b", "bb", "c", "d"]
+    scanned = t.scan("t", 3).collect()
+    assert [r.record_id for r in grown.scan("t", 3, scanned[0].next_cursor).collect()] == ["d"]
+    for q, actor in ((ask(tenant_id="t", text="other", top_k=2, cursor=first.next_cursor), None), (ask(tenant_id="t", text="same", top_k=3, cursor=first.next_cursor), None), (ask(tenant_id="t", text="same", top_k=2, cursor=first.next_cursor), Actor("t", "x")), (ask(tenant_id="t", text="same", top_k=2, cursor="2"), None)):
+        with pytest.raises(InvalidCursor):
+            t.query(q, actor)
+    with pytest.raises(InvalidCursor):
+        Table(rows, SPEC, signer=Signer(b"other")).query(ask(tenant_id="t", text="same", top_k=2, cursor=first.next_cursor))
+
+
+def test_the_view_is_planned_once(spark):
+    """All streams read one exchange of the view: it is scanned once for them and once for the page's rows."""
+    path = "/root/testdata/sf0.001"
+    from loomstone.plans import bindings as b
+
+    q = HybridQuery("docs", "en", text="the of", vector=b.query_vector(spark, path), graph_seed="src3", temporal_as_of=50)
+    plan = b.docs_table(spark, path).plan(q)
+    text = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    scans = sum(line.count("FileScan parquet") for line in text.splitlines())
+    plan.collect()
+    final = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert scans >= 3 and sum(line.count("FileScan parquet") for line in final.splitlines() if "ReusedExchange" not in line) <= 12
+
+
+def test_explanation_members(spark):
+    t = make(spark, SEED + [("moss", "north", "damp", None, {"status": "Pending", "category": "x"})])
+    e = t.query(ask(text="damp", scalar_eq={"category": "x"}, explain=True, top_k=1)).explain
+    assert e.scalar_filter_applied and e.scalar_removed == 2 and e.scalar_visible == 1 and e.pending_features == 1 and e.budget == 8
+    assert e.opened_streams[0] == "lexical" and set(e.skipped_streams) == {"vector", "graph", "temporal"} and e.text_candidates == 1 and e.vector_candidates == 0
+    assert e.fusion_method == "ReciprocalRankFusion" and e.early_stop is None and set(e.phase_seconds) == {"visible", "streams", "fusion", "plan"}
+    assert {s.stream: s.exhausted for s in e.streams} == {"lexical": True, "fallback": True}
