@@ -249,7 +249,7 @@ def search(indexed: Index, is_query, k: int = 5, bits: int = BITS, exact: bool =
         own[cell] = wide
     ways = spark.sparkContext.broadcast((cells, radius))
     vectors = rows.select("id", "dims", "vector")
-    queries = cut(rows.where(is_query).select("id", "dims", "vector").withColumn("least", F.lit(float("-inf"))))
+    queries = rows.where(is_query).select("id", "dims", "vector").withColumn("least", F.lit(float("-inf")))
 
     def routed(near: bool):
         """Each query with each cell that it reads in this round."""
@@ -277,7 +277,7 @@ def search(indexed: Index, is_query, k: int = 5, bits: int = BITS, exact: bool =
         return batches
 
     def probed(asked: DataFrame, near: bool) -> DataFrame:
-        routes = cut(asked.mapInArrow(trimmed(routed(near)), "id long, dims int, vector array<double>, least double, cell int"))
+        routes = asked.mapInArrow(trimmed(routed(near)), "id long, dims int, vector array<double>, least double, cell int")
         many = routes.groupBy("dims", "cell").agg(F.count("*").alias("q"))
         sizes = spark.createDataFrame([(d, c, n) for (d, c), (n, _) in held.items()], "dims int, cell int, held long")
         plan = F.broadcast(many.join(F.broadcast(sizes), ["dims", "cell"]).select("dims", "cell", F.ceil(F.col("held") / CANDIDATES).cast("int").alias("cb"), F.ceil(F.col("q") / QUERIES).cast("int").alias("qb")))

@@ -149,3 +149,20 @@ def from_turns(turns: DataFrame) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     n = F.row_number().over(order)
     return turns.select(F.col("conv_id").alias("tree_id"), n.alias("msg_id"), (n - 1).alias("parent_id"), "role", "text", F.lit(1.0).alias("score"))
+
+
+#: The digests of formatted conversations, by rows of turns ``{turns}`` (conv_id, turn, role, text).
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, text, coalesce(role, '') AS who, coalesce(text, '') AS said FROM {turns}
+), e AS (
+  SELECT *, length('<|im_start|>') + length(replace(replace(replace(who, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + 1
+            + length(replace(replace(said, '\', '\\'), '<|', '<\|')) + length('<|im_end|>') + 1 AS chars
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(who || chr(10) || said || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)) AS turns_sha256,
+       CAST(coalesce(sum(length(said)) FILTER (who = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(said, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (who = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""

@@ -232,7 +232,9 @@ def fit(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, chars: int = SA
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("text").alias("h"))
     order = Window.partitionBy("lang").orderBy("h")
     drawn = labelled.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).drop("n")
-    texts = docs.where(learn).select("lang", "text", F.xxhash64("text").alias("h")).join(F.broadcast(drawn), ["lang", "h"])
+    # No text gives more than ``chars`` characters, so no more of it comes to the driver.
+    begun = F.substring("text", 1, chars).alias("text")
+    texts = docs.where(learn).select("lang", begun, F.xxhash64("text").alias("h")).join(F.broadcast(drawn), ["lang", "h"])
     kept = texts.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     of: dict[str, list[str]] = {}
     for r in sorted(kept, key=lambda r: (r.lang, r.h)):

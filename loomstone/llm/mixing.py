@@ -70,8 +70,13 @@ def cycled_weights(sources: DataFrame, cycle: Sequence[int] = (1, 2, 3)) -> Data
     return sources.withColumn("weight", weight.cast("long"))
 
 
+def row_name() -> Column:
+    """128 bits that name a row by doc_id, source and text."""
+    return F.concat_ws(":", F.hex(F.xxhash64("doc_id", "source", "text")), F.hex(F.xxhash64(F.lit(1), "doc_id", "source", "text")))
+
+
 def mix(docs: DataFrame, cycle: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
-    """``doc_id, row, source, size, source_size, target, taken`` for every row of ``docs``; ``row`` is a hash of doc_id, source and text.
+    """``doc_id, row, source, size, source_size, target, taken`` for every row of ``docs``; ``row`` names a row by 128 bits of doc_id, source and text.
 
     ``size`` counts words; ``taken`` the words that the mix takes of the
     document. A source's words sum to its target rounded to whole words: each
@@ -85,7 +90,7 @@ def mix(docs: DataFrame, cycle: Sequence[int] = (1, 2, 3), max_epochs: int = 3,
     hot source is spread over as many tasks.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = cut(docs.select("doc_id", F.xxhash64("doc_id", "source", "text").alias("row"), "source", word_count(F.col("text")).alias("size"), key.alias("key")))
+    rows = cut(docs.select("doc_id", row_name().alias("row"), "source", word_count(F.col("text")).alias("size"), key.alias("key")))
     rows = rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     buckets = cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")))
     plan = targets(cycled_weights(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), cycle), max_epochs)
@@ -120,7 +125,7 @@ def apply(docs: DataFrame, cycle: Sequence[int] = (1, 2, 3), max_epochs: int = 3
     taken = mix(docs, cycle, max_epochs, seed).where("taken > 0")
     whole = F.floor(F.col("taken") / F.col("size")).cast("long")
     per_row = taken.groupBy("row").agg(F.sum(whole).alias("whole"), F.max(F.col("taken") % F.col("size")).alias("part"))
-    keyed = docs.select(F.struct(*[quoted(c).alias(n) for c, n in zip(docs.columns, private(docs.columns), strict=True)]).alias("doc"), F.xxhash64("doc_id", "source", "text").alias("row"))
+    keyed = docs.select(F.struct(*[quoted(c).alias(n) for c, n in zip(docs.columns, private(docs.columns), strict=True)]).alias("doc"), row_name().alias("row"))
     once = F.row_number().over(Window.partitionBy("row").orderBy("row"))
     joined = keyed.join(per_row, "row").withColumn("once", once).where("once = 1")
     names, schema = docs.columns, docs.schema

@@ -9,6 +9,7 @@ inputs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm import kernels
-from loomstone.llm.scratch import appended
+from loomstone.llm.scratch import appended, trimmed
 
 #: Hashed words, bins of a statistic, factors of a feature.
 WORDS, BINS, FACTORS = 1 << 15, 16, 8
@@ -163,13 +164,24 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = TRAIN_ROW
     """
     usable = labels.where(learn & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", "quality")
     drawn = usable.orderBy(F.xxhash64("doc_id"), "quality").limit(rows)
-    pairs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").select("text", "quality").toArrow()
-    seen = sorted(set(zip(pairs.column("text").to_pylist(), pairs.column("quality").to_pylist(), strict=True)))
-    data, offsets = kernels.utf8(pa.array([t for t, _ in seen], pa.string()))
-    parts = [features(data, offsets[i : j + 1]) for i, j in kernels.slices(offsets)] or [features(data, offsets)]
-    sizes = np.concatenate([np.diff(p.at) for p in parts])
-    x = Sparse(np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([p.index for p in parts]), np.concatenate([p.value for p in parts]))
-    return train(x, np.array([q for _, q in seen], np.float32))
+    named = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").select(*named, "quality", "text")
+
+    def featured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            data, offsets = kernels.utf8(batch.column(3))
+            for i, j in kernels.slices(offsets):
+                x = features(data, offsets[i : j + 1])
+                lists = [pa.ListArray.from_arrays(x.at.astype(np.int32), pa.array(v)) for v in (x.index.astype(np.int32), x.value)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:3], *lists], ["h1", "h2", "quality", "index", "value"])
+
+    # Features come to the driver, not texts: no more than FEATURES of a row, however long its text is.
+    drawn_rows = texts.mapInArrow(trimmed(featured), "h1 long, h2 long, quality int, index array<int>, value array<float>").dropDuplicates(["h1", "h2", "quality"])
+    got = drawn_rows.toArrow().sort_by([("h1", "ascending"), ("h2", "ascending"), ("quality", "ascending")])
+    index, value = got.column("index").combine_chunks(), got.column("value").combine_chunks()
+    sizes = np.diff(index.offsets.to_numpy()) if len(got) else np.zeros(0, np.int64)
+    x = Sparse(np.concatenate([[0], np.cumsum(sizes)]), index.flatten().to_numpy(zero_copy_only=False).astype(np.int64), value.flatten().to_numpy(zero_copy_only=False).astype(np.float32))
+    return train(x, got.column("quality").to_numpy().astype(np.float32))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:

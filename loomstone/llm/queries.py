@@ -24,17 +24,29 @@ def crc_of_id(mod: int) -> Column:
 
 
 def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of all documents with the class it belongs to and whether it stays."""
+    """Every line of all documents with the class it belongs to and whether it stays.
+
+    Null and blank texts have no lines. Repeated rows have their lines twice, with
+    the same decisions; a null doc_id comes before all others.
+    """
     return linededup.classes(table(spark, sf_dir, "documents")).select("doc_id", "line_no", "class_doc_id", "class_line_no", "kept")
 
 
 def op2_editprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every whole text, of its edited text, likenesses, and the class of near texts."""
+    """Fingerprints of every whole text, of its edited text, likenesses, and the class of near texts.
+
+    Null text counts as empty, also as the next document. Rows of one doc_id follow
+    each other by the hash of their text; a null doc_id comes first and has no class.
+    """
     return editprint.with_classes(table(spark, sf_dir, "documents"))
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every whole text; learned from two thirds of the labelled documents."""
+    """The language of every whole text; learned from two thirds of the labelled documents.
+
+    Null texts and texts without a letter are ``und`` with a score of 0, as all
+    are where nothing could be learned. A null doc_id is not held out.
+    """
     docs = table(spark, sf_dir, "documents")
     samples = langid.fit(docs, crc_of_id(3) != 1)
     found = langid.identify(docs.select("doc_id", "text"), samples)
@@ -61,7 +73,11 @@ def _read_back(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and the added one, formatted and read back."""
+    """All conversations and the added one, formatted and read back.
+
+    Null role and text count as empty; rows of equal turn go by role and text;
+    rows without a conv_id are one conversation. An empty table leaves the added one.
+    """
     added = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
     formatted = chat.conversations(chat.from_turns(turns))
@@ -69,12 +85,19 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of all documents whose shingle sets link."""
+    """Components of all documents whose shingle sets link.
+
+    Null and blank texts have an empty set and stay alone. Rows that repeat a
+    doc_id are one document; a row without one has a size and no component.
+    """
     return setjoin.join(table(spark, sf_dir, "documents"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text encoded and decoded again; digests of both."""
+    """Every whole text encoded and decoded again; digests of both.
+
+    Null and empty texts have no tokens. Rows are independent: repeats repeat.
+    """
     out = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -83,7 +106,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quality score of every whole text; learned from four fifths of the labels."""
+    """A quality score of every whole text; learned from four fifths of the labels.
+
+    Null text scores as the empty one. A null doc_id is not held out. Without any
+    usable label the machine is the one before learning.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = quality.fit(docs, table(spark, sf_dir, "labels"), crc_of_id(5) != 0)
     scored = quality.score(docs, machine).drop("text")
@@ -94,22 +121,35 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 nearest of every 50th vector among all others."""
+    """The 5 nearest of every 50th vector among all others.
+
+    Vectors that are null, empty, zero or hold null or non-finite components, and
+    rows without an id, take no part; ties go to the smaller id.
+    """
     indexed = ann.index(table(spark, sf_dir, "embeddings"))
     return ann.search(indexed, F.pmod(F.col("id"), F.lit(50)) == 0, k=5)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract columns of the mix of all documents."""
+    """Contract columns of the mix of all documents.
+
+    Null text has size 0 and is never taken; null sources are one source, the
+    last; repeated rows count one by one.
+    """
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents into shards 0 to 7 under the law `bytes`: a map of 7 shards is stored, then edited for an eighth."""
+    """All documents into shards 0 to 7 under the law `bytes`: a map of 7 shards is stored, then edited for an eighth.
+
+    Null and empty texts are one byte. Rows that repeat doc_id and text have slots
+    of their own; a text with over 1/512 of all bytes is spread over the shards.
+    """
     rows = cut(sharding.with_virtual_slots(cut(sharding.records(table(spark, sf_dir, "documents")))))
     maps = sharding.SlotMaps(spark, f"{shared_dir(spark)}/slot-maps-{uuid.uuid4().hex}")
-    sharding.place(rows, 7, maps)
-    placed = sharding.place(rows, 8, maps)
+    loads = sharding.slot_loads(rows)
+    sharding.mapped(loads, 7, maps)
+    placed = sharding.place(rows, 8, maps, loads)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "version")
 
 
@@ -127,5 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_chat": chat.CHAT_SQL.format(turns=f"(SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-1, 0, 'user', '{CONTROL}'), (-1, 1, 'assistant', '{CONTROL}'))"),
+    "op5_setjoin": setjoin.JOIN_SQL.format(docs="documents"),
     "op7_mixing": mixing.MIX_SQL.format(docs="documents"),
 }

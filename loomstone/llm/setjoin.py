@@ -362,3 +362,26 @@ def dedup(docs: DataFrame) -> DataFrame:
         gone = join(rows.select(F.col("uid").alias("doc_id"), "text")).where("component_id <> doc_id").select(F.col("doc_id").alias("uid"))
         kept = rows.join(gone, "uid", "left_anti")
     return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+
+
+#: The same for a table ``{docs}`` without null or repeated doc_ids, by all pairs of documents that share a shingle.
+JOIN_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM {docs}
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [list_aggregate(words, 'string_agg', ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: list_aggregate(words[i:i + 4], 'string_agg', ' '))) END AS shingles
+  FROM w
+), n AS (
+  SELECT doc_id, len(shingles) AS n FROM s
+), x AS (
+  SELECT doc_id, hash(unnest(shingles)) AS h, unnest(shingles) AS shingle FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.h = b.h AND a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)
+), r AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+)
+SELECT n.doc_id, CAST(n AS BIGINT) AS n_shingles, least(n.doc_id, coalesce(min(b), n.doc_id)) AS component_id FROM n LEFT JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n
+"""

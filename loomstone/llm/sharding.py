@@ -162,16 +162,25 @@ def shard(docs: DataFrame, shards: int = 8, maps: SlotMaps | None = None) -> Dat
     return place(cut(with_virtual_slots(cut(records(docs)))), shards, maps)
 
 
-def place(rows: DataFrame, shards: int, maps: SlotMaps) -> DataFrame:
-    """``shard`` of a written table of ``with_virtual_slots``."""
-    spark = rows.sparkSession
-    loads = {r.virtual_slot: (r.bytes, r.rows) for r in slot_bytes(rows).collect()}
+def slot_loads(rows: DataFrame) -> dict[int, tuple[int, int]]:
+    """Bytes and rows of each slot that has any: at most ``SLOTS`` entries."""
+    return {r.virtual_slot: (r.bytes, r.rows) for r in slot_bytes(rows).collect()}
+
+
+def mapped(loads: Mapping[int, tuple[int, int]], shards: int, maps: SlotMaps) -> tuple[int, dict[int, int]]:
+    """The stored map for these loads, edited and stored as the next version where that is needed; its version and entries, read back."""
     sizes, known = {k: b for k, (b, _) in loads.items()}, maps.load()
     wanted = rebalance(known, sizes, shards) if known else first_map(sizes, shards)
     if wanted != known:
         maps.store(wanted)
     version = (maps.versions() or [0])[-1]
-    assignment = maps.load(version) if version else {}
+    return version, maps.load(version) if version else {}
+
+
+def place(rows: DataFrame, shards: int, maps: SlotMaps, loads: Mapping[int, tuple[int, int]] | None = None) -> DataFrame:
+    """``shard`` of a written table of ``with_virtual_slots``."""
+    spark, loads = rows.sparkSession, loads if loads is not None else slot_loads(rows)
+    version, assignment = mapped(loads, shards, maps)
     starts, seen = [], dict.fromkeys(range(shards), 0)
     for slot in sorted(loads):
         to = assignment[slot]
