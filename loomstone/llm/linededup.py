@@ -31,8 +31,6 @@ BANDS, ROWS = 32, 6
 SKETCH, SHORT = 16, 4
 #: Bits, as a power of two, of the broadcast bitmap of the tags of lines that met another one.
 FILTER_BITS = 26
-#: Bytes of a line by which the number of lines is estimated: it sets the number of buckets.
-LINE_BYTES = 256
 
 _EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -172,9 +170,10 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 
 def meetings(docs: DataFrame) -> DataFrame:
-    """``key, tag, lead, n``: the lines that share a band key with other lines. The number of buckets follows the bytes of the texts."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    buckets = meeting.buckets_for(size / LINE_BYTES * BANDS)
+    """``key, tag, lead, n``: the lines that share a band key with other lines. The number of buckets follows the number of lines."""
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    lines = docs.agg(F.coalesce(F.sum(breaks + 1), F.lit(0)).alias("n")).first().n
+    buckets = meeting.buckets_for(lines * BANDS)
 
     def parts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in it:
