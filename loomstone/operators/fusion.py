@@ -19,8 +19,8 @@ def _reciprocal(rank: Column) -> Column:
     return F.coalesce(1.0 / (RRF_K + rank), F.lit(0.0))
 
 
-def fuse(streams: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per record of any stream: its score in each, the penalty, and ``final`` = sum of 1 / (60 + rank) less the penalty."""
+def _merged(streams: Mapping[str, DataFrame]) -> tuple[list[str], DataFrame]:
+    """Names in the order of addition, and one row per record with its score and rank in each stream and the largest penalty."""
     order = [*[s for s in STREAMS if s in streams], *[s for s in streams if s not in STREAMS]]
     rows = None
     for name in order:
@@ -30,15 +30,38 @@ def fuse(streams: Mapping[str, DataFrame]) -> DataFrame:
     for name in order:
         mine = F.col("stream") == name
         picked += [F.max(F.when(mine, F.col("score"))).alias(name), F.max(F.when(mine, F.col("rank"))).alias(f"{name}_rank")]
-    fused = rows.groupBy("record_id").agg(*picked, F.max("penalty").alias("penalty"))
+    return order, rows.groupBy("record_id").agg(*picked, F.max("penalty").alias("penalty"))
+
+
+def _total(order: list[str]) -> Column:
     total = F.lit(0.0)
     for name in order:
         total = total + _reciprocal(F.col(f"{name}_rank"))
-    out = fused.withColumn("final", total - F.col("penalty"))
-    for name in STREAMS:
-        if name not in streams:
-            out = out.withColumn(name, F.lit(None).cast("double"))
-    return out.drop(*[f"{name}_rank" for name in order])
+    return total
+
+
+def _with_all(rows: DataFrame, present: Mapping[str, DataFrame]) -> DataFrame:
+    return rows.withColumns({name: F.lit(None).cast("double") for name in STREAMS if name not in present})
+
+
+def fuse(streams: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per record of any stream: its score in each, the penalty, and ``final`` = sum of 1 / (60 + rank) less the penalty."""
+    order, fused = _merged(streams)
+    out = fused.withColumn("final", _total(order) - F.col("penalty"))
+    return _with_all(out, streams).drop(*[f"{name}_rank" for name in order])
+
+
+def fuse_with_fallback(streams: Mapping[str, DataFrame], fallback: DataFrame) -> DataFrame:
+    """``with_fallback`` of ``fuse`` in one aggregate: each stream is read once, and nothing is joined."""
+    order, fused = _merged({**streams, "fallback": fallback})
+    order.remove("fallback")
+    evidence = F.coalesce(*[F.col(f"{name}_rank") for name in order]).isNotNull() if order else F.lit(False)
+    one = _reciprocal(F.col("fallback_rank"))
+    rows = _with_all(fused, streams)
+    return rows.select(
+        "record_id", *STREAMS, F.when(evidence, F.col("penalty")).otherwise(0.0).alias("penalty"), F.when(evidence, _total(order) - F.col("penalty")).otherwise(one + one + one).alias("final"),
+        F.when(evidence, F.coalesce(F.col("temporal"), F.col("graph"))).otherwise(1.0).alias("relational"), F.when(evidence, 0).otherwise(1).alias("tier"),
+    )
 
 
 def with_fallback(evidence: DataFrame | None, fallback: DataFrame) -> DataFrame:

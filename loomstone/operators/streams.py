@@ -114,24 +114,32 @@ def opened(rows: DataFrame, query: HybridQuery, budget: int) -> dict[str, DataFr
         n = len(distinct)
         df = [F.coalesce(F.sum(F.when(num(1 + i) > 0, 1).otherwise(0)), F.lit(0)) for i in range(n)]
         stats = rows.agg(F.count("record_id").alias("n"), F.coalesce(F.avg(num(0)), zero).alias("avgdl"), (F.array(*df) if n else F.array().cast("array<bigint>")).alias("df"))
-        hits = F.lit(False)
-        for i in range(n):
-            hits = hits | (num(1 + i) > 0)
-        counts = rows.where(hits).select("record_id", num(0).alias("dl"), F.slice("nums", 2, max(1, n)).alias("tf"))
-        scored = counts.join(F.broadcast(stats)).select("record_id", F.round(text_fn.weight(terms), DECIMALS).alias("score"), zero.alias("penalty"), (text_fn.weight(terms) > 0).alias("any"))
-        out["lexical"] = ranked(scored.where("any").drop("any"), budget)
+        counts = rows.select("record_id", num(0).alias("dl"), F.slice("nums", 2, max(1, n)).alias("tf"))
+        score = text_fn.weight(terms)
+        scored = counts.join(F.broadcast(stats)).select("record_id", F.when(score > 0, F.round(score, DECIMALS)).alias("score"), zero.alias("penalty"))
+        out["lexical"] = _ranked_some(scored, budget)
         at = 1 + n
     if query.vector is not None:
-        out["vector"] = ranked(rows.select("record_id", num(at).alias("score"), num(at + 1).alias("penalty")).where("score is not null"), budget)
+        out["vector"] = _ranked_some(rows.select("record_id", num(at).alias("score"), num(at + 1).alias("penalty")), budget)
         at += 2
     for name, asked in (("graph", query.graph_seed), ("temporal", query.temporal_as_of)):
         if asked is not None:
-            out[name] = ranked(rows.select("record_id", num(at).alias("score"), zero.alias("penalty")).where("score is not null"), budget)
+            out[name] = _ranked_some(rows.select("record_id", num(at).alias("score"), zero.alias("penalty")), budget)
             at += 1
     return out
 
 
+def _ranked_some(rows: DataFrame, budget: int) -> DataFrame:
+    """``ranked`` of the rows that have a score.
+
+    The others come last and are dropped behind the limit: a condition before it
+    would be pushed below the shared exchange, which were then no longer shared.
+    """
+    best = rows.orderBy(F.col("score").desc_nulls_last(), "record_id").limit(budget).where("score is not null")
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "record_id")))
+
+
 def first_rows(rows: DataFrame, budget: int) -> DataFrame:
     """``fallback`` over ``narrow`` rows."""
-    every = rows.where(F.col("nums").isNotNull())
-    return ranked(_constant(every, FALLBACK_SCORE), budget)
+    score = F.when(F.size("nums") >= 0, F.lit(FALLBACK_SCORE))  # of every row; it reads both columns, as the others do
+    return _ranked_some(rows.select("record_id", score.alias("score"), F.lit(0.0).alias("penalty")), budget)

@@ -180,8 +180,7 @@ class Table:
         budget = query.budget(offset)
         rows = streams.narrow(view, self.spec, query)
         opened = self._streams(query, view, rows, budget)
-        evidence = fusion.fuse(opened) if opened else None
-        fused = fusion.with_fallback(evidence, streams.first_rows(rows, budget))
+        fused = fusion.fuse_with_fallback(opened, streams.first_rows(rows, budget))
         return fusion.positioned(fused, query.text is not None, query.vector is not None)
 
     def plan(self, query: HybridQuery, actor: Actor | None = None, offset: int = 0) -> DataFrame:
