@@ -154,12 +154,13 @@ def components(links: Links) -> DataFrame:
         found = cut(links.verify(seen))
     labels = cut(connected(found))
 
-    def divided(labels: DataFrame) -> DataFrame:
-        rows = lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    def divided(among: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members, with their labels, of those keys among the given ones that hold several components."""
+        rows = cut(among.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
         split = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
         return cut(rows.join(split, "key"))
 
-    open_keys = divided(labels)
+    open_keys = divided(lists, labels)
     order = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(1)), "id")
     few = open_keys.withColumn("n", F.row_number().over(order)).where(F.col("n") <= LEADERS)
     columns = ["id", "label", *own]
@@ -170,7 +171,7 @@ def components(links: Links) -> DataFrame:
     seen = seen.unionByName(again)
     if not more.isEmpty():
         labels = cut(merged(labels, more))
-        open_keys = divided(labels)
+        open_keys = divided(open_keys.drop("label"), labels)  # a key that holds one component will not hold several
     heads = open_keys.groupBy("key").agg(F.max(F.when(F.col("id") == F.col("leader"), F.col("label"))).alias("head"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("head is not null")
     rows = open_keys.join(heads, "key")
     if links.sketches is not None:
