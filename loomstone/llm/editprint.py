@@ -326,8 +326,8 @@ def near_classes(prints: DataFrame, near: float = NEAR, bands: int = BANDS, digi
     """``h1, h2, class_id``: the same by the fingerprint's 128-bit name.
 
     Eight bytes a band and fingerprint name those that meet. A pair's likeness is
-    counted on packed words: first on ``SHORT`` of them, which differ in no more
-    digits than all do, then on all.
+    counted on packed words; ``SHORT`` of them, which differ in no more digits than
+    all do, keep the last round's pairs few.
     """
     chosen = np.random.default_rng(23)
     picks = [sorted(int(x) for x in chosen.choice(DIGITS, digits, replace=False)) for _ in range(bands)]
@@ -360,14 +360,14 @@ def near_classes(prints: DataFrame, near: float = NEAR, bands: int = BANDS, digi
     cheap, whole = f"({_differing(range(SHORT))}) <= {most}", f"({_differing(range(WORDS))}) <= {most}"
 
     def verify(pairs: DataFrame) -> DataFrame:
-        def side(name: str, prefix: str, own: list[str]) -> DataFrame:
-            return nodes.select(F.col("id").alias(name), *[F.col(w).alias(f"{prefix}_{w}") for w in own])
+        def side(name: str, prefix: str) -> DataFrame:
+            return nodes.select(F.col("id").alias(name), *[F.col(w).alias(f"{prefix}_{w}") for w in words])
 
-        first = cut(pairs.join(side("a", "x", words[:SHORT]), "a").join(side("b", "y", words[:SHORT]), "b").where(cheap).select("a", "b"))
-        return first.join(side("a", "x", words), "a").join(side("b", "y", words), "b").where(whole).select("a", "b")
+        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(whole).select("a", "b")
 
-    lists, pairs = meeting.first_round(met, nodes, words[:SHORT], cheap)
-    begun = lists, pairs.select("a", "b"), verify(pairs.where("near").select("a", "b"))
+    # Pairs with leaders meet their words by tag, so they are verified on the spot.
+    lists, pairs = meeting.first_round(met, nodes, words, whole)
+    begun = lists, pairs.select("a", "b"), pairs.where("near").select("a", "b")
     labels = cut(components(Links(None, verify, lambda ids: nodes.join(ids, "id").select("id", *words[:SHORT]), cheap, begun)))
     heads = labels.join(reps.select(F.col("h1").alias("id"), "doc_id"), "id").groupBy("label").agg(F.min("doc_id").alias("class_id"))
     named = labels.join(heads, "label").select(F.col("id").alias("h1"), "class_id")
