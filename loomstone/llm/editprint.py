@@ -35,8 +35,8 @@ SCALAR = 16
 #: Bands, digits of a band, and the likeness from which two texts are near: 0.766 of their digits agree there,
 #: and they meet in some band with probability 0.994.
 BANDS, BAND_DIGITS, NEAR = 40, 8, 0.75
-#: Words of 64 bits that hold a fingerprint, and those of them that are compared first.
-WORDS, SHORT = DIGITS // 16, 6
+#: Words of 64 bits that hold a fingerprint.
+WORDS = DIGITS // 16
 
 
 @cached
@@ -326,8 +326,7 @@ def near_classes(prints: DataFrame, near: float = NEAR, bands: int = BANDS, digi
     """``h1, h2, class_id``: the same by the fingerprint's 128-bit name.
 
     Eight bytes a band and fingerprint name those that meet. A pair's likeness is
-    counted on packed words; ``SHORT`` of them, which differ in no more digits than
-    all do, keep the last round's pairs few.
+    counted on packed words where its sides meet, so only pairs that link go on.
     """
     chosen = np.random.default_rng(23)
     picks = [sorted(int(x) for x in chosen.choice(DIGITS, digits, replace=False)) for _ in range(bands)]
@@ -357,7 +356,7 @@ def near_classes(prints: DataFrame, near: float = NEAR, bands: int = BANDS, digi
             yield made, batch.column(1).to_numpy().view(np.uint64)
 
     met = meeting.met(nodes.mapInArrow(trimmed(lambda it: meeting.banded(keys(it), buckets)), "bucket int, entries binary"))
-    cheap, whole = f"({_differing(range(SHORT))}) <= {most}", f"({_differing(range(WORDS))}) <= {most}"
+    whole = f"({_differing(range(WORDS))}) <= {most}"
 
     def verify(pairs: DataFrame) -> DataFrame:
         def side(name: str, prefix: str) -> DataFrame:
@@ -368,7 +367,7 @@ def near_classes(prints: DataFrame, near: float = NEAR, bands: int = BANDS, digi
     # Pairs with leaders meet their words by tag, so they are verified on the spot.
     lists, pairs = meeting.first_round(met, nodes, words, whole)
     begun = lists, pairs.select("a", "b"), pairs.where("near").select("a", "b")
-    labels = cut(components(Links(None, verify, lambda ids: nodes.join(ids, "id").select("id", *words[:SHORT]), cheap, begun)))
+    labels = cut(components(Links(None, verify, lambda ids: nodes.join(ids, "id").select("id", *words), whole, begun)))
     heads = labels.join(reps.select(F.col("h1").alias("id"), "doc_id"), "id").groupBy("label").agg(F.min("doc_id").alias("class_id"))
     named = labels.join(heads, "label").select(F.col("id").alias("h1"), "class_id")
     return reps.select("h1", "h2", "doc_id").join(named, "h1", "left").select("h1", "h2", F.coalesce("class_id", "doc_id").alias("class_id"))
