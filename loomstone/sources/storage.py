@@ -1,8 +1,9 @@
 """A table on disk: a commit log, sealed segments, indexes and a checksummed manifest, in any file system Spark can write.
 
-Layout under the root: ``commits/epoch=N`` (one batch each), ``commits/_log/N``
-(a small file that makes the epoch), ``receipts/<digest>`` (one per idempotency
-key), ``segments/<id>`` (rows by table and tenant), ``indexes/<id>/<kind>``,
+Layout under the root: ``commits/epoch=N`` (one batch each), ``commits/_loads/N-M``
+(batches N to M, loaded together), ``commits/_log/N`` (a small file that makes the
+epoch, or the load's first one and all after it), ``receipts/<digest>`` (one per
+idempotency key), ``segments/<id>`` (rows by table and tenant), ``indexes/<id>/<kind>``,
 ``checkpoints/<epoch>``, ``snapshots/<name>`` and ``manifest.json`` with a backup
 beside it.
 
@@ -119,6 +120,9 @@ class Files:
     def move(self, source: str, target: str) -> bool:
         return self.fs.rename(self.path(source), self.path(target))
 
+    def make(self, folder: str) -> None:
+        self.fs.mkdirs(self.path(folder))
+
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 
@@ -204,19 +208,27 @@ class Store:
     def epoch(self) -> int:
         """The newest committed epoch. Log files after the settled one are probed, never listed."""
         at = self._settled()
-        while self.files.exists(f"commits/_log/{at + 1}"):
-            at += 1
+        with contextlib.suppress(ValueError):  # an entry that another writer is just writing is not there yet
+            while self.files.exists(f"commits/_log/{at + 1}"):
+                at = self._entry(at + 1)["last"]
         return at
 
+    def _entry(self, epoch: int) -> dict[str, Any]:
+        """What the log says of an epoch; of a load, with its last one."""
+        return {"last": epoch, **json.loads(self.files.read(f"commits/_log/{epoch}"))}
+
     def _settle(self) -> None:
         """Puts commits into place whose writers have died between the log and the last step. Any process may do it, again and again."""
         at = settled = self._settled()
         while self.files.exists(f"commits/_log/{at + 1}"):
-            at += 1
-            entry = json.loads(self.files.read(f"commits/_log/{at}"))
+            entry = self._entry(at + 1)
+            place = f"commits/_loads/{at + 1}-{entry['last']}" if entry.get("load") else f"commits/epoch={at + 1}"
+            at = entry["last"]
             if self.files.exists(entry["pending"]):
-                self.files.delete(f"commits/epoch={at}")
-                if not self.files.move(entry["pending"], f"commits/epoch={at}") and self.files.exists(entry["pending"]):
+                self.files.delete(place)
+                if entry.get("load"):
+                    self.files.make("commits/_loads")
+                if not self.files.move(entry["pending"], place) and self.files.exists(entry["pending"]):
                     raise Conflict(f"commit {at} could not be put into place")
             if entry.get("receipt"):
                 self.files.claim(entry["receipt"], json.dumps({"epoch": at, "body": entry["body"]}))
@@ -269,8 +281,9 @@ class Store:
     def append_epochs(self, rows: DataFrame) -> int:
         """Commits a table of batches that already have their epochs, ``1..n`` after the newest, in one job; returns the newest.
 
-        For loading a log: each epoch's rows are one folder, as ``append`` would
-        have written them. A log to which anything was added meanwhile refuses it.
+        For loading a log: all its epochs are one entry of the log and one folder,
+        in files by ranges of epochs, so the cost follows the rows and not the
+        number of epochs. A log to which anything was added meanwhile refuses it.
         """
         self._settle()
         first = self.epoch() + 1
@@ -280,24 +293,27 @@ class Store:
         if told.bad:
             raise InvalidCommand(f"operations are {', '.join(OPERATIONS)}")
         aside = f"commits/_pending-{uuid.uuid4().hex}"
-        rows.select(*COLUMNS).repartition("epoch").write.partitionBy("epoch").parquet(f"{self.root}/{aside}")
-        if not self.files.claim(f"commits/_log/{first}", json.dumps({"pending": f"{aside}/epoch={first}", "body": ""})):
+        rows.select(*COLUMNS).repartitionByRange("epoch", "ordinal").sortWithinPartitions("epoch", "ordinal").write.parquet(f"{self.root}/{aside}")
+        if not self.files.claim(f"commits/_log/{first}", json.dumps({"pending": aside, "body": "", "load": True, "last": told.high})):
             self.files.delete(aside)
             raise Conflict(f"epoch {first} was committed by another writer")
-        for epoch in range(first + 1, told.high + 1):
-            if not self.files.claim(f"commits/_log/{epoch}", json.dumps({"pending": f"{aside}/epoch={epoch}", "body": ""})):
-                raise Conflict(f"epoch {epoch} was committed by another writer")
         self._settle()
-        self.files.delete(aside)
         return told.high
 
+    def _loads(self) -> list[tuple[int, int]]:
+        """First and last epochs of the loads in place."""
+        return sorted(tuple(map(int, n.split("-"))) for n in self.files.names("commits/_loads"))
+
     def commits(self, after: int = 0) -> DataFrame:
         """Committed changes after an epoch. Folders of epochs that the log does not name are not read."""
         newest = self.epoch()
         if newest <= after or not self.files.exists("commits"):
             return self.spark.createDataFrame([], COMMIT_SCHEMA).select(*COLUMNS)
-        rows = self.spark.read.schema(COMMIT_SCHEMA).parquet(f"{self.root}/commits")
-        return rows.where((F.col("epoch") > after) & (F.col("epoch") <= newest)).select(*COLUMNS)
+        rows = self.spark.read.schema(COMMIT_SCHEMA).parquet(f"{self.root}/commits").select(*COLUMNS)
+        loads = [f"{self.root}/commits/_loads/{low}-{high}" for low, high in self._loads() if high > after and low <= newest]
+        if loads:
+            rows = rows.unionByName(self.spark.read.schema(COMMIT_SCHEMA).parquet(*loads).select(*COLUMNS))
+        return rows.where((F.col("epoch") > after) & (F.col("epoch") <= newest))
 
     def history(self, table: str, columns: Sequence[str], epoch: int | None = None) -> DataFrame:
         """Commits that lead to a table's state: the checkpoint as puts and what came after, or all of them for an earlier epoch.
@@ -362,6 +378,9 @@ class Store:
         for n in self.files.names("commits"):
             if n.startswith("epoch=") and int(n[6:]) <= epoch:
                 self.files.delete(f"commits/{n}")
+        for low, high in self._loads():
+            if high <= epoch:
+                self.files.delete(f"commits/_loads/{low}-{high}")
         for n in self.files.names("commits/_log"):
             if n.isdecimal() and int(n) <= epoch:
                 self.files.delete(f"commits/_log/{n}")

@@ -111,6 +111,29 @@ def test_loading_a_log(spark, tmp_path):
         store.append_epochs(rows)
 
 
+def test_a_loaded_log_costs_one_entry(spark, tmp_path):
+    """Thousands of epochs are one log entry and one folder; appends before and after, a dead writer, backups and dropping hold."""
+    store = Store(spark, f"file://{tmp_path}/db")
+    store.apply_schema(TableSpec("d", "id", "tenant", texts=("body",)))
+    store.append(batch(spark, [("d", "0", "put", {"body": "first"})]))
+    body = F.create_map(F.lit("body"), F.col("id").cast("string"))
+    rows = spark.range(40_000).select(F.lit("d").alias("table"), F.lit("t").alias("tenant_id"), (F.col("id") % 4).cast("string").alias("record_id"), (F.floor(F.col("id") / 4) + 2).alias("epoch"), (F.col("id") % 4).alias("ordinal"), F.lit("put").alias("op"), body.alias("fields"))
+    settle, store._settle = store._settle, lambda: None
+    assert store.append_epochs(rows) == 10_001
+    store._settle = settle
+    assert not (tmp_path / "db/commits/_loads").exists()
+    again = Store(spark, f"file://{tmp_path}/db")  # the writer died before the last step
+    assert again.epoch() == store.epoch() == 10_001 and again.commits().count() == 40_001
+    assert len([n for n in again.files.names("commits/_log") if n.isdecimal()]) == 2 and again.files.names("commits/_loads") == ["2-10001"]
+    assert again.append(batch(spark, [("d", "1", "put", {"body": "last"})])) == 10_002
+    assert state(again, "d") == {"0": "39996", "1": "last", "2": "39998", "3": "39999"} and state(again, "d", 2) == {"0": "0", "1": "1", "2": "2", "3": "3"}
+    assert [again.commits(after).count() for after in (1, 2, 10_000, 10_001, 10_002)] == [40_001, 39_997, 5, 1, 0]
+    again.backup(f"file://{tmp_path}/copy")
+    assert state(Store(spark, f"file://{tmp_path}/copy"), "d", 10_001)["1"] == "39997"
+    assert again.checkpoint(drop_commits=True) == 10_002 and again.files.names("commits/_loads") == []
+    assert state(Store(spark, f"file://{tmp_path}/db"), "d")["1"] == "last"
+
+
 def test_backup_and_restore(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/db")
     store.append(batch(spark, [("d", "a", "put", {"body": "1"})]))
