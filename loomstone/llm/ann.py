@@ -6,7 +6,8 @@ product of the rotated vector and its own sign vector. A query is rotated alike
 and cut into bit planes, so the inner product with a code is a few AND and
 popcount operations on words. It is estimated from bits and scalar with a bound
 on the error, and only vectors whose upper bound reaches the query's k-th best
-lower bound are fetched and scored exactly.
+lower bound are scored exactly, where they meet the query: of a block of
+candidates only the k best leave it.
 
 Vectors lie in cells around coarse centroids. A query reads the cells next to
 it first; the k-th best score found there then excludes every cell whose angle
@@ -33,8 +34,10 @@ BITS = 256
 WIDTH = 3.0
 #: Bits of a query's quantised coordinates.
 PLANES = 8
-#: Rows of a block of candidates and of a block of queries.
-CANDIDATES, QUERIES = 4096, 4096
+#: Rows of a block of candidates and of a block of queries, and numbers in the vectors of either.
+CANDIDATES, QUERIES, NUMBERS = 4096, 4096, 1 << 20
+#: Numbers in the vectors that are scored exactly at once.
+EXACT_NUMBERS = 1 << 19
 #: Vectors, and numbers in them, of the bounded sample that the centroids are fitted on; most centroids; cells that a query reads first.
 SAMPLE, SAMPLE_NUMBERS, CELLS, FIRST = 8192, 4_000_000, 256, 4
 
@@ -185,15 +188,22 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
 
 def _probe(k: int, bits: int):
-    """One block of queries against the codes of one block of candidates: the pairs that may be among the k best."""
+    """One block of queries against one block of candidates: each query's ``k`` best of them.
+
+    Bounds from the codes decide which pairs are scored exactly; a query's k-th best
+    score so far (``least``) which of these leave the block.
+    """
 
     def block(queries: pa.Table, own: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [np.zeros(0, np.int64)], "vec_id": [np.zeros(0, np.int64)]}
+        out: dict[str, list] = {"query_id": [np.zeros(0, np.int64)], "vec_id": [np.zeros(0, np.int64)], "score": [np.zeros(0)]}
         if queries.num_rows and own.num_rows:
             qid, cid = queries.column("id").to_numpy(), own.column("id").to_numpy()
-            qv, least = _matrix(queries.column("vector").combine_chunks(), queries.column("dims")[0].as_py()), queries.column("least").to_numpy()
+            dims = queries.column("dims")[0].as_py()
+            qv, cv = _matrix(queries.column("vector").combine_chunks(), dims), _matrix(own.column("vector").combine_chunks(), dims)
+            least = queries.column("least").to_numpy()
             codes = np.frombuffer(b"".join(own.column("code").to_pylist()), np.uint64).reshape(len(cid), -1)
             scalars = own.column("scalar").to_numpy()
+            step = max(1, EXACT_NUMBERS // dims)
             for at in range(0, len(qid), 64):
                 ids = qid[at : at + 64]
                 est, half = estimate(codes, scalars, qv[at : at + 64], bits)
@@ -204,24 +214,22 @@ def _probe(k: int, bits: int):
                 if low.shape[1] > k:
                     bar = np.maximum(bar, np.partition(low, -k, axis=1)[:, -k])
                 q, c = np.nonzero((high >= bar[:, None]) & ~mine)
-                out["query_id"].append(ids[q])
-                out["vec_id"].append(cid[c])
+                score = np.empty(len(q))
+                for i in range(0, len(q), step):
+                    score[i : i + step] = cosines(qv[at + q[i : i + step]], cv[c[i : i + step]])
+                keep = score >= least[at + q]
+                q, c, score = q[keep], c[keep], score[keep]
+                order = np.lexsort((cid[c], -score, q))
+                q, c, score = q[order], c[order], score[order]
+                keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+                out["query_id"].append(ids[q[keep]])
+                out["vec_id"].append(cid[c[keep]])
+                out["score"].append(score[keep])
         return pa.table({n: pa.array(np.concatenate(v)) for n, v in out.items()})
 
     return block
 
 
-def _scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact cosines of pairs of vectors of one length."""
-    for batch in it:
-        score = np.empty(batch.num_rows)
-        sizes = np.diff(batch.column(2).offsets.to_numpy())
-        for d in np.unique(sizes):
-            at = pa.array(np.flatnonzero(sizes == d))
-            score[at.to_numpy()] = cosines(_matrix(batch.column(2).take(at), d), _matrix(batch.column(3).take(at), d))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(score)], ["query_id", "vec_id", "score"])
-
-
 def search(indexed: Index, is_query, k: int = 5, bits: int = BITS, exact: bool = True, first: int = FIRST) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest of every indexed row for which ``is_query`` holds.
 
@@ -233,14 +241,15 @@ def search(indexed: Index, is_query, k: int = 5, bits: int = BITS, exact: bool =
     A query reads the codes of its ``first`` nearest cells. With ``exact``, it
     then reads every further cell that the k-th best score leaves possible, so
     nothing is lost but by the width of the code's bound; without, the cells
-    read first are all. Queries and codes meet in blocks of bounded size, of
-    which a hot cell has many; vectors are fetched for the surviving pairs only.
+    read first are all. Queries and candidates meet in blocks of bounded size, of
+    which a hot cell has many, and are scored there: a query takes ``k`` rows at
+    most from a block, however many candidates the bounds leave possible.
     """
     spark, cells = indexed.rows.sparkSession, indexed.cells
     rows = cut(indexed.rows)
     of_equal = Window.partitionBy("v1", "v2").orderBy("id")
-    codes = rows.select("id", "dims", "cell", "angle", "code", "scalar", F.xxhash64("vector").alias("v1"), F.xxhash64(F.lit(1), "vector").alias("v2"))
-    codes = cut(codes.withColumn("n", F.row_number().over(of_equal)).where(F.col("n") <= k + 1).select("id", "dims", "cell", "angle", "code", "scalar"))
+    codes = rows.select("id", "dims", "vector", "cell", "angle", "code", "scalar", F.xxhash64("vector").alias("v1"), F.xxhash64(F.lit(1), "vector").alias("v2"))
+    codes = cut(codes.withColumn("n", F.row_number().over(of_equal)).where(F.col("n") <= k + 1).select("id", "dims", "vector", "cell", "angle", "code", "scalar"))
     # One row a cell: at most CELLS, and one for each further number of dimensions.
     held = {(r.dims, r.cell): (r.n, r.radius) for r in codes.groupBy("dims", "cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}
     radius: dict[int, np.ndarray] = {}
@@ -248,7 +257,6 @@ def search(indexed: Index, is_query, k: int = 5, bits: int = BITS, exact: bool =
         own = radius.setdefault(d, np.full(len(cells.centroids[d]) if d in cells.centroids else 1, -np.inf))
         own[cell] = wide
     ways = spark.sparkContext.broadcast((cells, radius))
-    vectors = rows.select("id", "dims", "vector")
     queries = rows.where(is_query).select("id", "dims", "vector").withColumn("least", F.lit(float("-inf")))
 
     def routed(near: bool):
@@ -280,15 +288,13 @@ def search(indexed: Index, is_query, k: int = 5, bits: int = BITS, exact: bool =
         routes = asked.mapInArrow(trimmed(routed(near)), "id long, dims int, vector array<double>, least double, cell int")
         many = routes.groupBy("dims", "cell").agg(F.count("*").alias("q"))
         sizes = spark.createDataFrame([(d, c, n) for (d, c), (n, _) in held.items()], "dims int, cell int, held long")
-        plan = F.broadcast(many.join(F.broadcast(sizes), ["dims", "cell"]).select("dims", "cell", F.ceil(F.col("held") / CANDIDATES).cast("int").alias("cb"), F.ceil(F.col("q") / QUERIES).cast("int").alias("qb")))
+        most = lambda rows_: F.greatest(F.lit(1), F.least(F.lit(rows_), F.floor(F.lit(NUMBERS) / F.col("dims"))))
+        plan = F.broadcast(many.join(F.broadcast(sizes), ["dims", "cell"]).select("dims", "cell", F.ceil(F.col("held") / most(CANDIDATES)).cast("int").alias("cb"), F.ceil(F.col("q") / most(QUERIES)).cast("int").alias("qb")))
         block = codes.join(plan, ["dims", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), "cb").cast("int")).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
         asking = routes.join(plan, ["dims", "cell"]).withColumn("qblock", F.pmod(F.xxhash64("id"), "qb").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("cb") - 1)))
         key = ["dims", "cell", "block", "qblock"]
-        asking, block = asking.select(*key, "id", "vector", "least"), block.select(*key, "id", "code", "scalar")
-        pairs = asking.groupBy(*key).cogroup(block.groupBy(*key)).applyInArrow(_probe(k, bits), "query_id long, vec_id long")
-        fetched = pairs.join(vectors.select(F.col("id").alias("vec_id"), F.col("vector").alias("v")), "vec_id")
-        both = fetched.join(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), "query_id")
-        return both.where(F.size("q") == F.size("v")).select("query_id", "vec_id", "q", "v").mapInArrow(trimmed(_scored), "query_id long, vec_id long, score double")
+        asking, block = asking.select(*key, "id", "vector", "least"), block.select(*key, "id", "vector", "code", "scalar")
+        return asking.groupBy(*key).cogroup(block.groupBy(*key)).applyInArrow(_probe(k, bits), "query_id long, vec_id long, score double")
 
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
 

@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -531,6 +532,23 @@ def test_nearest(spark):
     assert ann.search(ann.index(df.where("false")), F.col("id") % 50 == 0).count() == 0
 
 
+def test_a_block_gives_no_more_than_the_nearest():
+    """On vectors without clusters the bounds leave most pairs possible: they are scored in the block and do not leave it."""
+    rng = np.random.default_rng(2)
+    vectors, asked = rng.normal(size=(3000, 64)), rng.normal(size=(70, 64))
+    codes, scalars = ann.encode(vectors)
+    listed = lambda v: pa.array(list(v), pa.list_(pa.float64()))
+    least = np.full(70, -np.inf)
+    least[0] = 2.0  # nothing reaches this bar
+    queries = pa.table({"dims": pa.array([64] * 70, pa.int32()), "id": np.arange(70) + 5000, "vector": listed(asked), "least": least})
+    own = pa.table({"dims": pa.array([64] * 3000, pa.int32()), "id": np.arange(3000), "vector": listed(vectors), "code": pa.array([c.tobytes() for c in codes], pa.binary()), "scalar": scalars})
+    got = ann._probe(5, ann.BITS)(queries, own)
+    assert got.num_rows == 69 * 5 and 5000 not in got.column("query_id").to_pylist()
+    exact = ann.unit(asked) @ ann.unit(vectors).T
+    want = {(q + 5000, int(c)) for q in range(1, 70) for c in np.argsort(-exact[q])[:5]}
+    assert set(zip(got.column("query_id").to_pylist(), got.column("vec_id").to_pylist(), strict=True)) == want
+
+
 # 10.
 
 
