@@ -26,7 +26,8 @@ class Links:
     ``verify`` takes distinct pairs ``a < b`` and returns those that link.
     ``sketches`` takes ids and returns ``id`` with further columns; ``possible``
     is a condition on two members and their sketches, prefixed ``x_`` and ``y_``,
-    that holds for every pair which may still have to be found under a key.
+    that holds for every pair which may still have to be found under a key. Further
+    columns of ``members`` are bounds from above: a larger value excludes no pair.
     ``begun``, in place of ``members``, is a first round that is done: ``id, key,
     leader`` of the keys with more than two members, the pairs ``a < b`` that
     were compared (each member of each key with the key's leader), and those
@@ -130,7 +131,7 @@ def _first_round(members: DataFrame) -> tuple[DataFrame, list[str], DataFrame]:
     Leaders come from a count that Spark combines before it shuffles and a join
     whose skew it may split: no key goes through one task.
     """
-    members = members if "wide" in members.columns else members.withColumn("wide", F.lit(True))
+    members = cut(members if "wide" in members.columns else members.withColumn("wide", F.lit(True)))  # read twice
     own = [c for c in members.columns if c not in ("id", "key")]
     keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("wide"), F.col("id"))).alias("leader")).where("n > 1 and leader is not null")
     lists = cut(members.join(keys, "key"))
@@ -138,13 +139,34 @@ def _first_round(members: DataFrame) -> tuple[DataFrame, list[str], DataFrame]:
     return lists.where("n > 2").drop("n"), own, seen
 
 
+def _by_leader(open_keys: DataFrame, own: list[str]) -> DataFrame:
+    """``open_keys`` with one key in place of those of one leader where that leaves fewer pairs.
+
+    Near copies meet under many keys that hold almost the same members, and each
+    of these keys would pair them again. The one key holds all members of the
+    others, so no pair is lost; a member takes its largest ``own`` values. All of
+    them were compared with the leader already.
+    """
+    heads = open_keys.groupBy("key").agg(F.max(F.when(F.col("id") == F.col("leader"), F.col("label"))).alias("head")).where("head is not null")
+    rows = cut(open_keys.join(heads, "key"))
+    x, y = F.count_if(F.col("label") != F.col("head")), F.count_if(F.col("id") != F.col("leader"))
+    keys = cut(rows.groupBy("key", "leader").agg((x * y).alias("pairs")))
+    apart = keys.groupBy("leader").agg(F.sum("pairs").alias("apart"), F.min("key").alias("one"), F.count("*").alias("keys"))
+    together = rows.select("leader", "head", "id", "label").distinct().groupBy("leader").agg((x * y).alias("together"))
+    joined = apart.where("keys > 1").join(together, "leader").where("together < apart").select("leader", "one")
+    # By key, not by leader: one leader may have a large part of all rows.
+    keyed = rows.join(keys.join(joined, "leader").select("key", "one"), "key", "left").withColumn("key", F.coalesce("one", "key"))
+    return keyed.groupBy("key", "leader", "id", "label").agg(*[F.max(c).alias(c) for c in own])
+
+
 def components(links: Links) -> DataFrame:
     """``id, label`` of every id that links to another one.
 
     First round: each key's smallest member with the others. Second round: in
     keys that still hold several components, a few more members with all those
     of other components. Last: in keys that are still divided, the pairs of
-    different components that the sketches leave possible.
+    different components that the sketches leave possible; unless the first round
+    was done before, keys of one leader are one key there if they hold much the same.
     """
     if links.begun is not None:
         lists, seen, found = links.begun
@@ -172,6 +194,8 @@ def components(links: Links) -> DataFrame:
     if not more.isEmpty():
         labels = cut(merged(labels, more))
         open_keys = divided(open_keys.drop("label"), labels)  # a key that holds one component will not hold several
+    if links.begun is None:
+        open_keys = cut(_by_leader(open_keys, own))
     heads = open_keys.groupBy("key").agg(F.max(F.when(F.col("id") == F.col("leader"), F.col("label"))).alias("head"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("head is not null")
     rows = open_keys.join(heads, "key")
     if links.sketches is not None:

@@ -323,7 +323,7 @@ def join(docs: DataFrame) -> DataFrame:
         near = cut(pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b"))
         asked = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
         wanted = spark.sparkContext.broadcast(id_filter(asked))
-        texts = filtered(docs, wanted)
+        texts = cut(filtered(docs, wanted))  # for both sides
         xa, xb = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
         return near.join(xa, "a").join(xb, "b").select("a", "b", "ta", "tb").mapInArrow(trimmed(_linked), "a long, b long").distinct()
 

@@ -532,6 +532,19 @@ def test_nearest(spark):
     assert ann.search(ann.index(df.where("false")), F.col("id") % 50 == 0).count() == 0
 
 
+def test_keys_of_one_leader_are_paired_once(spark):
+    """Sixty keys with nearly the same members are one key; a leader's keys that hold different members stay apart. No pair is lost."""
+    rows = [(i, key, 0, 0 if i < 10 else i, i % 2 == 0, i + key) for key in range(60) for i in range(40) if i == 0 or (i + key) % 13]
+    rows += [(i, key, 100, i, True, i) for key in range(1000, 1010) for i in [100, *range(key * 10, key * 10 + 9)]]
+    frame = spark.createDataFrame(rows, "id long, key long, leader long, label long, wide boolean, room int")
+    got = link_components._by_leader(frame, ["wide", "room"]).collect()
+    pairs = lambda found: collections.Counter((x[0], y[0]) for key in {r[1] for r in found} for x in found if x[1] == key for y in found if y[1] == key and x[0] < y[0] and x[3] != y[3])
+    before, after = pairs(rows), pairs([(r.id, r.key, r.leader, r.label) for r in got])
+    assert before.keys() <= after.keys()
+    assert sum(n for (a, _), n in before.items() if a < 100) > 25_000 and sum(n for (a, _), n in after.items() if a < 100) == 735
+    assert {r.key for r in got} == {0, *range(1000, 1010)} and all(r.room == max(x[5] for x in rows if x[0] == r.id and x[2] == r.leader) for r in got)
+
+
 def test_a_block_gives_no_more_than_the_nearest():
     """On vectors without clusters the bounds leave most pairs possible: they are scored in the block and do not leave it."""
     rng = np.random.default_rng(2)
