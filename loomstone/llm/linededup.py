@@ -34,6 +34,9 @@ FILTER_BITS = 26
 
 _EMPTY = np.uint32(0xFFFFFFFF)
 
+#: Full bins of a line from which on it is cheaper to look for the lenders of each empty bin than to offer each full one to all.
+FEW = 60
+
 
 @functools.lru_cache(maxsize=2)
 def _values(which: int) -> np.ndarray:
@@ -52,6 +55,41 @@ def _lenders() -> tuple[np.ndarray, np.ndarray]:
     return order, np.ascontiguousarray(np.argsort(order, axis=1).T.astype(np.uint8))
 
 
+def _lent_to_all(least: np.ndarray) -> np.ndarray:
+    """Signatures of lines with few full bins: each full bin offers itself to all bins at once."""
+    bins = BANDS * ROWS
+    if not len(least):
+        return least
+    order, place_of = _lenders()
+    row, full = np.nonzero(least != _EMPTY)
+    counts = np.bincount(row, minlength=len(least))
+    longest = np.argsort(-counts, kind="stable")
+    first, left = (np.cumsum(counts) - counts)[longest], -counts[longest]
+    place = place_of[full[first]]
+    for k in range(1, -int(left[0])):
+        n = int(np.searchsorted(left, -k))
+        np.minimum(place[:n], place_of[full[first[:n] + k]], out=place[:n])
+    source = np.empty_like(place)
+    source[longest] = order.ravel().take(place + np.arange(0, bins * bins, bins))
+    return np.take_along_axis(least, source.astype(np.intp), axis=1)
+
+
+def _lent_to_empty(least: np.ndarray) -> np.ndarray:
+    """The same signatures for lines with many full bins: each empty bin asks its lenders in turn, and soon meets a full one."""
+    bins = BANDS * ROWS
+    order, flat, out = _lenders()[0].ravel(), least.ravel(), least.flatten()
+    at = np.flatnonzero(flat == _EMPTY)
+    own = at % bins
+    line, turn = at - own, own * bins
+    while len(at):
+        turn += 1
+        lent = flat.take(line + order.take(turn))
+        out[at] = lent
+        left = np.flatnonzero(lent == _EMPTY)
+        at, line, turn = at.take(left), line.take(left), turn.take(left)
+    return out.reshape(-1, bins)
+
+
 def _space(points: np.ndarray) -> np.ndarray:
     return (points == 32) | (points - np.uint32(9) <= 4)
 
@@ -113,35 +151,27 @@ class Lines:
         """
         bins = BANDS * ROWS
         h, line = self.shingles(which)
+        at = h >> np.uint64(32)
+        at *= np.uint64(bins)
+        at >>= np.uint64(32)
+        line *= bins
+        line += at.view(np.int64)
         least = np.full(len(which) * bins, _EMPTY, np.uint32)
-        np.minimum.at(least, line * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64), np.minimum(h.astype(np.uint32), _EMPTY - np.uint32(1)))
+        np.minimum.at(least, line, np.minimum(h.astype(np.uint32), _EMPTY - np.uint32(1)))
         least = least.reshape(-1, bins)
-        if not len(least):
-            return least
-        order, place_of = _lenders()
-        row, full = np.nonzero(least != _EMPTY)
-        counts = np.bincount(row, minlength=len(least))
-        longest = np.argsort(-counts, kind="stable")
-        first, left = (np.cumsum(counts) - counts)[longest], -counts[longest]
-        place = place_of[full[first]]
-        for k in range(1, -int(left[0])):
-            n = int(np.searchsorted(left, -k))
-            np.minimum(place[:n], place_of[full[first[:n] + k]], out=place[:n])
-        source = np.empty_like(place)
-        source[longest] = order.ravel().take(place + np.arange(0, bins * bins, bins))
-        return np.take_along_axis(least, source.astype(np.intp), axis=1)
+        few = bins - np.count_nonzero(least == _EMPTY, axis=1) < FEW
+        out = np.empty_like(least)
+        out[few], out[~few] = _lent_to_all(least[few]), _lent_to_empty(least[~few])
+        return out
 
     @staticmethod
     def bands(bins: np.ndarray) -> np.ndarray:
         """Band keys, one row a line."""
-        columns = np.ascontiguousarray(bins.T).astype(np.uint64)
-        out = np.empty((len(bins), BANDS), np.uint64)
-        for b in range(BANDS):
-            key = np.full(len(bins), b + 1, np.uint64)
-            for r in range(ROWS):
-                key = (key + columns[r * BANDS + b]) * kernels._PLACES[r]
-            out[:, b] = kernels.mixed(key)
-        return out
+        out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(bins), 1))
+        for r in range(ROWS):
+            out += bins[:, r * BANDS : (r + 1) * BANDS]
+            out *= kernels._PLACES[r]
+        return kernels.mixed(out)
 
     def parities(self, which: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
         """The size of each chosen line's shingle set, and a parity bitmap of the set in ``words`` words of 64 bits.
@@ -297,7 +327,8 @@ def _linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: 2^62: a line's place in the order of classes is doc_id times this, and 30 bits of the row's hash above the line number.
 _PLACES = "cast(4611686018427387904 as decimal(19,0))"
-_PLACE = f"coalesce(doc_id, {-(2**63)}L) * {_PLACES} + (shiftrightunsigned(h, 34) * 4294967296L + line_no)"
+_REST = "shiftrightunsigned(h, 34) * 4294967296L + line_no"
+_PLACE = f"coalesce(doc_id, {-(2**63)}L) * {_PLACES} + ({_REST})"
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -342,17 +373,19 @@ def classes(docs: DataFrame) -> DataFrame:
     begun = lists, pairs.select("a", "b"), linking(pairs.where("near").select("a", "b", "r_a", "r_b"))
     labels = components(Links(None, verify, sketched, POSSIBLE, begun))
 
-    firsts = lines.select("key", "check", F.expr(_PLACE).alias("place")).groupBy("key", "check").agg(F.min("place").alias("place"))
-    firsts = cut(firsts)
+    firsts = cut(lines.select("key", "check", F.expr(_PLACE).alias("place")).groupBy("key", "check").agg(F.min("place").alias("place"), F.count("*").alias("n")))
     members = labels.join(some.select("id", "check"), "id").select(F.col("id").alias("key"), "check", "label")
     heads = members.join(firsts, ["key", "check"]).groupBy("label").agg(F.min("place").alias("head"))
-    head_of = firsts.join(members.join(heads, "label").select("key", "check", "head"), ["key", "check"], "left").select("key", "check", F.coalesce("head", "place").alias("head"))
-    joined = lines.select("doc_id", "h", "line_no", "key", "check").join(head_of, ["key", "check"])
+    # A line that no other one equals or links to is its own class: it has no row here, and its place is not looked up.
+    shared = firsts.join(members.join(heads, "label").select("key", "check", "head"), ["key", "check"], "left").where("n > 1 or head is not null")
     rest = f"pmod(head, {_PLACES})"
-    first_doc = F.expr(f"(head - {rest}) div {_PLACES}")
+    parts = shared.select("key", "check", F.coalesce("head", "place").alias("head")).selectExpr("key", "check", f"(head - {rest}) div {_PLACES} AS head_doc", f"cast({rest} AS long) AS head_rest")
+    joined = lines.select("doc_id", "h", "line_no", "key", "check").join(parts, ["key", "check"], "left")
+    alone = F.col("head_rest").isNull()
     return joined.select(
-        "doc_id", "h", "line_no", F.when(first_doc != -(2**63), first_doc).alias("class_doc_id"),
-        F.expr(f"cast(pmod({rest}, cast(4294967296 as decimal(19,0))) as int)").alias("class_line_no"), (F.expr(_PLACE) == F.col("head")).alias("kept"),
+        "doc_id", "h", "line_no", F.when(alone, F.col("doc_id")).when(F.col("head_doc") != -(2**63), F.col("head_doc")).alias("class_doc_id"),
+        F.when(alone, F.col("line_no")).otherwise(F.expr("cast(head_rest & 4294967295L AS int)")).alias("class_line_no"),
+        (alone | (F.expr(f"coalesce(doc_id, {-(2**63)}L) = head_doc and {_REST} = head_rest"))).alias("kept"),
     )
 
 

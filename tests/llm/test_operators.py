@@ -134,6 +134,18 @@ def test_line_classes_against_brute_force(spark, small):
     assert got == want
 
 
+def test_lines_that_stand_alone_are_their_own_class(spark):
+    """Only a line that another one equals or links to is looked up; each line is compared with its class by whole numbers."""
+    near = "the rain came down on the old town square all night"
+    texts = [(5, f"one alone here\n{near}\ntwin line\ntwin line"), (None, "nobody's own line\ntwin line"), (3, near + "s"), (7, "one more alone"), (-(2**63), "least of all"), (2**63 - 1, near)]
+    found = linededup.classes(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert "decimal" not in found._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.kept) for r in found.collect()}
+    want = {(5, 0): (5, 0, True), (5, 1): (3, 0, False), (5, 2): (None, 1, False), (5, 3): (None, 1, False), (None, 0): (None, 0, True), (None, 1): (None, 1, True)}
+    want |= {(3, 0): (3, 0, True), (7, 0): (7, 0, True), (-(2**63), 0): (-(2**63), 0, True), (2**63 - 1, 0): (3, 0, False)}
+    assert got == want
+
+
 def test_near_lines_whose_keys_begin_alike(spark):
     """Pairs of near lines whose keys share the top byte meet like any other pairs."""
     r = random.Random(8)

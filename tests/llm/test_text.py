@@ -229,6 +229,33 @@ def test_line_recall_by_length(n):
     assert (bands[::2] == bands[1::2]).any(axis=1).mean() >= 0.985
 
 
+def test_signatures_by_their_definition(monkeypatch):
+    """An empty bin has the value of the first full bin in its order; lines with many full bins do not offer each of them to all."""
+    r = random.Random(3)
+    lines = ["".join(r.choice("abcdefghijklmnop ") for _ in range(n)).strip() or "a" for n in [*range(1, 130), *range(130, 2600, 90)]]
+    x = linededup.Lines(lines)
+    every = np.arange(len(x.key))
+    h, line = x.shingles(every)
+    bins = linededup.BANDS * linededup.ROWS
+    least = [{} for _ in lines]
+    for i, v in zip(line.tolist(), h.tolist(), strict=True):
+        at = (v >> 32) * bins >> 32
+        least[i][at] = min(least[i].get(at, 2**32), v & 0xFFFFFFFF, 2**32 - 2)
+    order, place_of = linededup._lenders()
+    want = [[full[next(b for b in order[at].tolist() if b in full)] for at in range(bins)] for full in least]
+    assert x.bins(every).tolist() == want
+    offered = []
+
+    class Spied:
+        def __getitem__(self, at):
+            offered.append(len(at))
+            return place_of[at]
+
+    monkeypatch.setattr(linededup, "_lenders", lambda: (order, Spied()))
+    many = np.flatnonzero([len(full) >= bins // 2 for full in least])
+    assert len(many) > 20 and x.bins(many).tolist() == [want[i] for i in many] and sum(offered) == 0
+
+
 def test_rotated_codes_bound_the_error():
     rng = np.random.default_rng(0)
     v, q = rng.normal(size=(2000, 32)), rng.normal(size=(20, 32))
