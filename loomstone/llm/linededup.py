@@ -375,11 +375,13 @@ def classes(docs: DataFrame) -> DataFrame:
 
     firsts = cut(lines.select("key", "check", F.expr(_PLACE).alias("place")).groupBy("key", "check").agg(F.min("place").alias("place"), F.count("*").alias("n")))
     members = labels.join(some.select("id", "check"), "id").select(F.col("id").alias("key"), "check", "label")
-    heads = members.join(firsts, ["key", "check"]).groupBy("label").agg(F.min("place").alias("head"))
+    placed = cut(members.join(firsts.select("key", "check", "place"), ["key", "check"]))
+    heads = placed.groupBy("label").agg(F.min("place").alias("head"))
     # A line that no other one equals or links to is its own class: it has no row here, and its place is not looked up.
-    shared = firsts.join(members.join(heads, "label").select("key", "check", "head"), ["key", "check"], "left").where("n > 1 or head is not null")
+    copies = firsts.where("n > 1").select("key", "check", F.col("place").alias("head")).join(placed.select("key", "check"), ["key", "check"], "left_anti")
+    shared = placed.join(heads, "label").select("key", "check", "head").unionByName(copies)
     rest = f"pmod(head, {_PLACES})"
-    parts = shared.select("key", "check", F.coalesce("head", "place").alias("head")).selectExpr("key", "check", f"(head - {rest}) div {_PLACES} AS head_doc", f"cast({rest} AS long) AS head_rest")
+    parts = shared.selectExpr("key", "check", f"(head - {rest}) div {_PLACES} AS head_doc", f"cast({rest} AS long) AS head_rest")
     joined = lines.select("doc_id", "h", "line_no", "key", "check").join(parts, ["key", "check"], "left")
     alone = F.col("head_rest").isNull()
     return joined.select(
